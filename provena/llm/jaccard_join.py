@@ -5,13 +5,14 @@ one class. Classes link when ``100 * |A & B| >= 80 * |A | B|``; the join finds e
 
 1. ``sets``: one pass over the texts gives each document's set size and a 128-bit signature, and the corpus-wide
    shingle counts as a sketch of 2^18 counters (its size does not depend on the corpus).
-2. ``prefixes``: shingles are ordered rare first by that sketch. A document keeps the first
-   ``n - ceil(0.8 n) + m`` of them. m, 1 to 3, is chosen by the estimated cost (the summed counts) of its prefix: an
-   expensive prefix is lengthened, and pairs must then share correspondingly more prefix shingles.
-3. Every class is verified against the smallest document of each of its shared prefix shingles. This is linear and
-   joins whole groups of near copies, so that no group is expanded into its pairs.
-4. Pairs whose components still differ are joined on the prefix shingles under the size and multi-match bounds, and
-   verified. Verification compares whole sets, so every link is exact.
+2. ``prefixes``: shingles are ordered rare first by that sketch. A document keeps a quarter of them, and more where
+   the estimated cost of its prefix (the summed counts) is high. The longer the prefixes, the more of their shingles a
+   linked pair must share: with ``rest`` the shingles outside a prefix, at least ``overlap - max(rest)``. A document
+   too few of whose prefix shingles occur elsewhere is out before any pair is formed.
+3. Every class is verified against the smallest document of its shared prefix shingles. This is linear and joins
+   whole groups of near copies, so that no group is expanded into its pairs.
+4. Pairs whose components still differ are joined on their prefix shingles under the size and multi-match bounds,
+   and verified. Verification compares whole sets, so every link is exact.
 5. Components by repeated minimum with pointer jumping, each round written to the shared folder.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a doc_id are one node. A null doc_id
@@ -32,9 +33,9 @@ WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 SKETCH_BITS = 18
-#: The matches that a prefix needs go up by one where its summed sketch counts pass each of these multiples of its
-#: length times the counters' mean.
-COSTS = (8.0, 64.0)
+#: Per cent of its set that a document's prefix holds beyond 100 - PERCENT, by the cost of the shortest such prefix: the
+#: mean count of its counters, in multiples of the mean of all counters, passes none, one or both of COSTS.
+EXTRA, COSTS = (5, 10, 16), (1.2, 4.0)
 #: Bits of the filter that keeps texts of unpaired documents out of the shuffle before verification.
 FILTER_BITS = 20
 
@@ -92,20 +93,15 @@ def sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     return both.where("bucket is null").select("doc_id", "n", "sig_a", "sig_b"), both.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen"))
 
 
-def _levels(sketch: DataFrame) -> np.ndarray:
-    """The order of the counters: 16 levels to each doubling. Collected: at most 2^18 numbers."""
+def _counters(sketch: DataFrame) -> np.ndarray:
+    """The sketch on the driver: 2^18 numbers at most."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in sketch.collect():
         counts[r["bucket"]] = r["seen"]
     return counts
 
 
-def _keep(n: int, percent: int) -> int:
-    """The shared shingles any partner of a set of n needs: ceil(percent/100 * n)."""
-    return -(-percent * n // 100)
-
-
-_PREFIX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("m", pa.int32()), ("shingles", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 def _prefixes(words: int, percent: int, shared):
@@ -114,17 +110,17 @@ def _prefixes(words: int, percent: int, shared):
         order = (np.log2(counts + 1.0) * 16).astype(np.uint64) << np.uint64(54)
         mean = max(1.0, float(counts.sum()) / len(counts))
         for batch in batches:
-            rows = ([], [], [], [], [], [])
+            rows = ([], [], [])
             for doc, s in zip(batch.column("doc_id").to_pylist(), _each_set(batch, words), strict=True):
-                if not len(s):
+                n = len(s)
+                if not n or doc is None:
                     continue
                 bucket = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 by = np.argsort(order[bucket] | (s >> np.uint64(10)), kind="stable")
-                base = len(s) - _keep(len(s), percent) + 1
-                dear = float(counts[bucket[by[:base]]].sum()) / (base * mean)
-                m = 1 + sum(dear > c for c in COSTS)
-                a, b = _signature(s)
-                for column, x in zip(rows, (doc, len(s), a, b, m, s[by[: base + m - 1]].view(np.int64)), strict=True):
+                base = n * (100 - percent + EXTRA[0]) // 100 + 1
+                cost = float(counts[bucket[by[:base]]].mean()) / mean
+                length = n * (100 - percent + EXTRA[sum(cost > c for c in COSTS)]) // 100 + 1
+                for column, x in zip(rows, (doc, n, s[by[:length]].view(np.int64)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PREFIX, strict=True)], schema=_PREFIX)
 
@@ -183,39 +179,56 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _needed(percent: int):
+    """Prefix shingles that a linked pair (n_a, p_a), (n_b, p_b) shares at least: overlap less the larger rest."""
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100.0 + percent) - 1e-9)
+    return F.greatest(F.lit(1), overlap - F.greatest(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")))
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, words: int, name: str) -> DataFrame:
+    """(id, shingles) of at least the documents in ``pairs``. The filter is 2^20 small numbers, whatever the corpus."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).alias("bit")
+    need = pairs.select(bit("x")).union(pairs.select(bit("y"))).distinct()
+    return written(docs.withColumn("bit", bit("doc_id")).join(F.broadcast(need), "bit", "left_semi").select("doc_id", "text").mapInArrow(_full(words), "id long, shingles binary"), name)
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig_a, sig_b) by document, and (n, sig_a, sig_b, rep, comp) by class of equal sets."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     by_doc, sketch = sets(docs, words)
     reps = written(by_doc.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "reps")
-    counts = spark.sparkContext.broadcast(_levels(sketch))
-    prefix = docs.mapInArrow(_prefixes(words, percent, counts), "doc_id long, n long, sig_a long, sig_b long, m int, shingles array<bigint>")
-    prefix = prefix.join(reps.withColumnRenamed("rep", "doc_id"), ["n", "sig_a", "sig_b", "doc_id"], "left_semi")
-    rows = written(prefix.select(F.col("doc_id").alias("id"), "n", "m", F.posexplode("shingles").alias("pos", "shingle")), "prefixes")
-    # The smallest document of each shingle that several have; a class also needs its size for the size bound.
+    counts = spark.sparkContext.broadcast(_counters(sketch))
+    prefix = written(docs.mapInArrow(_prefixes(words, percent, counts), "id long, n long, shingles array<bigint>"), "prefixes")
+    rows = prefix.select("id", F.explode("shingles").alias("shingle"))
+    # Only shingles that several documents have go on: with the smallest of these as their centre.
     centre = rows.groupBy("shingle").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("shingle", "centre")
+    sizes = prefix.select("id", "n", F.size("shingles").alias("p")).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
     shared = written(rows.join(centre, "shingle"), "shared")
-    paired = shared.where("id <> centre").select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
-    need = shared.select(F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS)).alias("bit")).distinct()
-    # At most 2^20 small numbers, whatever the corpus.
-    full = written(docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))).join(F.broadcast(need), "bit", "left_semi").select("doc_id", "text").mapInArrow(_full(words), "id long, shingles binary"), "full")
-    first = _verified(paired, full, percent, "near")
+    # A partner's size and prefix can be anything within the bounds: a linked document shares
+    # EXTRA[0] per cent of its set at the least.
+    able = written(shared.groupBy("id").agg(F.count("*").alias("hits")).join(sizes, "id").where(F.col("hits") * 100 >= F.col("n") * EXTRA[0]).select("id", "n", "p"), "able")
+    shared = written(shared.join(able, "id"), "able_rows")
+
+    hits = shared.where("id <> centre").groupBy(F.col("centre").alias("x"), F.col("id").alias("y"), F.col("n").alias("n_b"), F.col("p").alias("p_b")).agg(F.count("*").alias("hits"))
+    near = hits.join(able.select(F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("p").alias("p_a")), "x")
+    near = near.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("hits") >= _needed(percent)))
+    near = written(near.select("x", "y"), "near_pairs")
+    first = _verified(near, _sets_of(docs, near, words, "near_sets"), percent, "near")
     comps = components(first)
 
-    # What is still apart: pairs under the bounds for the smaller set's index prefix and the larger set's probe prefix.
-    t = percent / (100.0 + percent)
     at = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     apart = at.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-    at = written(at.join(apart, "shingle", "left_semi").select("shingle", "id", "n", "m", "pos", "comp"), "apart")
-    a = at.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "m", "pos", "comp"))).where(F.col("pos_a") < F.col("n_a") - F.ceil(2 * t * F.col("n_a") - 1e-9) + F.col("m_a"))
-    b = at.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "m", "pos", "comp")))
+    at = written(at.join(apart, "shingle", "left_semi").select("shingle", "id", "n", "p", "comp"), "apart")
+    a, b = (at.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "p", "comp"))) for side in "ab")
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))
-    near = a.join(b, "shingle").where(smaller & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent))
-    near = near.groupBy("id_a", "id_b").agg(F.count("*").alias("hits"), F.min(F.least("m_a", "m_b")).alias("need")).where("hits >= need")
-    second = _verified(near.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")), full, percent, "rest")
-    if not second.isEmpty():
-        comps = components(first.union(second))
+    rest = a.join(b, "shingle").where(smaller & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent))
+    rest = rest.groupBy("id_a", "id_b", "n_a", "n_b", "p_a", "p_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= _needed(percent))
+    rest = written(rest.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")), "rest_pairs")
+    if not rest.isEmpty():
+        second = _verified(rest, _sets_of(docs, rest, words, "rest_sets"), percent, "rest")
+        if not second.isEmpty():
+            comps = components(first.union(second))
     return by_doc, written(reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("comp", "rep").alias("comp")), "classes")
 
 
