@@ -67,3 +67,8 @@ def by_kind(found: Column) -> Column:
 def by_start(found: Column) -> Column:
     """Sorted by start, then by the kind's place, then end."""
     return F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["kind"].alias("kind")))), lambda x: F.struct(x["k"].alias("k"), x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+
+
+def count_of(found: Column, k: int) -> Column:
+    """How many of the spans are of the kind at place k."""
+    return F.size(F.filter(found, lambda x: x["k"] == k)).cast("long")
