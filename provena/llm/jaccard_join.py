@@ -11,8 +11,8 @@ one class. Classes link when ``100 * |A & B| >= 80 * |A | B|``; the join finds e
    too few of whose prefix shingles occur elsewhere is out before any pair is formed.
 3. Every class is verified against the smallest document of its shared prefix shingles. This is linear and joins
    whole groups of near copies, so that no group is expanded into its pairs.
-4. Pairs whose components still differ are joined on their prefix shingles under the size and multi-match bounds,
-   and verified. Verification compares whole sets, so every link is exact.
+4. Pairs whose components still differ are joined on their prefix shingles, of which a document that must share h
+   leaves out its h - 1 most frequent, under the size and multi-match bounds, and verified. Verification compares whole sets, so every link is exact.
 5. Components by repeated minimum with pointer jumping, each round written to the shared folder.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a doc_id are one node. A null doc_id
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.llm import kernels
@@ -40,10 +40,6 @@ EXTRA, COSTS = (5, 10, 16), (1.2, 4.0)
 FILTER_BITS = 20
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
 def _signature(s: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a = np.bitwise_xor.reduce(kernels.mix(s + np.uint64(0x51ED270B)))
@@ -52,9 +48,8 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def _each_set(batch: pa.RecordBatch, words: int):
-    texts = _texts(batch)
-    for a, b in kernels.blocks(texts):
-        yield from kernels.Words(texts[a:b], kernels.SPACED).sets(words)
+    for _, _, texts in kernels.blocks(batch.column("text")):
+        yield from kernels.Words(texts, kernels.SPACED).sets(words)
 
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("bucket", pa.int32()), ("seen", pa.int64())])
@@ -218,12 +213,18 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     comps = components(first)
 
     at = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    apart = at.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-    at = written(at.join(apart, "shingle", "left_semi").select("shingle", "id", "n", "p", "comp"), "apart")
-    a, b = (at.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "p", "comp"))) for side in "ab")
+    counted = at.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("d")).where("lo <> hi").select("shingle", "d")
+    at = at.join(counted, "shingle").select("shingle", "id", "n", "p", "comp", "d")
+    # Of the h shingles that a linked pair shares at least, the rarest is not among the h - 1 most frequent of either.
+    often = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("d"), F.desc("shingle")))
+    at = written(at.withColumn("often", often), "apart")
+    a, b = (at.where(F.col("often") >= F.ceil(F.col("n") * EXTRA[0] / 100.0 - 1e-9)).select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "p", "comp"))) for side in "ab")
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))
     rest = a.join(b, "shingle").where(smaller & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent))
-    rest = rest.groupBy("id_a", "id_b", "n_a", "n_b", "p_a", "p_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= _needed(percent))
+    rest = rest.select("id_a", "id_b", "n_a", "n_b", "p_a", "p_b").distinct()
+    held = written(at.groupBy("id").agg(F.collect_list("shingle").alias("held")), "held")
+    rest = rest.join(held.select(F.col("id").alias("id_a"), F.col("held").alias("held_a")), "id_a").join(held.select(F.col("id").alias("id_b"), F.col("held").alias("held_b")), "id_b")
+    rest = rest.where(F.size(F.array_intersect("held_a", "held_b")) >= _needed(percent))
     rest = written(rest.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")), "rest_pairs")
     if not rest.isEmpty():
         second = _verified(rest, _sets_of(docs, rest, words, "rest_sets"), percent, "rest")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 #: Texts are handled in blocks of about so many bytes; a longer text is a block of its own.
-BLOCK = 2 << 20
+BLOCK = 256 << 10
 
 
 def class_table(pattern_bytes: bytes) -> np.ndarray:
@@ -49,17 +51,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts together have about BLOCK bytes."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
-        if i > start and size + n > BLOCK:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if len(texts) > start:
-        yield start, len(texts)
+def blocks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """Ranges of rows of a text column whose UTF-8 has about BLOCK bytes together, and that UTF-8; null stays null."""
+    column = column.cast(pa.binary())
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + BLOCK, side="right")))
+        yield start, end, column.slice(start, end - start).to_pylist()
+        start = end
 
 
 class Words:

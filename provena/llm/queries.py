@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.llm import jaccard_join, pii, quality_rules, secret_scan
+from provena.llm import decontaminate, jaccard_join, license_scan, pii, quality_rules, secret_scan
 from provena.llm.common import documents
 
 
@@ -14,10 +14,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find(documents(spark, sf_dir, "doc_id", "text", "source")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
@@ -27,7 +35,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pii, op7_secret_scan, op9_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op4_pii, op6_decontaminate, op7_secret_scan, op8_license_scan, op9_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
