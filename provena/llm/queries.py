@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, jaccard_join, language_id, license_scan, pii, quality_cnn, quality_rules, secret_scan
+from provena.llm import decontaminate, jaccard_join, language_id, license_scan, packing, pii, quality_cnn, quality_rules, secret_scan
 from provena.llm.common import crc_mod, documents
 
 
@@ -18,6 +18,17 @@ def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that packing takes as its parameter here."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path()).drop("ids")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
@@ -50,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cnn, op4_pii, op5_language_id, op6_decontaminate, op7_secret_scan, op8_license_scan, op9_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_cnn, op2_packing, op4_pii, op5_language_id, op6_decontaminate, op7_secret_scan, op8_license_scan, op9_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
