@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontaminate, jaccard_join, language_id, license_scan, packing, pii, quality_cnn, quality_rules, secret_scan
-from provena.llm.common import crc_mod, documents
+from provena.llm import decontaminate, jaccard_join, language_id, license_scan, packing, pii, quality_cnn, quality_rules, secret_scan, warc
+from provena.llm.common import crc_mod, documents, let_workers_import
 
 
 def op1_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path()).drop("ids")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
@@ -61,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cnn, op2_packing, op4_pii, op5_language_id, op6_decontaminate, op7_secret_scan, op8_license_scan, op9_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_cnn, op2_packing, op3_warc, op4_pii, op5_language_id, op6_decontaminate, op7_secret_scan, op8_license_scan, op9_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
