@@ -66,3 +66,17 @@ def crc_mod(n: int):
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the counted rows of ``df`` stay under the broadcast bound."""
     return df.count() * row_bytes <= limit
+
+
+def split(docs: DataFrame, ids: DataFrame, bits: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (doc_id), and the others, null ones among them.
+
+    A broadcast of at most 2^bits small numbers tells most rows apart where they are read; only the rest are shuffled
+    for the exact join.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    held = F.broadcast(ids.select(bit.alias("_bit")).distinct())
+    docs_bit = docs.withColumn("_bit", bit)
+    maybe = docs_bit.join(held, "_bit", "left_semi").drop("_bit")
+    never = docs_bit.join(held, "_bit", "left_anti").drop("_bit")
+    return maybe.join(ids, "doc_id", "left_semi"), never.unionByName(maybe.join(ids, "doc_id", "left_anti"))

@@ -8,7 +8,8 @@ that labelled texts of the right language reached at that size.
 
 The model is fitted on a sample of at most ``per_language`` labelled documents for each language (the smallest hashes of doc_id);
 their sparse vectors, not their texts, come to the driver. Everything else covers all rows. Null texts and texts without a letter are
-``und`` with score 0 and rejected. With nothing to learn from, all are ``und``. Rows are independent.
+``und`` with score 0 and rejected. With nothing to learn from, all are
+``und`` with score 0, and only those are rejected that have no letter. Rows are independent.
 """
 
 from __future__ import annotations
@@ -150,11 +151,12 @@ def _predict(shared, extra: list[str]):
             for a, b, texts in kernels.blocks(batch.column("text")):
                 letter = np.array([bool(t) and _LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts], bool)
                 if model is None:
-                    lang, score, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+                    lang, score, out = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 else:
                     best, score, out = model.predict(_counts(texts))
                     lang = [model.langs[i] if ok else "und" for i, ok in zip(best, letter, strict=True)]
-                    score, out = np.where(letter, score, 0.0), out | ~letter
+                    score = np.where(letter, score, 0.0)
+                out = out | ~letter
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in extra), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(out)], names=[*extra, "lang_pred", "score", "rejected"])
 
     return run
