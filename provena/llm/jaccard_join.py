@@ -9,10 +9,12 @@ one class. Classes link when ``100 * |A & B| >= 80 * |A | B|``; the join finds e
    the estimated cost of its prefix (the summed counts) is high. The longer the prefixes, the more of their shingles a
    linked pair must share: with ``rest`` the shingles outside a prefix, at least ``overlap - max(rest)``. A document
    too few of whose prefix shingles occur elsewhere is out before any pair is formed.
-3. Every class is verified against the smallest document of its shared prefix shingles. This is linear and joins
-   whole groups of near copies, so that no group is expanded into its pairs.
-4. Pairs whose components still differ are joined on their prefix shingles, of which a document that must share h
-   leaves out its h - 1 most frequent, under the size and multi-match bounds, and verified. Verification compares whole sets, so every link is exact.
+3. Every class is verified against the smallest document of its shared prefix shingles, then in rounds against other
+   documents of its most frequent ones. This is linear and joins whole groups of near copies, so that no group is
+   expanded into its pairs.
+4. Pairs whose components still differ are joined on their prefix shingles by classes of the ratio of their sizes and
+   of their prefixes' lengths. Each class has its own number h of shingles that a pair shares at least, and a document
+   leaves out its h - 1 most frequent: the rarest shared one is never among them. What is left is verified. Verification compares whole sets, so every link is exact.
 5. Components by repeated minimum with pointer jumping, each round written to the shared folder.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a doc_id are one node. A null doc_id
@@ -36,6 +38,8 @@ SKETCH_BITS = 18
 #: Per cent of its set that a document's prefix holds beyond 100 - PERCENT, by the cost of the shortest such prefix: the
 #: mean count of its counters, in multiples of the mean of all counters, passes none, one or both of COSTS.
 EXTRA, COSTS = (5, 10, 16), (1.2, 4.0)
+#: Bounds of the classes of size ratios; rounds and shingles by document in which hot shingles' other documents are tried.
+RATIOS, ROUNDS, TRIES, HOT = (1.0, 1.04, 1.1, 1.17, 1.25), 2, 4, 16
 #: Bits of the filter that keeps texts of unpaired documents out of the shuffle before verification.
 FILTER_BITS = 20
 
@@ -96,7 +100,7 @@ def _counters(sketch: DataFrame) -> np.ndarray:
     return counts
 
 
-_PREFIX = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_PREFIX = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("level", pa.int32()), ("shingles", pa.list_(pa.int64()))])
 
 
 def _prefixes(words: int, percent: int, shared):
@@ -105,7 +109,7 @@ def _prefixes(words: int, percent: int, shared):
         order = (np.log2(counts + 1.0) * 16).astype(np.uint64) << np.uint64(54)
         mean = max(1.0, float(counts.sum()) / len(counts))
         for batch in batches:
-            rows = ([], [], [])
+            rows = ([], [], [], [])
             for doc, s in zip(batch.column("doc_id").to_pylist(), _each_set(batch, words), strict=True):
                 n = len(s)
                 if not n or doc is None:
@@ -114,8 +118,9 @@ def _prefixes(words: int, percent: int, shared):
                 by = np.argsort(order[bucket] | (s >> np.uint64(10)), kind="stable")
                 base = n * (100 - percent + EXTRA[0]) // 100 + 1
                 cost = float(counts[bucket[by[:base]]].mean()) / mean
-                length = n * (100 - percent + EXTRA[sum(cost > c for c in COSTS)]) // 100 + 1
-                for column, x in zip(rows, (doc, n, s[by[:length]].view(np.int64)), strict=True):
+                level = sum(cost > c for c in COSTS)
+                length = n * (100 - percent + EXTRA[level]) // 100 + 1
+                for column, x in zip(rows, (doc, n, level, s[by[:length]].view(np.int64)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PREFIX, strict=True)], schema=_PREFIX)
 
@@ -194,43 +199,96 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     by_doc, sketch = sets(docs, words)
     reps = written(by_doc.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min("doc_id").alias("rep")), "reps")
     counts = spark.sparkContext.broadcast(_counters(sketch))
-    prefix = written(docs.mapInArrow(_prefixes(words, percent, counts), "id long, n long, shingles array<bigint>"), "prefixes")
+    prefix = written(docs.mapInArrow(_prefixes(words, percent, counts), "id long, n long, level int, shingles array<bigint>"), "prefixes")
     rows = prefix.select("id", F.explode("shingles").alias("shingle"))
     # Only shingles that several documents have go on: with the smallest of these as their centre.
     centre = rows.groupBy("shingle").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("shingle", "centre")
-    sizes = prefix.select("id", "n", F.size("shingles").alias("p")).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
+    sizes = prefix.select("id", "n", "level", F.size("shingles").alias("p")).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
     shared = written(rows.join(centre, "shingle"), "shared")
     # A partner's size and prefix can be anything within the bounds: a linked document shares
     # EXTRA[0] per cent of its set at the least.
-    able = written(shared.groupBy("id").agg(F.count("*").alias("hits")).join(sizes, "id").where(F.col("hits") * 100 >= F.col("n") * EXTRA[0]).select("id", "n", "p"), "able")
+    able = written(shared.groupBy("id").agg(F.count("*").alias("hits")).join(sizes, "id").where(F.col("hits") * 100 >= F.col("n") * EXTRA[0]).select("id", "n", "p", "level"), "able")
     shared = written(shared.join(able, "id"), "able_rows")
+    held = written(shared.groupBy("id").agg(F.collect_list("shingle").alias("held")), "held")
 
     hits = shared.where("id <> centre").groupBy(F.col("centre").alias("x"), F.col("id").alias("y"), F.col("n").alias("n_b"), F.col("p").alias("p_b")).agg(F.count("*").alias("hits"))
     near = hits.join(able.select(F.col("id").alias("x"), F.col("n").alias("n_a"), F.col("p").alias("p_a")), "x")
     near = near.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("hits") >= _needed(percent)))
     near = written(near.select("x", "y"), "near_pairs")
-    first = _verified(near, _sets_of(docs, near, words, "near_sets"), percent, "near")
-    comps = components(first)
+    links = _verified(near, _sets_of(docs, near, words, "near_sets"), percent, "near")
+    comps = components(links)
+
+    at = _apart(shared, comps)
+    for i in range(ROUNDS):
+        pairs = written(_enough(_tried(at, i), able, held, percent), "tried")
+        if pairs.isEmpty():
+            break
+        found = _verified(pairs, _sets_of(docs, pairs, words, "tried_sets"), percent, "found")
+        if found.isEmpty():
+            break
+        links = written(links.union(found), "links")
+        comps = components(links)
+        at = _apart(shared, comps)
+
+    rest = written(_enough(_classed(at, percent), able, held, percent), "rest_pairs")
+    if not rest.isEmpty():
+        found = _verified(rest, _sets_of(docs, rest, words, "rest_sets"), percent, "rest")
+        if not found.isEmpty():
+            comps = components(links.union(found))
+    return by_doc, written(reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("comp", "rep").alias("comp")), "classes")
+
 
+def _apart(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """The shared prefix shingles that join different components: d, their documents, and each document's order by it."""
     at = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     counted = at.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("d")).where("lo <> hi").select("shingle", "d")
-    at = at.join(counted, "shingle").select("shingle", "id", "n", "p", "comp", "d")
-    # Of the h shingles that a linked pair shares at least, the rarest is not among the h - 1 most frequent of either.
     often = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("d"), F.desc("shingle")))
-    at = written(at.withColumn("often", often), "apart")
-    a, b = (at.where(F.col("often") >= F.ceil(F.col("n") * EXTRA[0] / 100.0 - 1e-9)).select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "p", "comp"))) for side in "ab")
+    return written(at.join(counted, "shingle").select("shingle", "id", "n", "p", "level", "comp", "d").withColumn("often", often), "apart")
+
+
+def _tried(at: DataFrame, i: int) -> DataFrame:
+    """Pairs of each document with one other, by round, of each of its few hottest shingles."""
+    hot = at.where(F.col("d") >= HOT)
+    other = hot.groupBy("shingle").agg(F.min_by("id", F.xxhash64("id", "shingle", F.lit(i))).alias("other"))
+    pairs = hot.where(F.col("often") <= TRIES).join(other, "shingle").where("id <> other")
+    return pairs.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
+
+
+def _enough(pairs: DataFrame, able: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose sizes can link and whose prefixes share enough."""
+    for side, c in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(able.select(F.col("id").alias(c), F.col("n").alias(f"n_{side}"), F.col("p").alias(f"p_{side}")), c)
+    pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    for side, c in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(held.select(F.col("id").alias(c), F.col("held").alias(f"held_{side}")), c)
+    return pairs.where(F.size(F.array_intersect("held_a", "held_b")) >= _needed(percent)).select("x", "y")
+
+
+def _classed(at: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (x, y) of different components. A class is (ratio, level of the smaller, level of the larger)."""
+    t, n, outside = percent / (100.0 + percent), F.col("n"), F.col("n") - F.col("p")
+    top = 100.0 / percent
+    bounds = [*(r for r in RATIOS if r < top), top]
+
+    def least(smaller: bool, k: int, level: int):
+        lo, hi = bounds[k], bounds[k + 1]
+        spare = (percent - EXTRA[level]) / 100.0 - t  # of the partner: outside its prefix beyond its share of the overlap
+        first, last = (lo, hi) if smaller else (1 / hi, 1 / lo)
+        return F.greatest(F.lit(1), F.ceil(F.least(t * (n + first * n) - outside, t * n - last * n * spare) - 1e-6))
+
+    def side(smaller: bool, name: str) -> DataFrame:
+        kinds = [F.when(F.col("often") >= least(smaller, k, level), F.struct(F.lit(k).alias("k"), F.lit(level).alias("partner"))) for k in range(len(bounds) - 1) for level in range(len(EXTRA))]
+        rows = at.withColumn("kind", F.explode(F.array_compact(F.array(*kinds))))
+        mine, other = ("level_a", "level_b") if smaller else ("level_b", "level_a")
+        return rows.select("shingle", F.col("kind.k").alias("k"), F.col("level").alias(mine), F.col("kind.partner").alias(other), *(F.col(c).alias(f"{c}_{name}") for c in ("id", "n", "comp")))
+
+    pairs = side(True, "a").join(side(False, "b"), ["shingle", "k", "level_a", "level_b"])
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))
-    rest = a.join(b, "shingle").where(smaller & (F.col("comp_a") != F.col("comp_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent))
-    rest = rest.select("id_a", "id_b", "n_a", "n_b", "p_a", "p_b").distinct()
-    held = written(at.groupBy("id").agg(F.collect_list("shingle").alias("held")), "held")
-    rest = rest.join(held.select(F.col("id").alias("id_a"), F.col("held").alias("held_a")), "id_a").join(held.select(F.col("id").alias("id_b"), F.col("held").alias("held_b")), "id_b")
-    rest = rest.where(F.size(F.array_intersect("held_a", "held_b")) >= _needed(percent))
-    rest = written(rest.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")), "rest_pairs")
-    if not rest.isEmpty():
-        second = _verified(rest, _sets_of(docs, rest, words, "rest_sets"), percent, "rest")
-        if not second.isEmpty():
-            comps = components(first.union(second))
-    return by_doc, written(reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("n", "sig_a", "sig_b", "rep", F.coalesce("comp", "rep").alias("comp")), "classes")
+    high = F.element_at(F.array(*(F.lit(b) for b in bounds[1:])), F.col("k") + 1)
+    low = F.element_at(F.array(F.lit(0.0), *(F.lit(b) for b in bounds[1:-1])), F.col("k") + 1)
+    ratio = F.col("n_b") / F.col("n_a")
+    pairs = pairs.where(smaller & (F.col("comp_a") != F.col("comp_b")) & (ratio > low) & (ratio <= high))
+    return pairs.select(F.col("id_a").alias("x"), F.col("id_b").alias("y")).distinct()
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
