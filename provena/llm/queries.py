@@ -69,5 +69,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_cnn, op2_packing, op3_warc, op4_pii, op5_language_id, op6_decontaminate, op7_secret_scan, op8_license_scan, op9_jaccard_join, op10_quality_rules)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: SHA-1 in base32: the 40 hexadecimal digits as 160 bits, five bits to a letter.
+_BASE32 = "(SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, 1 + 5 * (g // 4), 5) AS bigint) >> (15 - 5 * (g % 4))) & 31)::int, 1), '' ORDER BY g) FROM range(32) t(g))"
+
+ORACLES = {
+    "op3_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, octet_length(encode(html))::bigint AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+    "op9_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g), s AS (SELECT doc_id, unnest(g) AS s FROM g),
+k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM k JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 80 * (a.n + b.n - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r AS (SELECT doc_id AS start, doc_id AS at FROM n UNION SELECT r.start, e.y FROM r JOIN e ON e.x = r.at)
+SELECT n.doc_id, n.n AS n_shingles, min(r.at) AS component_id FROM n JOIN r ON r.start = n.doc_id GROUP BY n.doc_id, n.n""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
