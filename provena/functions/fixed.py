@@ -88,3 +88,16 @@ DECISION_SEVERITY = {"proceed": 0, "regenerate": 1, "replan": 2}
 TRACKING_PREFIXES = ("utm_", "gclid", "fbclid", "mc_", "ref")
 MAX_RELIABILITY, YAGER_CONFLICT = 0.99, 0.8
 HALF_LIFE_DAYS, STALE_DAYS, REINFORCE_GROWTH = 90.0, 180.0, 0.5
+
+# Relation phrases in order of preference, and names in prose.
+REL_PHRASES = (("cross-references", "CROSS_REFERENCE"), ("cross references", "CROSS_REFERENCE"), ("cross-reference for", "CROSS_REFERENCE"), ("is superseded by", "SUPERSEDED_BY"), ("superseded by", "SUPERSEDED_BY"), ("replaced by", "SUPERSEDED_BY"), ("pin-compatible with", "PIN_COMPATIBLE_WITH"), ("pin compatible with", "PIN_COMPATIBLE_WITH"), ("same die as", "SAME_DIE_AS"), ("renamed to", "RENAMED_TO"), ("was acquired by", "ACQUIRED_BY"), ("acquired by", "ACQUIRED_BY"), ("affected by", "AFFECTED_BY"), ("franchise for", "FRANCHISE_FOR"), ("authorized distributor for", "FRANCHISE_FOR"), ("is manufactured by", "MANUFACTURED_BY"), ("manufactured by", "MANUFACTURED_BY"), ("stocked at", "STOCKED_AT"))
+MAKER_KEYS = {"atmel": "mfr:atmel", "microchip technology": "mfr:microchip", "microchip": "mfr:microchip", "texas instruments": "mfr:ti", "stmicroelectronics": "mfr:st", "analog devices": "mfr:analog", "nxp": "mfr:nxp", "infineon": "mfr:infineon", "onsemi": "mfr:onsemi", "renesas": "mfr:renesas"}
+SELLER_KEYS = {"digikey": "dist:digikey", "digi-key": "dist:digikey", "mouser": "dist:mouser", "arrow": "dist:arrow", "farnell": "dist:farnell"}
+
+# The ladder for obsolete parts, gaps and their repair queries, words that are no part of a vendor's name.
+DMSMS_LADDER = ("existing_stock", "reclamation", "substitute", "alternate_source", "redesign", "emulation")
+NON_PRICED = ("NOT_FOUND", "QUOTE_REQUIRED", "CONTACT_FOR_PRICING", "CONFLICTING")
+REPAIR_QUERIES = {"quote_channel": "{q} request a quote contact sales RFQ", "checklist": "{q} service scope pricing requirements FAQ", "geo": "{q} location address office", "fff_conflict": "{q} datasheet pinout package equivalent", "datasheet": "{q} datasheet archive specification", "price_conflict": "{q} official latest price datasheet"}
+VENDOR_STOPWORDS = ("pte", "ltd", "sdn", "bhd", "llc", "inc", "co", "company", "team")
+PAGE_PRICE = r"(?:S\$|US\$|RM|SGD|USD|MYR|EUR|GBP|\$|£|€)\s?\d[\d,]*(?:\.\d+)?"
+PREMISE_CURRENCY = r"(?:s\$|us\$|\$|£|€|(?<![a-z0-9])(?:rm|sgd|usd|myr|eur|gbp))\s?(?=\d)"

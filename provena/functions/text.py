@@ -227,3 +227,66 @@ def skeleton(query: Column) -> Column:
     low = F.lower(_text(query))
     low = F.regexp_replace(low, r"\b(?:" + "|".join(sorted(fixed.GEO_TERMS, key=lambda x: (-len(x), x))) + r")\b", "{region}")
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"\d+", "{number}"), r"\s+", " "))
+
+
+def _entity(word: Column) -> Column:
+    """The node id of a name or part number."""
+    low = F.lower(word)
+    return F.coalesce(lookup(low, fixed.MAKER_KEYS), lookup(low, fixed.SELLER_KEYS), entity_key("part", word))
+
+
+def triples(text: Column) -> Column:
+    """Distinct (src, rel, dst, sentence): of each sentence the first relation phrase that has an entity on both sides.
+
+    The subject is the last entity before the phrase, the object the first after it; a part is no relation of itself.
+    """
+    names = sorted({**fixed.MAKER_KEYS, **fixed.SELLER_KEYS}, key=lambda n: (-len(n), n))
+    entity = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(n).replace(r"\ ", " ") for n in names) + r")(?![a-z0-9])|\b[A-Za-z](?=[A-Za-z0-9]*[0-9])[A-Za-z0-9]{3,}\b"
+    found = lambda c: F.regexp_extract_all(c, F.lit(entity), F.lit(0))
+
+    def of(sentence: Column) -> Column:
+        low = F.lower(sentence)
+        made = []
+        for phrase, rel in fixed.REL_PHRASES:
+            at = F.locate(phrase, low)
+            before, after = F.get(F.reverse(found(F.substring(sentence, F.lit(1), at - 1))), 0), F.get(found(F.substring(sentence, at + len(phrase), F.lit(2**31 - 1))), 0)
+            src, dst = _entity(before), _entity(after)
+            made.append(F.when((at > 0) & before.isNotNull() & after.isNotNull() & (src != dst), F.struct(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"), sentence.alias("sentence"))))
+        return F.coalesce(*made)
+
+    sentences = F.filter(F.transform(F.split(_text(text), r"[.!?\n]+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.array_distinct(F.filter(F.transform(sentences, of), lambda t: t.isNotNull()))
+
+
+def cross_references(text: Column) -> Column:
+    """Distinct (original, replacement): of each line the first part number, with each of the others."""
+
+    def of(line: Column) -> Column:
+        parts = mpns(line)
+        return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.struct(F.get(parts, 0).alias("original"), p.alias("replacement")))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(_text(text), "\n"), of)))
+
+
+def premise(text: Column) -> Column:
+    """Lower case without currency marks before numbers, thousands separators or runs of white space."""
+    low = F.regexp_replace(F.lower(_text(text)), fixed.PREMISE_CURRENCY, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"(?<=\d),(?=\d)", ""), r"\s+", " "))
+
+
+def value_grounded(value: Column, text: Column) -> Column:
+    """A number must equal a whole number of the text; anything else must occur in it."""
+    held, wanted = premise(text), premise(value)
+    numbers = F.transform(F.regexp_extract_all(held, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda x: x.cast("double"))
+    same = F.exists(numbers, lambda x: F.abs(x - wanted.try_cast("double")) < 1e-9)
+    return F.when(wanted.rlike(r"^\d+(?:\.\d+)?$"), same).otherwise(F.contains(held, wanted) & (wanted != ""))
+
+
+def vendor_key(name: Column) -> Column:
+    """Words of a vendor's name without legal forms."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(_text(name)), "[^a-z0-9 ]", " ")), " +")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*fixed.VENDOR_STOPWORDS)), " ")
+
+
+def channel_of_value(value: Column) -> Column:
+    return F.when(F.contains(value, F.lit("@")), "contact_email").when(F.length(F.regexp_replace(value, "[^0-9]", "")) >= 7, "phone").otherwise("contact_page")

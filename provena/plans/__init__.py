@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from provena.plans import extraction, graph_memory, ranking, sourcing, trust  # noqa: F401
+    from provena.plans import claims, extraction, graph_memory, ranking, sourcing, trust  # noqa: F401
