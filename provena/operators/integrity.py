@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,10 @@ def inclusion_proofs(rows: DataFrame, by: list[str], data: str) -> DataFrame:
 def root_of(hash_: Column, path: Column) -> Column:
     """The root that a leaf's path leads to."""
     return F.aggregate(path, hash_, lambda h, s: F.when(s["side"] == "right", node(h, s["hash"])).otherwise(node(s["hash"], h)))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal: the two padded keys are constants."""
+    padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in padded) for x in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)

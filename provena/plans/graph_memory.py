@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from provena.functions import fixed, scores
-from provena.operators import graph, temporal
+from provena.operators import graph, ranking, temporal
 from provena.plans import query
 from provena.plans.inputs import duck, table, view
 
@@ -46,7 +46,6 @@ def _ppr_sql(rounds: int) -> str:
 def graph_pagerank(spark, sf_dir):
     """GR5, GR6: personalised PageRank, six rounds."""
     e = graph.current(view(spark, sf_dir, "edges"))
-    seeds = e.where(F.col("src").isin("part:1", "part:2", "part:3")).select(F.col("src").alias("id")).distinct()
     seeds = view(spark, sf_dir, "edges").where(F.col("src").isin("part:1", "part:2", "part:3")).select(F.col("src").alias("id")).distinct()
     return graph.pagerank(e.select("src", "dst", (F.col("confidence") * 0.85).alias("weight")), seeds, rounds=6, every=3).select("id", F.round("rank", 6).alias("rank"))
 
@@ -124,5 +123,4 @@ def vector_recall(spark, sf_dir):
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
     d = F.sqrt(F.aggregate(F.zip_with("qe", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
     pairs = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", d.alias("d"))
-    near = pairs.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("d", "vec_id"))).alias("x")).select("q", F.explode(F.slice("x", 1, 3)).alias("x"))
-    return near.select(F.col("q").alias("vec_id"), F.col("x.vec_id").alias("near_id"))
+    return ranking.top_k(pairs, ["q"], [F.asc("d"), F.asc("vec_id")], 3).select(F.col("q").alias("vec_id"), F.col("vec_id").alias("near_id"))

@@ -40,7 +40,7 @@ FROM {lineitem}""",
 SELECT concat('part:', cast(l_partkey AS varchar(20))) AS src, concat('part:', cast((l_partkey * 7 + l_linenumber) % 2000 AS varchar(20))) AS dst,
   CASE l_linenumber % 4 WHEN 0 THEN 'CROSS_REFERENCE' WHEN 1 THEN 'SUPERSEDED_BY' WHEN 2 THEN 'STOCKED_AT' ELSE 'SAME_DIE_AS' END AS rel,
   l_discount * 5 + 0.5 AS confidence, l_shipdate AS event_ts, CASE WHEN l_returnflag = 'R' THEN l_shipdate ELSE NULL END AS valid_to, concat('c', cast(l_suppkey AS varchar(20))) AS claim, (l_orderkey * 10 + l_linenumber) * 100 + cast(l_quantity AS bigint) AS seq
-FROM {lineitem} WHERE l_partkey <= 400""",
+FROM {lineitem}""",
     # Facts of users, in order of arrival.
     "facts": """
 SELECT user_id AS entity, event_type AS field, event_id AS seq, ts AS event_ts, cast(cast(floor(value) AS bigint) % 7 AS varchar(20)) AS value, value / 100 AS score, event_id % 5 AS reinforced, event_id % 3 AS disputes

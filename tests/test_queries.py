@@ -114,3 +114,12 @@ def test_library_imports_without_training_data_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"provena\.llm|corpus_pipeline", p.read_text()), p
+
+
+def test_salts_are_hmac(spark):
+    import hmac
+
+    from provena.operators import integrity
+
+    rows = spark.range(5).select("id", integrity.hmac_sha256(b"key", F.col("id").cast("string")).alias("h")).collect()
+    assert all(r["h"] == hmac.new(b"key", str(r["id"]).encode(), "sha256").hexdigest() for r in rows)
