@@ -101,3 +101,10 @@ REPAIR_QUERIES = {"quote_channel": "{q} request a quote contact sales RFQ", "che
 VENDOR_STOPWORDS = ("pte", "ltd", "sdn", "bhd", "llc", "inc", "co", "company", "team")
 PAGE_PRICE = r"(?:S\$|US\$|RM|SGD|USD|MYR|EUR|GBP|\$|£|€)\s?\d[\d,]*(?:\.\d+)?"
 PREMISE_CURRENCY = r"(?:s\$|us\$|\$|£|€|(?<![a-z0-9])(?:rm|sgd|usd|myr|eur|gbp))\s?(?=\d)"
+
+# Minimum order quantities, subjects of claims, phrases before a successor.
+MOQ = r"(?:MOQ|minimum order(?: quantity)?)\D{0,15}([\d,]+)"
+SUBJECT_STOP = ("pte", "ltd", "limited", "co", "company", "corp", "inc", "singapore", "sg", "the", "and", "of", "supply", "services", "trading", "enterprise", "group", "global", "international", "solutions", "systems")
+CLAIM_TOKEN = r"[a-z0-9@.+]+"
+SENTENCE_SPLIT = r"(?<=[.!?])\s+|\n+"
+SUCCESSOR = r"(?:cross-references|cross references|cross-reference for|is superseded by|superseded by|replaced by|pin-compatible with|pin compatible with|same die as|renamed to)\s*$"

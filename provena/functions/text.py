@@ -290,3 +290,45 @@ def vendor_key(name: Column) -> Column:
 
 def channel_of_value(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("@")), "contact_email").when(F.length(F.regexp_replace(value, "[^0-9]", "")) >= 7, "phone").otherwise("contact_page")
+
+
+def moq(text: Column) -> Column:
+    return F.regexp_replace(F.nullif(F.regexp_extract(_text(text), ignoring_case(fixed.MOQ), 1), F.lit("")), ",", "").try_cast("bigint")
+
+
+def subject_tokens(subject: Column) -> Column:
+    """A subject's tokens of three characters or more, or else of two."""
+    raw = F.filter(F.regexp_extract_all(F.lower(_text(subject)), F.lit(fixed.CLAIM_TOKEN), F.lit(0)), lambda w: ~w.isin(*fixed.SUBJECT_STOP))
+    strong = F.filter(raw, lambda w: F.length(w) >= 3)
+    return F.when(F.size(strong) > 0, strong).otherwise(F.filter(raw, lambda w: F.length(w) >= 2))
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.transform(F.split(_text(text), fixed.SENTENCE_SPLIT), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def relation_grounded(subject: Column, value: Column, text: Column) -> Column:
+    """Whether the value stands in a sentence with half of the subject's tokens, or right after one that has them."""
+    tokens, held = subject_tokens(subject), sentences(text)
+
+    def named(sentence: Column, wanted: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(sentence), F.lit(fixed.CLAIM_TOKEN), F.lit(0))
+        return F.size(F.filter(wanted, lambda t: F.array_contains(words, t))) >= F.greatest(F.lit(1), F.floor((F.size(wanted) + 1) / 2))
+
+    def of(x: Column) -> Column:
+        s, t = x["s"], x["t"]
+        return F.exists(F.transform(s, lambda one, i: value_grounded(value, one) & (named(one, t) | ((i > 0) & F.coalesce(named(F.get(s, i - 1), t), F.lit(False))))), lambda ok: ok)
+
+    return F.element_at(F.transform(F.array(F.struct(held.alias("s"), tokens.alias("t"))), of), 1)
+
+
+def lifecycle_of(text: Column, mpn: Column) -> Column:
+    """The first known state of a sentence that names the part other than as another's successor."""
+
+    def of(sentence: Column) -> Column:
+        before = F.transform(F.slice(F.split(sentence, F.concat(F.lit(r"(?i)\b"), mpn, F.lit(r"\b")), -1), F.lit(1), F.size(F.split(sentence, F.concat(F.lit(r"(?i)\b"), mpn, F.lit(r"\b")), -1)) - 1), lambda b: b)
+        own = F.exists(before, lambda b: ~b.rlike(ignoring_case(fixed.SUCCESSOR)))
+        state = lifecycle(sentence)
+        return F.when(own & (state != "unknown"), state)
+
+    return F.coalesce(F.get(F.filter(F.transform(F.split(_text(text), fixed.SENTENCE_SPLIT), of), lambda s: s.isNotNull()), 0), F.lit("unknown"))

@@ -123,3 +123,17 @@ def test_salts_are_hmac(spark):
 
     rows = spark.range(5).select("id", integrity.hmac_sha256(b"key", F.col("id").cast("string")).alias("h")).collect()
     assert all(r["h"] == hmac.new(b"key", str(r["id"]).encode(), "sha256").hexdigest() for r in rows)
+
+
+def test_similarity_is_difflib(spark):
+    from difflib import SequenceMatcher
+
+    p = plans.QUERIES["rank_novelty"](spark, SF)
+    assert 0 < p.count() and p.where("novelty < 0 or novelty > 1").count() == 0
+    for r in plans.QUERIES["near_duplicate_pages"](spark, SF).collect():
+        assert r["ratio"] >= 0.92
+    from provena.functions import similar
+
+    rows = [("abcdef", "abcxef"), ("", "a"), ("same", "same"), (None, "x")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", similar.ratio("a", "b").alias("r")).collect()
+    assert [r["r"] for r in got] == [0.0 if a is None else SequenceMatcher(None, a, b).ratio() for a, b in rows]
