@@ -2,9 +2,8 @@
 
 Everything over documents is DataFrame functions. The votes of R rules fall into at most 3^R patterns; their counts,
 the only thing collected, are what the expectation-maximisation runs on, so its cost does not depend on the corpus.
-Each rule has its own rates of voting bad, abstaining and voting good for either class, estimated together with the
-share of good documents. A document is kept when the posterior probability of being good is at least ``threshold``
-and the two base limits hold.
+Each rule has an accuracy, estimated together with the documents' classes. A document is kept when the posterior
+probability of being good is at least ``threshold`` and the two base limits hold.
 
 Null and empty texts have zeros everywhere and fail the base limits. Rows are independent: repeated rows repeat their
 result. An empty table gives an empty result. Extra columns are ignored.
@@ -25,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS = 50
 ROUNDS = 50
+#: What a rule's accuracy starts from, and the votes of it that stay.
+RIGHT, PRIOR = 0.9, 10.0
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -94,33 +95,21 @@ def rules() -> dict[str, Column]:
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior probability of good for each vote pattern, by expectation-maximisation over the patterns' counts.
 
-    It starts from: any bad vote means 0.1, else 0.9. Rates are smoothed by one vote, so that no rule is certain.
+    A rule has one accuracy, how often its votes are right; abstaining says nothing. No class is likelier beforehand,
+    so a text without votes is at 0.5. Accuracies start from RIGHT and keep PRIOR votes of it.
     """
-    total = sum(patterns.values())
-    if not total:
-        return {}
-    q = {p: 0.1 if 1 in p else 0.9 for p in patterns}
-    width = len(next(iter(patterns)))
+    width = len(next(iter(patterns))) if patterns else 0
+    accuracy, q = [RIGHT] * width, {}
     for _ in range(rounds):
-        mass = [sum(n * (1 - q[p]) for p, n in patterns.items()), sum(n * q[p] for p, n in patterns.items())]
-        prior = [(m + 1) / (total + 2) for m in mass]
-        rate = [[[1.0] * 3 for _ in range(width)] for _ in range(2)]
-        for p, n in patterns.items():
-            for j, v in enumerate(p):
-                rate[1][j][v] += n * q[p]
-                rate[0][j][v] += n * (1 - q[p])
-        for y in range(2):
-            for j in range(width):
-                s = sum(rate[y][j])
-                rate[y][j] = [x / s for x in rate[y][j]]
-        new = {}
-        for p in patterns:
-            odds = math.log(prior[1] / prior[0]) + sum(math.log(rate[1][j][v] / rate[0][j][v]) for j, v in enumerate(p))
-            new[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-        moved = max(abs(new[p] - q[p]) for p in patterns)
+        new = {p: 1 / (1 + math.exp(-sum((1 if v == 2 else -1) * math.log(accuracy[j] / (1 - accuracy[j])) for j, v in enumerate(p) if v))) for p in patterns}
+        moved = max((abs(new[p] - q.get(p, -1)) for p in patterns), default=0.0)
         q = new
         if moved < 1e-9:
             break
+        for j in range(width):
+            votes = sum(n for p, n in patterns.items() if p[j])
+            right = sum(n * (q[p] if p[j] == 2 else 1 - q[p]) for p, n in patterns.items() if p[j])
+            accuracy[j] = min(0.999, max(0.5, (right + PRIOR * RIGHT) / (votes + PRIOR)))
     return q
 
 
