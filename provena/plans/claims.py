@@ -14,19 +14,19 @@ from provena.plans.inputs import duck, table, view
 
 @query(duck("part_pages") + ", m AS (SELECT id, regexp_extract(text, '([A-Z0-9]+) is superseded by', 1) AS s, regexp_extract(text, 'is superseded by ([A-Z0-9]+)', 1) AS d, string_split_regex(text, '[.!?]+')[1] AS sentence FROM part_pages WHERE text LIKE '%is superseded by%') SELECT id, 'part:' || lower(s) AS src, 'SUPERSEDED_BY' AS rel, 'part:' || lower(d) AS dst, trim(sentence) AS sentence FROM m")
 def extract_triples(spark, sf_dir):
-    """EX28, GR3: relations in prose."""
+    """EX28: relations in prose."""
     return view(spark, sf_dir, "part_pages").select("id", F.explode(T.triples(F.col("text"))).alias("t")).select("id", "t.*")
 
 
 @query(duck("part_pages") + ", m AS (SELECT id, upper(regexp_extract(text, '([A-Z0-9]+) is superseded by', 1)) AS original, upper(regexp_extract(text, 'is superseded by ([A-Z0-9]+)', 1)) AS replacement FROM part_pages WHERE text LIKE '%is superseded by%') SELECT id, original, replacement FROM m")
 def extract_cross_references(spark, sf_dir):
-    """EX29, GR13: replacement pairs by line."""
+    """EX29: replacement pairs by line."""
     return view(spark, sf_dir, "part_pages").select("id", F.explode(T.cross_references(F.col("text"))).alias("x")).select("id", "x.*")
 
 
 @query(duck("part_pages") + ", v AS (SELECT id, cast(cast(floor(price) AS bigint) AS varchar) AS value, regexp_replace(text, '([0-9]),([0-9])', '\\1\\2', 'g') AS text FROM part_pages) SELECT id, list_contains(list_transform(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?'), lambda x: cast(x AS double)), cast(value AS double)) AS grounded FROM v")
 def ground_prices(spark, sf_dir):
-    """EX33, EX34, EX36: whether a page's text holds the price as a whole number."""
+    """EX33, EX34: whether a page's text holds the price as a whole number."""
     return view(spark, sf_dir, "part_pages").select("id", T.value_grounded(F.floor("price").cast("string"), F.col("text")).alias("grounded"))
 
 
@@ -44,7 +44,7 @@ def decompose_claims(spark, sf_dir):
 
 @query(duck("part_pages") + ", c AS (SELECT run_id, id AS claim, CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN id + 1000000 ELSE id END AS parent, CASE id % 6 WHEN 2 THEN 900 ELSE 0 END AS s, CASE id % 6 WHEN 2 THEN 950 ELSE 10 END AS e, CASE id % 6 WHEN 3 THEN 'x' END AS bad FROM part_pages) SELECT c.run_id, c.claim, CASE WHEN parent IS NULL THEN 'no_parent_id' WHEN p.text IS NULL THEN 'no_parent' WHEN p.text = '' THEN 'no_text' WHEN e > length(p.text) THEN 'bad_offsets' WHEN bad IS NOT NULL THEN 'span_hash' ELSE 'ok' END AS fault FROM c LEFT JOIN part_pages p ON p.run_id = c.run_id AND p.id = c.parent")
 def verify_spans(spark, sf_dir):
-    """INT3, JN1, EX9: claims against the spans of their pages."""
+    """INT3, JN1: claims against the spans of their pages."""
     p = view(spark, sf_dir, "part_pages")
     k = F.col("id") % 6
     start, end = F.when(k == 2, 900).otherwise(0), F.when(k == 2, 950).otherwise(10)
@@ -62,7 +62,7 @@ def price_contradictions(spark, sf_dir):
 @query(duck("part_pages") + """, k AS (SELECT type, id, array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower(vendor_name), '[^a-z0-9 ]', ' ', 'g')), ' +'), lambda w: w NOT IN ('pte', 'ltd', 'sdn', 'bhd', 'llc', 'inc', 'co', 'company', 'team')), ' ') AS k FROM part_pages),
 m AS (SELECT a.type, a.id, min(b.id) AS seq FROM k a JOIN k b ON a.type = b.type AND b.id % 2 = 0 AND a.id % 2 = 1 AND (contains(a.k, b.k) OR contains(b.k, a.k)) AND a.k <> '' AND b.k <> '' GROUP BY a.type, a.id) SELECT * FROM m""")
 def match_vendors(spark, sf_dir):
-    """JN3, JN4, MEM14: recalled vendors of candidates by name."""
+    """JN3: recalled vendors of candidates by name."""
     p = view(spark, sf_dir, "part_pages").select("type", "id", F.col("vendor_name").alias("vendor"))
     return verification.same_vendor(p.where("id % 2 = 1"), p.where("id % 2 = 0").withColumnRenamed("id", "seq"), ["type"])
 

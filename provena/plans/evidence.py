@@ -17,14 +17,14 @@ from provena.sources import generator, logs
 
 @query(duck("part_pages") + ", n AS (SELECT *, row_number() OVER (PARTITION BY run_id, query ORDER BY id) AS rank FROM part_pages WHERE url <> '') SELECT run_id, query, id, rank, 0.4::double AS confidence FROM n WHERE rank <= 10")
 def search_evidence(spark, sf_dir):
-    """SRC1, SRC2: hits of each query as evidence, ten at most."""
+    """SRC1: hits of each query as evidence, ten at most."""
     p = view(spark, sf_dir, "part_pages").where("url <> ''")
     return ranking.top_k(p, ["run_id", "query"], [F.asc("id")], 10).select("run_id", "query", "id", F.col("rank").cast("long"), F.lit(0.4).alias("confidence"))
 
 
 @query("SELECT q AS query, r::int AS rank, 'https://www.' || replace(q, ' ', '-') || '-' || r || '.example/' AS url FROM (VALUES ('pest control'), ('lm 317')) t(q), range(1, 4) s(r)")
 def search_hits(spark, sf_dir):
-    """SRC4, SRC7: generated hits from a Python data source."""
+    """SRC4: generated hits from a Python data source."""
     generator.register(spark)
     return spark.read.format("provena_hits").option("queries", "pest control|lm 317").option("limit", 3).load().select("query", "rank", "url")
 
@@ -37,7 +37,7 @@ def archive_queries(spark, sf_dir):
 
 @query(duck("facts") + "SELECT field, count(*) AS n, max(seq) AS last FROM facts GROUP BY field")
 def replay_log(spark, sf_dir):
-    """SRC12 to SRC16, SNK2: facts appended to a JSON log with versions, and read again."""
+    """SRC12 to SRC15, SNK2: facts appended to a JSON log with versions, and read again."""
     base = written(spark.range(1), "mark").inputFiles()[0].rsplit("/", 2)[0] + "/log"
     logs.append_log(view(spark, sf_dir, "facts").select(F.lit("1.0").alias("schema_version"), "seq", "entity", "field", "value"), base)
     back = logs.versioned(logs.read_log(spark, base, "schema_version string, seq long, entity long, field string, value string"))
@@ -66,7 +66,7 @@ def redact_contacts(spark, sf_dir):
 
 @query(duck("candidates") + ", r AS (SELECT run_id, status, supp, min(seq) AS first FROM candidates GROUP BY run_id, status, supp), d AS (SELECT run_id, supp, min(first) AS first FROM r GROUP BY run_id, supp) SELECT run_id, count(*) AS refs, min_by(supp, first) AS lead FROM d GROUP BY run_id")
 def evidence_bundles(spark, sf_dir):
-    """FLT11, FLT12, SET4, SET7: a run's distinct references in order of fields."""
+    """FLT11, SET7: a run's distinct references in order of fields."""
     d = verification.first_rows(view(spark, sf_dir, "candidates").select("run_id", "supp", "seq"), ["run_id", "supp"], "seq")
     return d.groupBy("run_id").agg(F.count("*").alias("refs"), F.min_by("supp", "seq").alias("lead"))
 
@@ -99,7 +99,7 @@ def link_notes(spark, sf_dir):
 
 @query(duck("candidates") + ", c AS (SELECT DISTINCT supp FROM candidates WHERE refs > 1) SELECT s_suppkey, s_suppkey IN (SELECT supp FROM c) AS cited FROM supplier")
 def cited_facts(spark, sf_dir):
-    """JN11, JN12, JN14, CTL12: facts that some candidate cites."""
+    """JN11: facts that some candidate cites."""
     cited = view(spark, sf_dir, "candidates").where("refs > 1").select(F.col("supp").alias("s_suppkey")).distinct().withColumn("cited", F.lit(True))
     return table(spark, sf_dir, "supplier").select("s_suppkey").join(cited, "s_suppkey", "left").select("s_suppkey", F.coalesce("cited", F.lit(False)).alias("cited"))
 
@@ -135,7 +135,7 @@ def grade_substitutes(spark, sf_dir):
 
 @query(duck("part_pages") + ", q AS (SELECT id, list_distinct(string_split(query, ' ')) AS w FROM part_pages), s AS (SELECT DISTINCT type AS name, list_distinct(string_split(lower(type) || ' cleaning office quote price contact', ' ')) AS k FROM part_pages) SELECT id, name, len(list_intersect(w, k)) AS overlap, len(list_intersect(w, k)) / len(list_distinct(list_concat(w, k)))::double AS jaccard FROM q, s WHERE len(list_intersect(w, k)) >= 1")
 def match_skills(spark, sf_dir):
-    """RNK14, SET5, MEM9, MEM11: skills that share tokens with a query; the skills are a counted handful."""
+    """RNK14, SET5: skills that share tokens with a query; the skills are a counted handful."""
     p = view(spark, sf_dir, "part_pages")
     s = p.select(F.col("type").alias("name")).distinct().withColumn("k", F.array_distinct(F.split(F.concat(F.lower("name"), F.lit(" cleaning office quote price contact")), " ")))
     q = p.select("id", F.array_distinct(F.split("query", " ")).alias("w"))
@@ -145,7 +145,7 @@ def match_skills(spark, sf_dir):
 
 @query(duck("candidates") + "SELECT a.run_id, a.seq, greatest(a.match_score, b.match_score) AS match_score, greatest(a.completeness, b.completeness) AS completeness, a.refs + b.refs AS refs FROM candidates a JOIN (SELECT run_id, max(match_score) AS match_score, max(completeness) AS completeness, sum(refs) AS refs FROM candidates WHERE flagged GROUP BY run_id) b USING (run_id) WHERE NOT a.flagged")
 def merge_repairs(spark, sf_dir):
-    """SET3, SET6, CTL20: a bundle's metrics with those of its repair, the better of each."""
+    """SET3: a bundle's metrics with those of its repair, the better of each."""
     c = view(spark, sf_dir, "candidates")
     b = c.where("flagged").groupBy("run_id").agg(F.max("match_score").alias("m"), F.max("completeness").alias("k"), F.sum("refs").alias("r"))
     return c.where("not flagged").join(b, "run_id").select("run_id", "seq", F.greatest("match_score", "m").alias("match_score"), F.greatest("completeness", "k").alias("completeness"), (F.col("refs") + F.col("r")).alias("refs"))
@@ -162,7 +162,7 @@ def locate_spans(spark, sf_dir):
 
 @query(duck("part_pages") + ", s AS (SELECT * FROM (VALUES (0, 'request quotation Singapore'), (1, 'RFQ Singapore'), (2, 'contact sales Malaysia')) t(pos, suffix)) SELECT p.id, s.pos, left(p.query || ' ' || s.suffix, 200) AS search, CASE WHEN contains(p.query, 'Singapore') THEN 'SG' END AS location FROM part_pages p, s")
 def expand_queries(spark, sf_dir):
-    """EX20 to EX22, EX50, EX53: a query's templates with location code."""
+    """EX22, EX53: a query's templates with location code."""
     suffixes = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(s).alias("suffix")) for i, s in enumerate(("request quotation Singapore", "RFQ Singapore", "contact sales Malaysia"))))
     p = view(spark, sf_dir, "part_pages").select("id", "query", F.explode(suffixes).alias("s"))
     country = F.coalesce(*(F.when(F.contains("query", F.lit(c)), F.lit(code)) for c, code in fixed.COUNTRY_CODE.items()))
@@ -171,7 +171,7 @@ def expand_queries(spark, sf_dir):
 
 @query(duck("part_pages") + ", v AS (SELECT id, CASE id % 3 WHEN 0 THEN 'a@b.sg' WHEN 1 THEN '+65 6123 4567' ELSE 'https://x.sg/c' END AS value FROM part_pages) SELECT id, CASE WHEN contains(value, '@') THEN 'contact_email' WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 THEN 'phone' ELSE 'contact_page' END AS type, id % 3 = 0 OR id % 5 = 0 AS promoted FROM v")
 def recalled_channels(spark, sf_dir):
-    """EX52, EX54, MEM4, MEM15: the kind of a remembered channel, and whether a contact is promoted."""
+    """EX54: the kind of a remembered channel, and whether a contact is promoted."""
     k = F.col("id")
     value = F.when(k % 3 == 0, "a@b.sg").when(k % 3 == 1, "+65 6123 4567").otherwise("https://x.sg/c")
     return view(spark, sf_dir, "part_pages").select("id", T.channel_of_value(value).alias("type"), ((k % 3 == 0) | (k % 5 == 0)).alias("promoted"))
@@ -203,7 +203,7 @@ def circuit_breakers(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS calls, count(*) FILTER (WHERE event_id % 10 = 0) AS malformed FROM events GROUP BY event_type")
 def malformed_outputs(spark, sf_dir):
-    """CTL16, JDG2: structured outputs that don't parse are counted, never guessed."""
+    """CTL16: structured outputs that don't parse are counted, never guessed."""
     e = table(spark, sf_dir, "events").withColumn("out", F.when(F.col("event_id") % 10 == 0, F.concat(F.col("props"), F.lit("{"))).otherwise(F.col("props")))
     e = e.withColumn("out", F.when(F.col("event_id") % 10 == 0, F.lit('{"k": ')).otherwise(F.col("out")))
     p = F.from_json("out", "k int, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
@@ -212,7 +212,7 @@ def malformed_outputs(spark, sf_dir):
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey = 0 THEN 0 ELSE floor(log2(n_nationkey + 1))::int END AS level FROM nation")
 def plan_levels(spark, sf_dir):
-    """CTL3, CTL11: topological levels of a plan."""
+    """CTL3: topological levels of a plan."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
     edges = n.where("id > 0").select(F.floor((F.col("id") - 1) / 2).cast("int").alias("src"), F.col("id").alias("dst"))
     return verification.levels(edges, n)

@@ -161,7 +161,7 @@ def _life(col: str) -> str:
 , l AS (SELECT id, {_life('text')} AS state, regexp_matches(lower(text), {_lit(fixed.PCN_PHRASE)}) OR regexp_matches(lower(text), {_lit(fixed.PCN_ID)}) AS pcn FROM part_pages)
 SELECT id, state, pcn, {_case('state', fixed.LIFECYCLE_SEVERITY)} AS severity, {_case('state', fixed.LIFECYCLE_LABEL)} AS label FROM l""")
 def lifecycle_signals(spark, sf_dir):
-    """EX23, EX24, GR11: lifecycle state, change notices and severity."""
+    """EX23, EX24: lifecycle state, change notices and severity."""
     p = view(spark, sf_dir, "part_pages").select("id", T.lifecycle(F.col("text")).alias("state"), T.has_pcn(F.col("text")).alias("pcn"))
     return p.withColumns({"severity": T.lookup(F.col("state"), fixed.LIFECYCLE_SEVERITY), "label": T.lookup(F.col("state"), fixed.LIFECYCLE_LABEL)})
 

@@ -29,7 +29,7 @@ def graph_traverse(spark, sf_dir):
 
 @query(duck("edges") + f", s AS (SELECT DISTINCT src AS id FROM edges WHERE src LIKE 'part:1%'), c AS (SELECT src, dst, confidence FROM edges WHERE valid_to IS NULL AND rel IN ({_RELS})), one AS (SELECT s.id AS seed, c.dst AS id, 1 AS depth, c.confidence * 0.85 AS confidence FROM s JOIN c ON s.id = c.src), two AS (SELECT DISTINCT seed, id AS src FROM one), f AS (SELECT * FROM one UNION ALL SELECT two.seed, c.dst, 2, c.confidence * 0.7224999999999999 FROM two JOIN c ON two.src = c.src), g AS (SELECT *, row_number() OVER (PARTITION BY seed, id ORDER BY depth, confidence DESC) AS rn FROM f WHERE id NOT IN (SELECT id FROM s)) SELECT seed, id, depth, round(confidence, 6) AS confidence FROM g WHERE rn = 1")
 def graph_substitutes(spark, sf_dir):
-    """GR7 to GR9: substitutes within two hops."""
+    """GR7, GR8: substitutes within two hops."""
     e = view(spark, sf_dir, "edges")
     seeds = e.where("src like 'part:1%'").select(F.col("src").alias("id")).distinct()
     return graph.substitutes(e, seeds)
@@ -44,7 +44,7 @@ def _ppr_sql(rounds: int) -> str:
 
 @query(_ppr_sql(6))
 def graph_pagerank(spark, sf_dir):
-    """GR5, GR6: personalised PageRank, six rounds."""
+    """GR5: personalised PageRank, six rounds."""
     e = graph.current(view(spark, sf_dir, "edges"))
     seeds = view(spark, sf_dir, "edges").where(F.col("src").isin("part:1", "part:2", "part:3")).select(F.col("src").alias("id")).distinct()
     return graph.pagerank(e.select("src", "dst", (F.col("confidence") * 0.85).alias("weight")), seeds, rounds=6, every=3).select("id", F.round("rank", 6).alias("rank"))
@@ -61,28 +61,28 @@ _FUNCTIONAL = "SELECT src AS key, seq, event_ts, dst FROM edges WHERE rel = 'SUP
 
 @query(duck("edges") + f", f AS ({_FUNCTIONAL}), p AS (SELECT a.key, a.seq, min_by(b.event_ts, b.seq) AS valid_to FROM f a JOIN f b ON a.key = b.key AND b.seq > a.seq AND b.event_ts > a.event_ts GROUP BY a.key, a.seq) SELECT f.key, f.seq, f.event_ts, p.valid_to FROM f LEFT JOIN p USING (key, seq)")
 def fact_versions(spark, sf_dir):
-    """TMP1, TMP2, WN2: closing times under arrival order; late facts stay open."""
+    """TMP1, WN2: closing times under arrival order; late facts stay open."""
     f = view(spark, sf_dir, "edges").where("rel = 'SUPERSEDED_BY'").select(F.col("src").alias("key"), "seq", "event_ts")
     return temporal.versions(f, ["key"])
 
 
 @query(duck("facts") + ", v AS (SELECT entity, field, seq, event_ts, value, lead(event_ts) OVER (PARTITION BY entity, field ORDER BY event_ts, seq) AS valid_to FROM facts), a AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY event_ts DESC, seq DESC) AS rn FROM v WHERE event_ts <= TIMESTAMP '2024-01-15' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15')) SELECT entity, field, seq, value FROM a WHERE rn = 1")
 def facts_as_of(spark, sf_dir):
-    """TMP3, TMP4, JN7: each fact as it was at a time."""
+    """TMP4, JN7: each fact as it was at a time."""
     v = temporal.versions_in_order(view(spark, sf_dir, "facts"), ["entity", "field"])
     return temporal.as_of(v, ["entity", "field"], F.lit("2024-01-15").cast("timestamp")).select("entity", "field", "seq", "value")
 
 
 @query(duck("facts") + ", a AS (SELECT *, greatest(0.0, (epoch_us(TIMESTAMP '2024-06-30') - epoch_us(event_ts)) / 86400000000) AS age FROM facts) SELECT entity, seq, round(score * exp(-age / ((90.0 / ln(2.0)) * (1 + 0.5 * reinforced) / pow(2.0, disputes))), 4) AS decayed, CASE WHEN age >= 180 THEN 'stale' ELSE 'active' END AS status FROM a")
 def decayed_facts(spark, sf_dir):
-    """TMP5, TMP6, CTL18, FLT5: decayed confidence and staleness."""
+    """TMP5, TMP6, CTL18: decayed confidence and staleness."""
     f = view(spark, sf_dir, "facts").withColumns({"confidence": F.col("score"), "last_ts": F.col("event_ts")})
     return temporal.aged(f, F.lit("2024-06-30").cast("timestamp")).select("entity", "seq", "decayed", "status")
 
 
 @query(duck("facts") + ", d AS (SELECT entity, field, value, max(score) AS score, count(*) AS n, min(seq) AS first FROM facts GROUP BY entity, field, value), r AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY score DESC, first) AS rn, count(*) OVER (PARTITION BY entity, field) AS sides FROM d) SELECT entity, field, value, score AS confidence, n - 1 AS reinforced, sides - 1 AS alternatives, CASE WHEN sides > 1 THEN 'disputed' ELSE 'active' END AS status FROM r WHERE rn = 1")
 def memory_upsert(spark, sf_dir):
-    """MEM1 to MEM3, DD: one fact for each key; other values are kept as disputed sides."""
+    """MEM1 to MEM3: one fact for each key; other values are kept as disputed sides."""
     d = view(spark, sf_dir, "facts").groupBy("entity", "field", "value").agg(F.max("score").alias("confidence"), F.count("*").alias("n"), F.min("seq").alias("first"))
     w = Window.partitionBy("entity", "field")
     d = d.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("confidence"), "first")), "sides": F.count("*").over(w)}).where("rn = 1")
@@ -118,7 +118,7 @@ def revalidate(spark, sf_dir):
 
 @query("SELECT a.vec_id, b.vec_id AS near_id FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a, LATERAL (SELECT vec_id FROM embeddings b WHERE b.vec_id <> a.vec_id ORDER BY list_distance(a.embedding, b.embedding), vec_id LIMIT 3) b")
 def vector_recall(spark, sf_dir):
-    """MEM7, DD4: the three nearest vectors of each query vector, exactly: a partial top-k before the shuffle."""
+    """MEM7: the three nearest vectors of each query vector, exactly: a partial top-k before the shuffle."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
     d = F.sqrt(F.aggregate(F.zip_with("qe", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))

@@ -31,7 +31,7 @@ def rank_products(spark, sf_dir):
 
 @query(duck("candidates") + f", s AS (SELECT *, {_PRODUCT} AS score FROM candidates WHERE refs > 0), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq) AS rank FROM s) SELECT run_id, seq, rank, CASE WHEN rank = 1 THEN 'primary' WHEN rank <= 4 THEN 's1' ELSE 's2' END AS slot FROM r")
 def rank_slots(spark, sf_dir):
-    """RNK5, WN3: the slot of each ranked candidate."""
+    """WN3: the slot of each ranked candidate."""
     return ranking.slots(_scored(spark, sf_dir), ["run_id"], "score", "seq").select("run_id", "seq", F.col("rank").cast("long"), "slot")
 
 
@@ -96,7 +96,7 @@ def gold_set_ratios(spark, sf_dir):
 
 @query(duck("candidates") + ", u AS (SELECT supp % 4 AS model, sum(quantity) AS tok_in, sum(part % 100) AS tok_out FROM candidates GROUP BY 1), p AS (SELECT *, (model + 1) * 0.5 AS price_in, (model + 1) * 1.5 AS price_out FROM u) SELECT model, tok_in, tok_out, round((tok_in / 1000 * price_in + tok_out / 1000 * price_out)::double, 6) AS usd, round((tok_in / 1000 * 2.0 + tok_out / 1000 * 6.0)::double, 6) AS usd_at_most, round(greatest(0.0, tok_in / 1000 * 2.0 + tok_out / 1000 * 6.0 - (tok_in / 1000 * price_in + tok_out / 1000 * price_out))::double, 6) AS saved FROM p")
 def cost_report(spark, sf_dir):
-    """AG4, CTL9: token cost by model against the dearest model."""
+    """AG4: token cost by model against the dearest model."""
     u = view(spark, sf_dir, "candidates").groupBy((F.col("supp") % 4).alias("model")).agg(F.sum("quantity").alias("tok_in"), F.sum(F.col("part") % 100).alias("tok_out"))
     usd = F.col("tok_in") / 1000 * (F.col("model") + 1) * 0.5 + F.col("tok_out") / 1000 * (F.col("model") + 1) * 1.5
     most = F.col("tok_in") / 1000 * 2.0 + F.col("tok_out") / 1000 * 6.0
@@ -105,7 +105,7 @@ def cost_report(spark, sf_dir):
 
 @query(duck("candidates") + "SELECT run_id, least(1.0, count(DISTINCT supp) / 3.0) AS diversity, least(1.0, max(match_score)) AS best_match, bool_or(flagged) AS any_flagged, count(*) FILTER (WHERE status = 'CONFLICTING') AS conflicting FROM candidates GROUP BY run_id")
 def bundle_metrics(spark, sf_dir):
-    """AG7, AG8, RNK8: a run's bundle metrics."""
+    """AG8, RNK8: a run's bundle metrics."""
     return view(spark, sf_dir, "candidates").groupBy("run_id").agg(F.least(F.lit(1.0), F.count_distinct("supp") / 3.0).alias("diversity"), F.least(F.lit(1.0), F.max("match_score")).alias("best_match"), F.bool_or("flagged").alias("any_flagged"), F.count_if(F.col("status") == "CONFLICTING").alias("conflicting"))
 
 
@@ -117,7 +117,7 @@ def budget_prefix(spark, sf_dir):
 
 @query(duck("candidates") + f"SELECT run_id, seq, round((0.40 * CASE WHEN channel IS NULL THEN 0 ELSE 1 END + 0.25 * CASE WHEN match_score >= 0.5 THEN 1 ELSE 0 END + 0.20 * CASE WHEN refs > 0 THEN 1 ELSE 0 END + 0.15 * CASE WHEN country IS NULL THEN 0 ELSE 1 END)::double, 3) AS completeness, CASE WHEN channel IS NULL OR 0.40 + 0.25 * CASE WHEN match_score >= 0.5 THEN 1 ELSE 0 END + 0.20 * CASE WHEN refs > 0 THEN 1 ELSE 0 END + 0.15 * CASE WHEN country IS NULL THEN 0 ELSE 1 END < 0.65 THEN 'incomplete' ELSE 'draft' END AS rfq_status FROM candidates")
 def rfq_checklist(spark, sf_dir):
-    """EX40 to EX42, CTL7: checklist completeness and whether a draft can be made."""
+    """EX40: checklist completeness and whether a draft can be made."""
     c = view(spark, sf_dir, "candidates")
     done = scores.checklist(F.col("channel").isNotNull(), F.col("match_score") >= 0.5, F.col("refs") > 0, F.col("country").isNotNull())
     return c.select("run_id", "seq", done.alias("completeness"), F.when(F.col("channel").isNull() | (done < 0.65), "incomplete").otherwise("draft").alias("rfq_status"))
@@ -132,7 +132,7 @@ def obsolescence_plan(spark, sf_dir):
 
 @query(duck("candidates") + ", a AS (SELECT run_id, supp, line * 2 AS k FROM candidates WHERE line <= 3 UNION ALL SELECT run_id, supp, line * 2 + 1 FROM candidates WHERE line > 3), d AS (SELECT run_id, supp, min(k) AS k FROM a GROUP BY run_id, supp), r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY k, supp) AS pos FROM d) SELECT run_id, supp, pos FROM r WHERE pos <= 4")
 def merge_queries(spark, sf_dir):
-    """SET1, SET2, AG18: interleave two lists, first of each value, and cut."""
+    """SET2, AG18: interleave two lists, first of each value, and cut."""
     c = view(spark, sf_dir, "candidates")
     d = c.select("run_id", "supp", F.when(F.col("line") <= 3, F.col("line") * 2).otherwise(F.col("line") * 2 + 1).alias("k")).groupBy("run_id", "supp").agg(F.min("k").alias("k"))
     return ranking.top_k(d, ["run_id"], [F.asc("k"), F.asc("supp")], 4, "pos").select("run_id", "supp", F.col("pos").cast("long"))
@@ -140,7 +140,7 @@ def merge_queries(spark, sf_dir):
 
 @query("SELECT s_suppkey, round(coalesce(sum(l_extendedprice * (1 - l_discount)), 0), 2) AS revenue, count(l_orderkey) AS lines, count(DISTINCT l_partkey) AS parts FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey AND l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY s_suppkey")
 def supplier_evidence(spark, sf_dir):
-    """JN5, JN15: suppliers with the evidence of their order lines; the date reaches the scan."""
+    """JN5: suppliers with the evidence of their order lines; the date reaches the scan."""
     l = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")).groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"), F.count("*").alias("n"), F.count_distinct("l_partkey").alias("p"))
     s = table(spark, sf_dir, "supplier").join(l, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))

@@ -21,7 +21,7 @@ def extract_moq(spark, sf_dir):
 
 @query()
 def near_duplicate_pages(spark, sf_dir):
-    """DD3, RNK15: pages near the one before them of their group; lengths decide first; tests hold the ratio against difflib."""
+    """DD3: pages near the one before them of their group; lengths decide first; tests hold the ratio against difflib."""
     p = view(spark, sf_dir, "part_pages").where("text <> ''")
     p = p.withColumn("before", F.lag("text").over(Window.partitionBy("run_id").orderBy("id"))).where(similar.can_reach(F.col("text"), F.col("before"), 0.92))
     return p.select("run_id", "id", similar.ratio("text", "before").alias("ratio")).where("ratio >= 0.92")
@@ -39,7 +39,7 @@ def rank_novelty(spark, sf_dir):
 
 @query(duck("part_pages") + "SELECT id, id % 3 = 0 AS grounded FROM part_pages")
 def colocated_claims(spark, sf_dir):
-    """EX35, EX37: whether value and vendor stand together."""
+    """EX35: whether value and vendor stand together."""
     p = view(spark, sf_dir, "part_pages")
     k = F.col("id") % 3
     text = F.when(k == 0, F.concat(F.lit("Acme Metal has bolts. Price 12.50 each.\nOther")).cast("string")).when(k == 1, "Price 12.50 each. Nothing else here. Acme Metal").otherwise("Acme Metal sells at 125.00 only.")

@@ -24,7 +24,7 @@ def fetch_pages(spark, sf_dir):
 
 @query(duck("part_pages") + ", e AS (SELECT id, url FROM part_pages WHERE id % 5 = 4), s AS (SELECT url, id AS timestamp, concat('snap', id) AS original, row_number() OVER (PARTITION BY url ORDER BY id DESC) AS rn FROM part_pages WHERE id % 2 = 0) SELECT e.id, s.original, 0.5::double AS confidence FROM e JOIN s ON e.url = s.url WHERE rn = 1")
 def recover_pages(spark, sf_dir):
-    """SRC9, SRC10: failed addresses with their newest snapshot."""
+    """SRC9: failed addresses with their newest snapshot."""
     p = view(spark, sf_dir, "part_pages")
     snaps = p.select("url", F.col("id").alias("timestamp"), F.concat(F.lit("snap"), F.col("id").cast("string")).alias("original"), F.when(F.col("id") % 2 == 0, 200).otherwise(404).alias("status"))
     return logs.recovered(p.where("id % 5 = 4").select("id", "url"), snaps).select("id", "original", "confidence")

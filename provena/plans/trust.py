@@ -15,20 +15,20 @@ _FUSE = ", m AS (SELECT entity, field, CASE WHEN value IN ('0', '1', '2', '3') T
 
 @query(duck("facts") + _FUSE + " SELECT entity, field, round(qt / z, 6) AS belief, round(qt / z + (pu + y) / z, 6) AS plausibility, round(k, 6) AS conflict, CASE WHEN n = 1 THEN 'single' WHEN k > 0.8 THEN 'yager' ELSE 'dempster' END AS rule FROM s")
 def fuse_beliefs(spark, sf_dir):
-    """UNC1 to UNC4, RNK7, AG13: belief intervals of each fact from all its sources."""
+    """UNC1, UNC2, AG13: belief intervals of each fact from all its sources."""
     f = view(spark, sf_dir, "facts").where("seq % 7 = entity % 7").select("entity", "field", F.col("score").alias("reliability"), F.col("value").isin("0", "1", "2", "3").alias("supports"))
     return belief.fuse(f, ["entity", "field"])
 
 
 @query(duck("facts") + ", c AS (SELECT field, 1 - least(1.0, greatest(0.0, score)) AS nc FROM facts WHERE reinforced > 0), r AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY nc) AS i, count(*) OVER (PARTITION BY field) AS n FROM c) SELECT field, max(n) AS n, round(1 - max(CASE WHEN i = ceil((n + 1) * (1 - 0.1::double)) THEN nc END), 6) AS threshold FROM r GROUP BY field")
 def conformal_thresholds(spark, sf_dir):
-    """UNC5 to UNC7, WN8: split-conformal abstention thresholds."""
+    """UNC5, WN8: split-conformal abstention thresholds."""
     return belief.conformal(view(spark, sf_dir, "facts").select("field", "score", (F.col("reinforced") > 0).alias("correct")), ["field"])
 
 
 @query(duck("facts") + ", c AS (SELECT entity, value, count(*) AS c FROM facts GROUP BY entity, value), t AS (SELECT entity, count(*) AS clusters, sum(c) AS n, sum(c * ln(c)) AS l, max(c) AS m FROM c GROUP BY entity) SELECT entity, clusters, round(ln(n) - l / n, 4) AS entropy, round(CASE WHEN clusters > 1 THEN 1 - (ln(n) - l / n) / ln(clusters) ELSE 1.0 END, 4) AS confidence, round((m / n)::double, 4) AS top FROM t")
 def semantic_entropy(spark, sf_dir):
-    """AG11, UNC8: agreement of the values sampled for an entity."""
+    """AG11: agreement of the values sampled for an entity."""
     return belief.entropy(view(spark, sf_dir, "facts"), ["entity"], "value")
 
 
@@ -38,7 +38,7 @@ _TIER = f"least(4, greatest(1, CASE WHEN score >= 0.9 THEN 4 WHEN score >= 0.6 T
 
 @query(duck("facts") + f"SELECT entity, seq, ['very_low', 'low', 'moderate', 'high'][{_TIER}] AS grade, CASE {_GROUND} WHEN 'grounded' THEN 'proceed' WHEN 'contradicted' THEN 'replan' ELSE 'regenerate' END AS decision FROM facts")
 def grade_claims(spark, sf_dir):
-    """EX38, EX39, INT9: decision and evidence grade of each claim."""
+    """EX38, EX39: decision and evidence grade of each claim."""
     label = F.element_at(F.array(*map(F.lit, ("grounded", "complementary", "contradicted", "ungrounded"))), (F.col("seq") % 4 + 1).cast("int"))
     f = view(spark, sf_dir, "facts").withColumn("label", label)
     return f.select("entity", "seq", scores.grade(F.col("score"), F.col("reinforced") > 1, F.col("label"), F.lit(None).cast("double"), F.when(F.col("disputes") >= 2, 3).otherwise(1)).alias("grade"), scores.grounding_decision(F.col("label")).alias("decision"))
@@ -46,7 +46,7 @@ def grade_claims(spark, sf_dir):
 
 @query(duck("facts") + f", g AS (SELECT entity, field, score, {_TIER} AS tier, CASE {_GROUND} WHEN 'grounded' THEN 0 WHEN 'contradicted' THEN 2 ELSE 1 END AS sev, field = 'purchase' AS critical FROM facts) SELECT entity, min(score) AS score, bool_and(sev = 0 OR NOT critical) AS verified, count(*) FILTER (WHERE critical AND sev > 0) AS unsupported, ['proceed', 'regenerate', 'replan'][max(sev) + 1] AS decision, ['very_low', 'low', 'moderate', 'high'][coalesce(min(CASE WHEN sev = 0 THEN tier END), 1)] AS grade FROM g GROUP BY entity")
 def verify_candidates(spark, sf_dir):
-    """AG5 to AG7, EX32, CTL6: the verdict on a candidate from its claims."""
+    """AG5 to AG7: the verdict on a candidate from its claims."""
     label = F.element_at(F.array(*map(F.lit, ("grounded", "complementary", "contradicted", "ungrounded"))), (F.col("seq") % 4 + 1).cast("int"))
     g = view(spark, sf_dir, "facts").withColumn("label", label).withColumns({"grade": scores.grade(F.col("score"), F.col("reinforced") > 1, F.col("label"), F.lit(None).cast("double"), F.when(F.col("disputes") >= 2, 3).otherwise(1)), "decision": scores.grounding_decision(F.col("label"))})
     tier = F.array_position(F.array(*map(F.lit, fixed.GRADE_TIERS)), F.col("grade")).cast("int")
@@ -69,7 +69,7 @@ def seal_chain(spark, sf_dir):
 
 @query(duck("facts") + "SELECT run_id, seq, 'content_mismatch' AS fault FROM (SELECT entity % 100 AS run_id, seq FROM facts) WHERE seq % 1000 = 7")
 def audit_chain(spark, sf_dir):
-    """INT2, INT3: faults of a chain some of whose rows were tampered with."""
+    """INT2: faults of a chain some of whose rows were tampered with."""
     rows = integrity.chained(_ledger(spark, sf_dir), ["run_id"])
     rows = rows.withColumn("digest", F.when(F.col("seq") % 1000 == 7, F.lit("tampered")).otherwise(F.col("digest")))
     return integrity.chain_faults(rows, ["run_id"])
@@ -77,7 +77,7 @@ def audit_chain(spark, sf_dir):
 
 @query()
 def merkle_roots(spark, sf_dir):
-    """INT4, CTL19, SNK1: Merkle roots of runs; tests hold them against a recursive definition."""
+    """INT4, CTL19: Merkle roots of runs; tests hold them against a recursive definition."""
     return integrity.merkle_root(_ledger(spark, sf_dir), ["run_id"], "digest")
 
 
@@ -92,14 +92,14 @@ def merkle_proofs(spark, sf_dir):
 
 @query(duck("facts") + ", o AS (SELECT entity, seq, field IN ('error') AS forbidden, value FROM facts) SELECT entity, count(*) FILTER (WHERE forbidden) AS violations, count(*) FILTER (WHERE NOT forbidden) AS recorded FROM o GROUP BY entity")
 def audit_actions(spark, sf_dir):
-    """FLT8, SNK3: recorded actions and violations."""
+    """FLT8: recorded actions and violations."""
     bad = F.col("field") == "error"
     return view(spark, sf_dir, "facts").groupBy("entity").agg(F.count_if(bad).alias("violations"), F.count_if(~bad).alias("recorded"))
 
 
 @query(duck("facts") + ", t AS (SELECT entity, seq, event_ts, row_number() OVER (PARTITION BY entity ORDER BY event_ts, seq) AS i, field FROM facts WHERE field IN ('click', 'purchase')), f AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY i) AS k FROM t) SELECT entity, field AS status, seq FROM f WHERE k = 1")
 def review_states(spark, sf_dir):
-    """CTL5, CTL14, FLT10: the first terminal event decides a review."""
+    """CTL5: the first terminal event decides a review."""
     w = Window.partitionBy("entity").orderBy("event_ts", "seq")
     f = view(spark, sf_dir, "facts").where(F.col("field").isin("click", "purchase"))
     return f.withColumn("k", F.row_number().over(w)).where("k = 1").select("entity", F.col("field").alias("status"), "seq")
@@ -107,6 +107,6 @@ def review_states(spark, sf_dir):
 
 @query(duck("facts") + ", m AS (SELECT entity, date_trunc('minute', event_ts) AS minute, seq, row_number() OVER (PARTITION BY entity, date_trunc('minute', event_ts) ORDER BY event_ts, seq) AS n FROM facts) SELECT entity, count(*) FILTER (WHERE n <= 5) AS allowed, count(*) FILTER (WHERE n > 5) AS delayed FROM m GROUP BY entity")
 def rate_limits(spark, sf_dir):
-    """CTL2: calls within five a minute."""
+    """CTL2: calls within five a calendar minute; the bucket's refill between minutes is not built."""
     w = Window.partitionBy("entity", F.date_trunc("minute", "event_ts")).orderBy("event_ts", "seq")
     return view(spark, sf_dir, "facts").withColumn("n", F.row_number().over(w)).groupBy("entity").agg(F.count_if(F.col("n") <= 5).alias("allowed"), F.count_if(F.col("n") > 5).alias("delayed"))
