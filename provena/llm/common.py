@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 8 << 20
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers get the folder that holds this package, unless their path has it already."""
+    """Python workers get the folder that holds this package, unless their path has it already.
+
+    Rows of texts are heavy: Arrow batches of 10,000 rows, the default, become batches of BATCH_ROWS in the session.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "") + os.pathsep + os.environ.get("PYTHONPATH", "")

@@ -133,7 +133,9 @@ _FULL = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 def _full(words: int):
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _each_set(batch, words)], pa.binary())], schema=_FULL)
+            for a, b, texts in kernels.blocks(batch.column("text")):
+                held = [s.tobytes() for s in kernels.Words(texts, kernels.SPACED).sets(words)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(held, pa.binary())], schema=_FULL)
 
     return run
 

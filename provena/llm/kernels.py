@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
-#: Texts are handled in blocks of about so many bytes; a longer text is a block of its own.
-BLOCK = 256 << 10
+#: Texts are handled in blocks of about so many bytes and at most so many rows; a longer text is a block of its own.
+BLOCK, ROWS = 256 << 10, 500
 
 
 def class_table(pattern_bytes: bytes) -> np.ndarray:
@@ -52,13 +52,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
-    """Ranges of rows of a text column whose UTF-8 has about BLOCK bytes together, and that UTF-8; null stays null."""
+    """Ranges of rows of a text column of at most ROWS rows, whose UTF-8 has about BLOCK bytes together, and that UTF-8; null stays null."""
     column = column.cast(pa.binary())
     sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(sizes):
         before = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, before + BLOCK, side="right")))
+        end = min(start + ROWS, max(start + 1, int(np.searchsorted(sizes, before + BLOCK, side="right"))))
         yield start, end, column.slice(start, end - start).to_pylist()
         start = end
 
