@@ -35,7 +35,7 @@ WINDOW, END, SALTS = 2048, 1, 512
 COMMON = 24
 SWEEPS = 20
 #: Cached chunks of a worker; the cache starts anew beyond.
-CACHE = 400_000
+CACHE = 100_000
 FILTER_BITS = 20
 
 
