@@ -2,8 +2,9 @@
 
 Everything over documents is DataFrame functions. The votes of R rules fall into at most 3^R patterns; their counts,
 the only thing collected, are what the expectation-maximisation runs on, so its cost does not depend on the corpus.
-Each rule has an accuracy, estimated together with the documents' classes. A document is kept when the posterior
-probability of being good is at least ``threshold`` and the two base limits hold.
+The classes are good and, for each rule, bad in that rule's way; how often each class gets a rule's bad vote is
+estimated together with the documents' classes. A document is kept when the posterior probability of being good is at
+least ``threshold`` and the two base limits hold.
 
 Null and empty texts have zeros everywhere and fail the base limits. Rows are independent: repeated rows repeat their
 result. An empty table gives an empty result. Extra columns are ignored.
@@ -23,9 +24,11 @@ SPACE = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS = 50
-ROUNDS = 50
-#: What a rule's accuracy starts from, and the votes of it that stay.
-RIGHT, PRIOR = 0.9, 10.0
+ROUNDS = 200
+#: How often votes on good texts are right beforehand, and the votes of it that stay.
+RIGHT, PRIOR = 0.95, 10.0
+#: Bad votes among a rule's votes on good texts, at most: the rules' limits are set for that.
+MISTAKES = 0.005
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -73,44 +76,52 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Name and vote. A text's length is no vote: the base limit on words decides it.
+    """Name and vote, good well inside a limit and bad outside it. A text's length is no vote: the base limit on words decides it.
 
-    Single statistics vote bad or abstain: a text without symbols may still shout, so its lack of symbols is no
-    evidence of quality. Only a text that is ordinary in all of them gets a good vote.
+    A text that fails one rule gets good votes from others, as single statistics see one kind of badness each. One
+    line says nothing about repeated lines.
     """
-    w, c = F.col("n_words"), F.col("word_chars")
-    mean, never = c / w, F.lit(False)
-    ordinary = (mean >= 3) & (mean <= 8) & (F.col("n_symbols") * 50 <= w) & (F.col("n_dup_lines") * 10 <= F.col("n_lines")) & (F.col("n_repeat_words") * 10 <= w) & (F.col("n_upper") * 5 <= c) & (F.col("n_exclaim") * 20 <= w)
+    w, c, lines = F.col("n_words"), F.col("word_chars"), F.col("n_lines")
+    mean = c / w
     return {
-        "word_length": _vote((mean < 2.5) | (mean > 9), never),
-        "symbols": _vote(F.col("n_symbols") * 10 > w, never),
-        "duplicate_lines": _vote(F.col("n_dup_lines") * 10 > F.col("n_lines") * 3, never),
-        "repetition": _vote(F.col("n_repeat_words") * 4 > w, never),
-        "upper_case": _vote(F.col("n_upper") * 2 > c, never),
-        "shouting": _vote(F.col("n_exclaim") * 5 > w, never),
-        "ordinary": _vote(never, ordinary),
+        "word_length": _vote((mean < 2.5) | (mean > 9), (mean >= 3) & (mean <= 8)),
+        "symbols": _vote(F.col("n_symbols") * 10 > w, F.col("n_symbols") * 50 <= w),
+        "duplicate_lines": _vote(F.col("n_dup_lines") * 10 > lines * 3, (F.col("n_dup_lines") * 10 <= lines) & (lines >= 2)),
+        "repetition": _vote(F.col("n_repeat_words") * 4 > w, F.col("n_repeat_words") * 10 <= w),
+        "upper_case": _vote(F.col("n_upper") * 2 > c, F.col("n_upper") * 5 <= c),
+        "shouting": _vote(F.col("n_exclaim") * 5 > w, F.col("n_exclaim") * 20 <= w),
     }
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior probability of good for each vote pattern, by expectation-maximisation over the patterns' counts.
 
-    A rule has one accuracy, how often its votes are right; abstaining says nothing. No class is likelier beforehand,
-    so a text without votes is at 0.5. Accuracies start from RIGHT and keep PRIOR votes of it.
+    A text is good or bad in the way of one rule that votes it bad, so one without bad votes is good. Abstaining says
+    nothing, and a text without votes is at 0.5. Other rules' votes tell whether a bad vote is a good text's accident:
+    they are weighed by how often the rule votes a class bad. Classes' shares start from the votes, in proportion.
     """
     width = len(next(iter(patterns))) if patterns else 0
-    accuracy, q = [RIGHT] * width, {}
+    normal = lambda x: [v / sum(x) for v in x]
+    share = {p: normal([float(p.count(2)), *(float(v == 1) for v in p)]) for p in patterns if any(p)}
     for _ in range(rounds):
-        new = {p: 1 / (1 + math.exp(-sum((1 if v == 2 else -1) * math.log(accuracy[j] / (1 - accuracy[j])) for j, v in enumerate(p) if v))) for p in patterns}
-        moved = max((abs(new[p] - q.get(p, -1)) for p in patterns), default=0.0)
-        q = new
+        masses = [PRIOR + sum(patterns[p] * x[k] for p, x in share.items()) for k in range(width + 1)]
+        prior = normal(masses)
+        bad = []  # by class and rule: bad votes among its votes
+        for k in range(width + 1):
+            bad.append([])
+            for j in range(width):
+                votes = sum(patterns[p] * x[k] for p, x in share.items() if p[j])
+                against = sum(patterns[p] * x[k] for p, x in share.items() if p[j] == 1)
+                rate = (against + PRIOR * (0.5 if k else 1 - RIGHT)) / (votes + PRIOR)
+                bad[k].append(min(0.999 if k else MISTAKES, max(0.001, rate)))
+        moved = 0.0
+        for p, old in share.items():
+            fits = [prior[k] * math.prod(bad[k][j] if v == 1 else 1 - bad[k][j] for j, v in enumerate(p) if v and j != k - 1) if not k or p[k - 1] == 1 else 0.0 for k in range(width + 1)]
+            share[p] = normal(fits)
+            moved = max(moved, abs(share[p][0] - old[0]))
         if moved < 1e-9:
             break
-        for j in range(width):
-            votes = sum(n for p, n in patterns.items() if p[j])
-            right = sum(n * (q[p] if p[j] == 2 else 1 - q[p]) for p, n in patterns.items() if p[j])
-            accuracy[j] = min(0.999, max(0.5, (right + PRIOR * RIGHT) / (votes + PRIOR)))
-    return q
+    return {p: share[p][0] if p in share else 0.5 for p in patterns}
 
 
 def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -119,7 +130,7 @@ def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     table = written(stats(docs), "stats")
     named = rules()
     code = sum((v * 3**j for j, v in enumerate(named.values())), F.lit(0)).cast("int")
-    # At most 3^7 rows.
+    # At most 3^6 rows.
     counts = {r["votes"]: r["n"] for r in table.groupBy(code.alias("votes")).agg(F.count("*").alias("n")).collect()}
     posterior = estimate({tuple(v // 3**j % 3 for j in range(len(named))): n for v, n in counts.items()})
     rows = [(sum(v * 3**j for j, v in enumerate(p)), q) for p, q in posterior.items()]

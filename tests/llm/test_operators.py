@@ -98,6 +98,16 @@ def test_em_tells_votes_apart():
     assert quality_rules.estimate({}) == {}
 
 
+def test_quality_votes_conflict(spark):
+    text = " ".join(["some quite plain words", "and ## symbols"][i % 2] + f" w{i}" for i in range(40))
+    votes = quality_rules.stats(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(*[v.alias(k) for k, v in quality_rules.rules().items()]).first()
+    assert votes["symbols"] == 1 and sum(v == 2 for v in votes) >= 3
+    # Counts as at sf0.1: symbols alone are a kind of badness, equal lines alone an accident, though five rules of six vote good.
+    q = quality_rules.estimate({(2, 2, 2, 2, 2, 2): 7934, (2, 2, 0, 2, 2, 2): 578, (2, 1, 2, 2, 2, 2): 531, (2, 2, 1, 1, 1, 1): 172, (2, 2, 0, 1, 2, 2): 171, (2, 2, 0, 1, 1, 1): 119, (0, 1, 2, 2, 2, 2): 115, (2, 2, 1, 1, 2, 2): 82, (2, 2, 2, 1, 2, 2): 80, (2, 2, 0, 0, 2, 2): 56, (2, 2, 2, 1, 1, 1): 41, (2, 1, 0, 2, 2, 2): 32, (2, 2, 1, 0, 2, 2): 16, (2, 1, 2, 0, 2, 2): 12, (1, 2, 0, 2, 2, 2): 11, (2, 1, 0, 0, 2, 2): 11, (0, 1, 0, 2, 2, 2): 8, (2, 2, 1, 2, 2, 2): 4})
+    assert q[(2, 1, 2, 2, 2, 2)] < 0.5 and q[(2, 2, 1, 1, 2, 2)] < 0.01
+    assert q[(2, 2, 1, 2, 2, 2)] > 0.5 and q[(2, 2, 1, 0, 2, 2)] > 0.5
+
+
 def _luhn(s):
     t = 0
     for i, c in enumerate(reversed(s)):
