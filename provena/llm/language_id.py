@@ -3,8 +3,9 @@
 A text's vector holds the TF-IDF of its byte 2- and 3-grams (letters only; other characters act as one space), hashed
 to 4096 places, of unit length. The vectors of each language are clustered by spherical k-means into several
 centroids; a text gets the language of the centroid with the largest cosine. The cosine of a short text is smaller, so
-the distance for rejection is kept for each power of two of the number of n-grams: ``margin`` times the lowest cosine
-that labelled texts of the right language reached at that size.
+the distance for rejection is kept for each power of two of the number of n-grams: ``margin`` times a low quantile of
+the cosines that labelled texts of the right language reached at that size and the nearest ones, so far as enough are
+together. No size is without a distance, if any text was right.
 
 The model is fitted on a sample of at most ``per_language`` labelled documents for each language (the smallest hashes of doc_id);
 their sparse vectors, not their texts, come to the driver. Everything else covers all rows. Null texts and texts without a letter are
@@ -25,6 +26,8 @@ from provena.llm import kernels
 
 BINS = 4096
 PER_LANGUAGE, CENTROIDS, ROUNDS, MARGIN = 1000, 4, 12, 0.5
+#: The quantile for rejection, how many right texts it is taken of, and how many of a size are few.
+LOW, POOLED, FEW = 0.01, 200, 20
 #: Languages that are learned at most: the most frequent labels.
 LANGUAGES = 200
 _LETTER = re.compile(r"[^\W\d_]")
@@ -77,6 +80,24 @@ def _size(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(counts.sum(axis=1) + 1).astype(int), 31)
 
 
+def _low(cosines: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The cosine at quantile LOW for each size, of that size and the nearest ones until POOLED are together.
+
+    Shorter texts have smaller cosines: where a size has few, the least of its own bounds it, and sizes below all seen
+    are as the smallest seen.
+    """
+    out = np.zeros(32)
+    if not len(size):
+        return out
+    for s in range(32):
+        away = np.abs(size - s)
+        near = away <= np.sort(away)[min(POOLED, len(away)) - 1]
+        own = cosines[size == s]
+        out[s] = min([np.quantile(cosines[near], LOW), *(own if len(own) < FEW else [])])
+    out[: size.min()] = out[size.min()]
+    return out
+
+
 def fit(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS, rounds: int = ROUNDS, margin: float = MARGIN) -> Model | None:
     """A model of the labelled ``counts``; None without any."""
     if not len(counts):
@@ -103,10 +124,7 @@ def fit(counts: np.ndarray, langs: list[str], centroids: int = CENTROIDS, rounds
     cosines = v @ model.centroids.T
     best = cosines.argmax(axis=1)
     right = np.array(names)[best] == labels
-    size = _size(counts)
-    for s in range(32):
-        mine = cosines.max(axis=1)[right & (size == s)]
-        model.floor[s] = margin * mine.min() if len(mine) >= 20 else 0.0
+    model.floor = margin * _low(cosines.max(axis=1)[right], _size(counts)[right])
     return model
 
 

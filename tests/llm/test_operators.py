@@ -237,6 +237,22 @@ def test_language_id(spark):
     assert language_id.predict(d, None).where("not rejected").count() == 200
 
 
+def test_language_id_rejects_at_all_lengths():
+    rng = random.Random(1)
+    word = lambda parts: "".join(rng.choice(parts) for _ in range(3))
+    parts = {"aa": ["ka", "ki", "ko", "mo"], "bb": ["szt", "brz", "prz", "wy"]}
+    text = lambda g, n: " ".join(word(parts[g]) for _ in range(n)).encode()
+    labels = ["aa", "bb"] * 100
+    model = language_id.fit(language_id._counts([text(g, 40) for g in labels[:-6]] + [text(g, 3) for g in labels[-6:]]), labels)
+    foreign = "все люди рождаются свободными и равными в своем достоинстве "
+    junk = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(n))
+    for n in (20, 60, 300, 3000, 20_000, 200_000, 1_000_000):
+        assert model.predict(language_id._counts([(foreign * (n // len(foreign) + 1))[:n].encode(), junk(n).encode()]))[2].all(), n
+    for g in parts:
+        best, _, out = model.predict(language_id._counts([text(g, n) for n in (3, 40, 3000, 30_000)]))
+        assert not out.any() and {model.langs[i] for i in best} == {g}
+
+
 def test_quality_cnn_learns(spark):
     rng = random.Random(2)
     clean = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "mats"]) for _ in range(50))
