@@ -24,18 +24,22 @@ def candidates(df: DataFrame, by: list[str], refs: str, seq: str) -> DataFrame:
     return best_of(df.withColumn("key", candidate_key("website", "vendor_name")), [*by, "key"], [F.desc(refs), F.asc(seq)])
 
 
-def exact_items(df: DataFrame, by: list[str], keys: list[str], seq: str, rounds: int = 50) -> DataFrame:
+def exact_items(df: DataFrame, by: list[str], keys: list[str], seq: str) -> DataFrame:
     """Greedy in the order of ``seq``: a row goes if a kept earlier row shares any of its ``keys``.
 
     A dropped row's keys do not count. A row is decided once all its earlier key-mates are: it goes if one is kept, it
-    stays if none is. Rounds repeat until nothing is undecided; each needs only the first undecided row of a key.
+    stays if none is. Rounds repeat until nothing is undecided; each needs only the first undecided row of a key,
+    and decides the first undecided row of all, so a chain of rows takes as many rounds as it is long. A row without
+    ``seq`` has no place in the order and is an error.
     """
     from provena.operators.iterate import written
 
     rows = written(df.withColumn("_state", F.lit(0)), "dedupe")  # 0 open, 1 kept, 2 dropped
-    for _ in range(rounds):
-        if rows.where("_state = 0").isEmpty():
-            break
+    before = None
+    while left := rows.where("_state = 0").count():
+        if left == before:
+            raise ValueError(f"{left} rows cannot be decided: their {seq} is null")
+        before = left
         out = rows
         first = F.lit(True)
         taken = F.lit(False)

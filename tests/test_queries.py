@@ -83,6 +83,16 @@ def test_greedy_dedupe(spark):
     assert {(r["run_id"], r["id"]) for r in dedupe.exact_items(df, ["run_id"], ["a", "b"], "id").collect()} == kept
 
 
+def test_greedy_dedupe_of_a_long_chain(spark):
+    from provena.operators import dedupe
+
+    rows = [(1, i, i // 2, (i + 1) // 2) for i in range(70)]  # each shares a key with the row before and the row after
+    df = spark.createDataFrame(rows, "run_id long, id long, a long, b long").coalesce(1)
+    assert sorted(r["id"] for r in dedupe.exact_items(df, ["run_id"], ["a", "b"], "id").collect()) == list(range(0, 70, 2))
+    with pytest.raises(ValueError, match="null"):
+        dedupe.exact_items(spark.createDataFrame([(1, None, 1)], "run_id long, id long, a long"), ["run_id"], ["a"], "id")
+
+
 def test_log_stops_at_torn_line(spark, tmp_path):
     from provena.sources import logs
 
