@@ -15,26 +15,25 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where a local session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="provena-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/provena-{uuid.uuid4().hex}/{name}"
+    """A fresh path in the shared folder, with its file system's scheme, deleted when the driver's JVM ends."""
     jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    parent = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/provena-{uuid.uuid4().hex}")
     fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parent = fs.makeQualified(parent)
     fs.mkdirs(parent)
     fs.deleteOnExit(parent)
-    return path
+    return f"{parent.toString()}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +47,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers get the folder that holds this package, unless their path has it already.
 
-    Rows of texts are heavy: Arrow batches of 10,000 rows, the default, become batches of BATCH_ROWS in the session.
+    This changes the session: PYTHONPATH of its workers, and, as rows of texts are heavy, Arrow batches of 10,000
+    rows, the default, to batches of BATCH_ROWS.
     """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -12,6 +12,8 @@ _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 #: Texts are handled in blocks of about so many bytes and at most so many rows; a longer text is a block of its own.
 BLOCK, ROWS = 256 << 10, 500
+#: Bytes whose running sums are held at once.
+CHUNK = 512 << 10
 
 
 def class_table(pattern_bytes: bytes) -> np.ndarray:
@@ -26,21 +28,19 @@ SPACED = ~class_table(b" \t\n\v\f\r")
 #: Words of ASCII letters and digits and every non-ASCII character, of lower-cased text.
 ALNUM = class_table(bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]))
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_tables: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        if size > 8 * BLOCK:
-            _powers.clear()
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first CHUNK powers of R and of its inverse, modulo 2^64."""
+    if not _tables:
         with np.errstate(over="ignore"):
-            up = np.full(size, _R, np.uint64)
+            up = np.full(CHUNK, _R, np.uint64)
             up[0] = 1
-            down = np.full(size, _R_INV, np.uint64)
+            down = np.full(CHUNK, _R_INV, np.uint64)
             down[0] = 1
-            _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+            _tables.append((np.cumprod(up), np.cumprod(down)))
+    return _tables[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,13 +77,32 @@ class Words:
         if inside[0]:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
-        up, down = _tables(len(self.buf) + 1)
-        with np.errstate(over="ignore"):
-            total = np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up[: len(self.buf)])
-            before = np.where(self.starts > 0, total[self.starts - 1], np.uint64(0))
-            self.hash = mix((total[self.ends - 1] - before) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hash = self.hash_of(self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.offsets)
 
+    def hash_of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash for each of the stretches from ``starts`` to ``ends`` (ascending, disjoint, not empty) of ``buf``.
+
+        A stretch's hash is the sum of its bytes times powers of R, from running sums over CHUNK bytes at a time.
+        """
+        up, down = _powers()
+        left, right = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
+        inverse, total = np.ones(len(starts), np.uint64), np.uint64(0)
+        with np.errstate(over="ignore"):
+            for base in range(0, len(self.buf), CHUNK):
+                part = self.buf[base : base + CHUNK]
+                sums = np.empty(len(part) + 1, np.uint64)
+                sums[0] = 0
+                np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+                scale, back = np.uint64(pow(_R, base, 1 << 64)), np.uint64(pow(_R_INV, base, 1 << 64))
+                a, b = np.searchsorted(starts, (base, base + len(part)))
+                left[a:b] = total + scale * sums[starts[a:b] - base]
+                inverse[a:b] = back * down[starts[a:b] - base]
+                a, b = np.searchsorted(ends, (base + 1, base + len(part) + 1))
+                right[a:b] = total + scale * sums[ends[a:b] - base]
+                total = total + scale * sums[-1]
+            return mix((right - left) * inverse + (ends - starts).astype(np.uint64))
+
     def windows(self, size: int, hashes: np.ndarray | None = None) -> np.ndarray:
         """A hash for the window of ``size`` words that begins at each word; windows across texts are the caller's to drop."""
         h = self.hash if hashes is None else hashes

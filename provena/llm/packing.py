@@ -18,8 +18,10 @@ An empty table has no pieces.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,21 @@ WINDOW, END, SALTS = 2048, 1, 512
 #: Lengths that a third piece of a combination is taken from: the most frequent ones.
 COMMON = 24
 SWEEPS = 20
-#: Cached chunks of a worker; the cache starts anew beyond.
-CACHE = 100_000
+#: Cached chunks of a worker; the cache starts anew beyond. Bytes of a long text that are encoded at once.
+CACHE, PART = 100_000, 1 << 20
+#: Characters from here on always go to tokenizers.
+PLAIN = 0x250
+_GAP = re.compile(rb"[ \t\n\v\f\r]")
 FILTER_BITS = 20
 
 
 class Encoder(dict):
     """Ids of a word-end BPE vocabulary file, as tokenizers gives them without adding special tokens.
 
-    Pieces never cross white space, so a text's ids are those of its white-space separated chunks, which are kept
-    here. A new chunk is normalised and split as the file says, and its pieces are merged by rank. Texts with one of
-    the file's special tokens, or with separators on which libraries differ, go through tokenizers itself.
+    Pieces never cross white space, so a text's ids are those of its chunks between ASCII white space, which are kept
+    here. A new chunk goes to tokenizers itself unless all its characters are ``plain``: ones that are their own
+    normal form and for which this class's lower case, split and merges were seen to give the ids of tokenizers when
+    the file was loaded. Each of these steps looks at single characters, but for the merges, which follow the ranks.
     """
 
     def __init__(self, path: str):
@@ -56,7 +62,8 @@ class Encoder(dict):
         self.inner = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = [t["content"] for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(re.escape(t) for t in special).encode() or b"(?!)")
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         suffix = spec["model"]["end_of_word_suffix"]
         # The byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others follow from 256.
@@ -64,22 +71,40 @@ class Encoder(dict):
         others = [b for b in range(256) if b not in printable]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
         # No UTF-8 text holds the byte 255: it stands for the end of a word.
-        ranks = {bytes(byte[c] for c in t.removesuffix(suffix)) + b"\xff" * t.endswith(suffix): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        ranks = {bytes(byte[c] for c in t.removesuffix(suffix)) + b"\xff" * t.endswith(suffix): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\x00]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def __missing__(self, chunk: str) -> bytes:
-        text = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
-        ids = np.array([i for p in self.pattern.findall(text) for i in self.merge(p.encode() + b"\xff")], "<u4").tobytes()
+        known = [c for c in map(chr, range(0x21, PLAIN)) if not c.isspace() and unicodedata.is_normalized("NFC", c + "a") and not unicodedata.combining(c)]
+        self.plain = frozenset(c for c in known if all(self._merged(x) == self._asked(x) for x in (c, f"ab{c}cd", f"1{c}{c}", f"'{c}.{c}")))
+
+    def _merged(self, text: str) -> bytes:
+        text = text.lower()
+        if text.isascii() and text.isalpha():  # one piece
+            return array("I", self.merge(text.encode() + b"\xff")).tobytes()
+        ids = array("I")
+        for p in self.pattern.findall(text):
+            ids.extend(self.merge(p.encode() + b"\xff"))
+        return ids.tobytes()
+
+    def _asked(self, text: str) -> bytes:
+        return array("I", self.inner.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        ids = self._merged(text) if self.plain.issuperset(text) and not self.special.search(chunk) else self._asked(text)
         if len(self) >= CACHE:
             self.clear()
         self[chunk] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian unsigned 32-bit ids of UTF-8 text; long texts go in parts that end at white space."""
+        parts, at = [], 0
+        while at < len(text):
+            gap = _GAP.search(text, at + PART) if len(text) - at > PART else None
+            end = gap.start() if gap else len(text)
+            parts.append(b"".join(map(self.__getitem__, text[at:end].split())))
+            at = end
+        return b"".join(parts)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -106,7 +131,7 @@ def _pieces(path: str, window: int, end: int):
             for a, b, texts in kernels.blocks(batch.column("text")):
                 rows: tuple[list, ...] = ([], [], [], [], [], [], [])
                 for doc, text in zip(ids[a:b], texts, strict=True):
-                    got = encode((text or b"").decode("utf-8", "replace")) + mark
+                    got = encode(text or b"") + mark
                     n = len(got) // 4
                     for at in range(0, n, window):
                         piece = got[at * 4 : (at + window) * 4]
@@ -118,13 +143,13 @@ def _pieces(path: str, window: int, end: int):
     return run
 
 
-def combinations(have: dict[int, int], window: int = WINDOW) -> list[tuple[int, ...]]:
-    """Of the lengths in ``have``: powers of two alone, pairs that fill the window, and triples with a common length."""
+def combinations(have: dict[int, int], window: int = WINDOW, common: int = COMMON) -> list[tuple[int, ...]]:
+    """Of the lengths in ``have``: powers of two alone, pairs that fill the window, and triples with one of the
+    ``common`` most frequent lengths."""
     found = [(n,) for n in sorted(have) if n & (n - 1) == 0]
     found += [(window - a, a) for a in sorted(have) if 2 * a <= window and window - a in have]
-    common = sorted(sorted(have, key=lambda n: (-have[n], n))[:COMMON])
     triples = set()
-    for c in common:
+    for c in sorted(have, key=lambda n: (-have[n], n))[:common]:
         for a in have:
             b = window - c - a
             if b >= a and b in have:
@@ -152,12 +177,12 @@ def solve(have: dict[int, int], patterns: list[tuple[int, ...]], sweeps: int = S
     return x
 
 
-def plan(have: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int], int]:
+def plan(have: dict[int, int], window: int = WINDOW, common: int = COMMON) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int], int]:
     """(length, first rank, end rank, first sequence, offset) by use, the ranks used by length, and the sequences.
 
     Rounded repeats first, those solved largest first; then whatever whole combinations the remaining counts allow.
     """
-    patterns = combinations(have, window)
+    patterns = combinations(have, window, common)
     x = solve(have, patterns)
     used, rows, sequences = dict.fromkeys(have, 0), [], 0
     order = sorted(range(len(patterns)), key=lambda j: (-x[j], j))
@@ -189,14 +214,14 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["rid", "at", "start", "ids_crc32", "ids"])
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, common: int = COMMON) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (unsigned 32-bit)."""
     spark = docs.sparkSession
     table = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = written(table.mapInArrow(_pieces(path, window, end), _DDL), "pieces")
     rest = table.where(F.col("length") < window)
     have = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    rows, used, sequences = plan(have, window)
+    rows, used, sequences = plan(have, window, common)
     # Where each length's remainders begin in the stream of those in no combination, longest first.
     begin, total = {}, 0
     for n in sorted(have, reverse=True):

@@ -2,24 +2,28 @@
 
 Bytes are embedded; learned filters run over overlapping chunks (16 bytes, every 8) of the whole document; each
 filter's largest response over all chunks is kept, and these are combined into one probability. Only the text is an
-input. The network is fitted by Adam on at most ``rows`` labelled documents (the smallest hashes of doc_id), whose
-whole texts come to the driver; scoring covers every chunk of every document, block by block.
+input. The network is fitted by Adam on at most ``rows`` labelled documents (the smallest hashes of doc_id) with at most
+``size`` bytes together, whose whole texts come to the driver; scoring covers every chunk of every document, in parts
+of at most PART bytes.
 
 Null and empty texts are one chunk of zeros and get that chunk's score. With no labels every score is 0.5. Rows are
-independent; repeated rows repeat their score.
+independent; repeated rows repeat their score. A doc_id is learned from once, from its text of the smallest hash and
+its lowest label; labels of null doc_ids and null labels are not learned from. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.llm import kernels
 
 WIDTH, STRIDE, DEPTH, FILTERS = 16, 8, 8, 24
-ROWS, EPOCHS, BATCH, RATE = 3000, 10, 32, 0.01
+ROWS, SIZE, EPOCHS, BATCH, RATE = 3000, 64 << 20, 10, 32, 0.01
+#: Bytes of a long text whose chunks are held at once; a multiple of STRIDE.
+PART = 256 << 10
 
 
 def _chunked(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +56,17 @@ class Network:
         z = np.concatenate((z, np.full((1, FILTERS), -np.inf, np.float32)))
         return buf, bounds, x, z
 
-    def score(self, texts: list[bytes | None]) -> np.ndarray:
+    def _largest(self, texts: list[bytes | None]) -> np.ndarray:
+        """Each filter's largest response, by text. A part of a long text ends with the chunk that begins in it last."""
+        if len(texts) == 1 and len(texts[0] or b"") > PART:
+            t = texts[0]
+            parts = (t[i : i + PART + WIDTH - STRIDE] for i in range(0, len(t), PART))
+            return np.max([self._pooled([p])[3][: PART // STRIDE].max(axis=0) for p in parts if p], axis=0)[None]
         _, bounds, _, z = self._pooled(texts)
-        h = np.maximum(np.maximum.reduceat(z, bounds, axis=0)[::2] + self.p["b"], 0)
+        return np.maximum.reduceat(z, bounds, axis=0)[::2]
+
+    def score(self, texts: list[bytes | None]) -> np.ndarray:
+        h = np.maximum(self._largest(texts) + self.p["b"], 0)
         return 1 / (1 + np.exp(-np.clip(h @ self.p["v"] + self.p["c"], -30, 30)))
 
     def gradients(self, texts: list[bytes | None], y: np.ndarray) -> dict[str, np.ndarray]:
@@ -97,13 +109,17 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, where: Column, rows: int = ROWS, **how) -> Network | None:
-    """Fit on at most ``rows`` documents with a quality label whose doc_id is under ``where``."""
-    picked = labels.where(where & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    # At most ``rows`` ids and labels.
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", F.col("text").cast("string").alias("text")).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["quality"], r["text"] or ""))
-    return fit([(r["text"] or "").encode() for r in got], [int(r["quality"]) for r in got], **how)
+def train(docs: DataFrame, labels: DataFrame, where: Column, rows: int = ROWS, size: int = SIZE, **how) -> Network | None:
+    """Fit on at most ``rows`` documents, ``size`` bytes together, with a quality label whose doc_id is under ``where``."""
+    picked = labels.where(where & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # At most ``rows`` ids and labels are broadcast, and one text of each comes on.
+    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    got = got.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= size).select("doc_id", "quality", "text").collect()
+    got = sorted(got, key=lambda r: r["doc_id"])
+    return fit([r["text"].encode() for r in got], [int(r["quality"]) for r in got], **how)
 
 
 def _scores(shared):
