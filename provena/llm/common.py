@@ -81,8 +81,8 @@ def split(docs: DataFrame, ids: DataFrame, bits: int = 20) -> tuple[DataFrame, D
     for the exact join.
     """
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    held = F.broadcast(ids.select(bit.alias("_bit")).distinct())
-    docs_bit = docs.withColumn("_bit", bit)
-    maybe = docs_bit.join(held, "_bit", "left_semi").drop("_bit")
-    never = docs_bit.join(held, "_bit", "left_anti").drop("_bit")
+    held = F.broadcast(ids.select(bit.alias("_provena_bit")).distinct())
+    docs_bit = docs.withColumn("_provena_bit", bit)
+    maybe = docs_bit.join(held, "_provena_bit", "left_semi").drop("_provena_bit")
+    never = docs_bit.join(held, "_provena_bit", "left_anti").drop("_provena_bit")
     return maybe.join(ids, "doc_id", "left_semi"), never.unionByName(maybe.join(ids, "doc_id", "left_anti"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: Matches are accumulated in chunks of this many, so that a text with n matches costs about n steps.
@@ -72,3 +72,15 @@ def by_start(found: Column) -> Column:
 def count_of(found: Column, k: int) -> Column:
     """How many of the spans are of the kind at place k."""
     return F.size(F.filter(found, lambda x: x["k"] == k)).cast("long")
+
+
+def overlapped(is_base: Column) -> Column:
+    """Of rows (rid, s, e, k): the k of a base row that a row overlaps, or null.
+
+    A text's rows are met in order of place: the furthest base end before a row or the nearest base start after it
+    tells, so a text with n spans costs about n log n steps.
+    """
+    by = Window.partitionBy("rid").orderBy("s", ~is_base)
+    last = F.max(F.when(is_base, F.struct("e", "k"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(is_base, F.struct("s", "k"))).over(by.rowsBetween(1, Window.unboundedFollowing))
+    return F.when(last["e"] > F.col("s"), last["k"]).when(after["s"] < F.col("e"), after["k"])

@@ -1,14 +1,21 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Base matches (email, ip, card, phone) are the seeds. Number-like and @-like strings of all texts are instances; an
-instance's pattern is the word before it with its own shape. Patterns and instances form a graph, scored in rounds:
-a pattern by the mean score of its distinct instances (smoothed), an instance that no rule validates by the
-noisy-or of its patterns; seeds stay at 1. Patterns of high confidence, induced by enough distinct seeds, then
-discover instances that no base rule matches, and add them under their seeds' kind. Base spans always stay.
+Base matches (email, ip, card, phone) are the seeds. Number-like and @-like strings of all texts are instances; each
+occurrence has up to three lexical patterns: the word before with the instance's shape, the shape with the word after,
+and the two words before with the word after. Patterns and instances form a graph that is scored in rounds:
+
+- a pattern by the mean score of its distinct instances (smoothed by one); it is trusted from ``confidence`` on, if at
+  least ``seeds`` of its instances are accepted, and is of the kind that most of these have;
+- an instance that no rule validates by the noisy-or of its trusted patterns of one kind; with a score of
+  ``confidence`` it is accepted and counts for its patterns like a seed from the next round on.
+
+So patterns reached only through discovered instances induce and discover in turn. Rounds end when none is accepted.
+Every occurrence of an accepted instance that overlaps no base span is added under its kind. Base spans always stay.
 
 The graph is aggregated before it is joined, all rounds are written to the shared folder, and nothing is collected.
-Null text is empty text: no spans. Rows are told apart by position, so repeated rows and null doc_ids keep a result
-each. An empty table gives an empty result; extra columns are ignored.
+Ties of kinds go to the one listed first. Null text is empty text: no spans. Rows are told apart by position, so
+repeated rows and null doc_ids keep a result each; repeated occurrences are one instance of the graph. An empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import written
-from provena.llm.native import by_kind, count_of, joined, spans, tagged
+from provena.llm.common import small, written
+from provena.llm.native import by_kind, count_of, joined, overlapped, spans, tagged
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the base patterns: the same matches in linear time and without recursion on long texts.
@@ -27,7 +34,7 @@ CARD = r"[0-9](?<![0-9]{2})(?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 INSTANCE = r"(?:(?<![0-9+(])[+(]?[0-9](?:[ ().-]{0,2}+[0-9])++)|(?:(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++@[A-Za-z0-9._%+@-]++)"
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-ROUNDS, CONFIDENCE, SEEDS, MIN_DIGITS = 3, 0.8, 5, 7
+CONFIDENCE, SEEDS, MIN_DIGITS, CONTEXT = 0.8, 5, 7, 40
 
 
 def luhn(digits: Column) -> Column:
@@ -57,41 +64,69 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
+_FOUND = "array<struct<s:int,e:int,instance:bigint,patterns:array<string>>>"
+
+
 def _instances(text: Column) -> Column:
+    """Candidates with their patterns; a pattern without any word is none."""
     digits = lambda v: F.length(F.regexp_replace(v, "[^0-9]", ""))
-    found = F.filter(spans(text, INSTANCE, 40), lambda x: F.contains(x["v"], F.lit("@")) | (digits(x["v"]) >= MIN_DIGITS))
+    found = F.filter(spans(text, INSTANCE, CONTEXT), lambda x: F.contains(x["v"], F.lit("@")) | (digits(x["v"]) >= MIN_DIGITS))
     shape = lambda v: F.substring(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "9"), "[A-Za-z]+", "a"), 1, 60)
-    word = lambda c: F.regexp_replace(F.lower(F.regexp_extract(c, r"([^\s]+)\s*$", 1)), r"^\W+|\W+$", "")
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(x["v"]).alias("instance"), F.concat_ws("|", word(x["l"]), shape(x["v"])).alias("pattern")))
-
-
-def scored(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence, seeds) of the graph ``edges`` (pattern, instance, k), k null for unvalidated instances."""
-    instances = written(edges.groupBy("instance").agg(F.max("k").alias("k")).withColumn("score", F.when(F.col("k").isNotNull(), 1.0).otherwise(0.0)), "instances")
-    for i in range(rounds):
-        mine = edges.select("pattern", "instance").join(instances, "instance")
-        patterns = mine.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count("k").alias("seeds"), *(F.sum(F.when(F.col("k") == j, 1).otherwise(0)).alias(f"n{j}") for j in range(len(KINDS))))
-        patterns = written(patterns.withColumn("k", F.array_position(F.array(*(F.col(f"n{j}") for j in range(len(KINDS)))), F.greatest(*(F.col(f"n{j}") for j in range(len(KINDS))))).cast("int") - 1).select("pattern", "confidence", "seeds", "k"), "patterns")
-        if i + 1 < rounds:
-            found = edges.select("pattern", "instance").join(patterns.select("pattern", "confidence"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("found"))
-            instances = written(instances.join(found, "instance", "left").select("instance", "k", F.when(F.col("k").isNotNull(), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score")), "instances")
-    return patterns
+    bare = lambda w: F.regexp_replace(w, r"^\W+|\W+$", "")
+
+    def item(x: Column) -> Column:
+        before, after = F.split(F.rtrim(F.lower(x["l"])), r"\s+"), F.split(F.ltrim(F.lower(x["r"])), r"\s+")
+        one, two, next_one = bare(F.element_at(before, -1)), bare(F.coalesce(F.get(before, F.size(before) - 2), F.lit(""))), bare(F.get(after, 0))
+        patterns = F.array(F.when(one != "", F.concat(F.lit("b|"), one, F.lit("|"), shape(x["v"]))), F.when(next_one != "", F.concat(F.lit("a|"), shape(x["v"]), F.lit("|"), next_one)), F.when((one != "") & (two != "") & (next_one != ""), F.concat(F.lit("c|"), two, F.lit(" "), one, F.lit("|"), next_one)))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.xxhash64(x["v"]).alias("instance"), F.array_compact(patterns).alias("patterns"))
+
+    return F.transform(found, item).cast(_FOUND)
+
+
+def scored(edges: DataFrame, seeds_of: DataFrame, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
+    """(instance, k, score) of the accepted instances, from the graph ``edges`` (pattern, instance) and its seeds (instance, k).
+
+    ``k`` is the kind's place. Seeds have score 1; others keep the kind and score that they were accepted with.
+    """
+    accepted = written(seeds_of.withColumn("score", F.lit(1.0)), "accepted")
+    sizes = written(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds), "patterns")
+    able = written(edges.join(sizes, "pattern").select("pattern", "instance", "n"), "able")
+    while True:
+        held = accepted.hint("broadcast") if small(accepted, 32) else accepted
+        by_kind = able.join(held, "instance").groupBy("pattern", "k").agg(F.sum("score").alias("score"), F.count("*").alias("m"), F.first("n").alias("n"))
+        patterns = by_kind.groupBy("pattern").agg(F.max(F.struct("m", (-F.col("k")).alias("k")))["k"].alias("k"), F.sum("m").alias("m"), F.sum("score").alias("score"), F.first("n").alias("n"))
+        patterns = patterns.select("pattern", (-F.col("k")).cast("int").alias("k"), (F.col("score") / (F.col("n") + 1)).alias("confidence"), "m")
+        trusted = written(patterns.where((F.col("confidence") >= confidence) & (F.col("m") >= seeds)).select("pattern", "k", "confidence"), "trusted")
+        told = able.select("pattern", "instance").join(F.broadcast(trusted) if small(trusted, 128) else trusted, "pattern")
+        fresh = told.join(accepted.select("instance"), "instance", "left_anti").groupBy("instance", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("score"))
+        fresh = fresh.groupBy("instance").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("x")).select("instance", (-F.col("x.k")).cast("int").alias("k"), F.col("x.score").alias("score")).where(F.col("score") >= confidence)
+        fresh = written(fresh, "fresh")
+        if fresh.isEmpty():
+            return accepted
+        accepted = written(accepted.unionByName(fresh), "accepted")
+
+
+def _clear(table: DataFrame) -> DataFrame:
+    """(rid, s, e, instance, patterns, k): every candidate with the kind's place of a base span that it overlaps, else null."""
+    none = F.lit(None)
+    mine = table.where(F.size("instances") > 0).select("rid", F.explode("instances").alias("x")).select("rid", "x.s", "x.e", "x.instance", "x.patterns", none.cast("int").alias("k"))
+    theirs = table.where((F.size("instances") > 0) & (F.size("base") > 0)).select("rid", F.explode("base").alias("b")).select("rid", "b.s", "b.e", none.cast("long").alias("instance"), none.cast("array<string>").alias("patterns"), "b.k")
+    both = mine.unionByName(theirs).withColumn("over", overlapped(F.col("k").isNotNull()))
+    return both.where("k is null").select("rid", "s", "e", "instance", "patterns", F.col("over").alias("k"))
 
 
 def find(docs: DataFrame, confidence: float = CONFIDENCE, seeds: int = SEEDS) -> DataFrame:
     """Per document (doc_id, base, added): arrays of (k, kind, s, e)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = docs.select("doc_id", text.alias("text"))
-    table = table.select("doc_id", F.concat(*(tagged(kind, k, c) for k, (kind, c) in enumerate(base(F.col("text")).items()))).alias("base"), F.when(F.col("text").rlike("[0-9@]"), _instances(F.col("text"))).otherwise(F.array().cast("array<struct<s:int,e:int,instance:bigint,pattern:string>>")).alias("instances"))
+    table = table.select("doc_id", F.concat(*(tagged(kind, k, c) for k, (kind, c) in enumerate(base(F.col("text")).items()))).alias("base"), F.when(F.col("text").rlike("[0-9@]"), _instances(F.col("text"))).otherwise(F.array().cast(_FOUND)).alias("instances"))
     table = written(table.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "base", "instances"), "spans")
-    at = table.where(F.size("instances") > 0).select("rid", "base", F.explode("instances").alias("x"))
-    inside = F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
-    at = written(at.select("rid", "x.s", "x.e", "x.instance", "x.pattern", F.get(inside, 0)["k"].alias("k")), "instances_at")
-    good = scored(written(at.groupBy("pattern", "instance").agg(F.max("k").alias("k")), "graph"))
-    good = good.where((F.col("confidence") >= confidence) & (F.col("seeds") >= seeds)).select("pattern", F.col("k").alias("kind_k"))
-    added = at.where("k is null").join(good, "pattern")
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_k") + 1)
-    added = added.select("rid", F.struct(F.col("kind_k").alias("k"), kind.alias("kind"), "s", "e").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("added"))
+    at = written(_clear(table), "instances_at")
+    edges = written(at.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "graph")
+    accepted = scored(edges, at.where("k is not null").groupBy("instance").agg(F.min("k").alias("k")), confidence, seeds)
+    added = at.where("k is null").drop("k").join(accepted.select("instance", "k"), "instance")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
+    added = added.select("rid", F.struct("k", kind.alias("kind"), "s", "e").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("added"))
     return table.join(added, "rid", "left").select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<k:int,kind:string,s:int,e:int>>")).alias("added"))
 
 
