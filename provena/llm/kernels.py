@@ -63,6 +63,18 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
         start = end
 
 
+def windows(size: int, h: np.ndarray) -> np.ndarray:
+    """A hash for the window of ``size`` words that begins at each word; windows across texts are the caller's to drop."""
+    n = len(h) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        g = np.full(n, size, np.uint64)
+        for k in range(size):
+            g = g * np.uint64(0xD6E8FEB86659FD93) + h[k : n + k]
+        return mix(g)
+
+
 class Words:
     """The words of a block of texts: ``starts`` and ``ends`` in ``buf``, ``hash`` and, by text, ``first`` (a word index for each text, and the end)."""
 
@@ -103,17 +115,8 @@ class Words:
                 total = total + scale * sums[-1]
             return mix((right - left) * inverse + (ends - starts).astype(np.uint64))
 
-    def windows(self, size: int, hashes: np.ndarray | None = None) -> np.ndarray:
-        """A hash for the window of ``size`` words that begins at each word; windows across texts are the caller's to drop."""
-        h = self.hash if hashes is None else hashes
-        n = len(h) - size + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            g = np.full(n, size, np.uint64)
-            for k in range(size):
-                g = g * np.uint64(0xD6E8FEB86659FD93) + h[k : n + k]
-            return mix(g)
+    def windows(self, size: int) -> np.ndarray:
+        return windows(size, self.hash)
 
     def sets(self, size: int) -> Iterator[np.ndarray]:
         """For each text its sorted distinct windows; of fewer words, the whole sequence as one; of none, nothing."""
@@ -122,6 +125,6 @@ class Words:
             if b - a >= size:
                 yield np.unique(grams[a : b - size + 1])
             elif b > a:
-                yield self.windows(b - a, self.hash[a:b])
+                yield windows(b - a, self.hash[a:b])
             else:
                 yield np.zeros(0, np.uint64)
