@@ -8,13 +8,16 @@ one class. Classes link when ``100 * |A & B| >= 80 * |A | B|``; the join finds e
 2. ``prefixes``: shingles are ordered rare first by that sketch. A document keeps a quarter of them, and more where
    the estimated cost of its prefix (the summed counts) is high. The longer the prefixes, the more of their shingles a
    linked pair must share: with ``rest`` the shingles outside a prefix, at least ``overlap - max(rest)``. A document
-   too few of whose prefix shingles occur elsewhere is out before any pair is formed.
+   too few of whose prefix shingles occur elsewhere is out before any pair is formed. Per-shingle tables are written
+   before they are joined, so that both sides are plain shuffles and a hot shingle's partition can be split, and the
+   documents of one are dealt over blocks where they are paired.
 3. Every class is verified against the smallest document of its shared prefix shingles, then in rounds against other
    documents of its most frequent ones. This is linear and joins whole groups of near copies, so that no group is
    expanded into its pairs.
 4. Pairs whose components still differ are joined on their prefix shingles by classes of the ratio of their sizes and
    of their prefixes' lengths. Each class has its own number h of shingles that a pair shares at least, and a document
-   leaves out its h - 1 most frequent: the rarest shared one is never among them. What is left is verified. Verification compares whole sets, so every link is exact.
+   leaves out its h - 1 most frequent: the rarest shared one is never among them. What is left is verified. Verification
+   compares whole sets, so every link is exact.
 5. Components by repeated minimum with pointer jumping, each round written to the shared folder.
 
 Null and empty texts have an empty set and link with nothing. Rows that share a doc_id are one node. A null doc_id
@@ -40,6 +43,8 @@ SKETCH_BITS = 18
 EXTRA, COSTS = (5, 10, 16), (1.2, 4.0)
 #: Bounds of the classes of size ratios; rounds and shingles by document in which hot shingles' other documents are tried.
 RATIOS, ROUNDS, TRIES, HOT = (1.0, 1.04, 1.1, 1.17, 1.25), 2, 4, 16
+#: Rows of one shingle that a task joins at most: groups of more are dealt over blocks of about so many.
+BLOCK = 500
 #: Bits of the filter that keeps texts of unpaired documents out of the shuffle before verification.
 FILTER_BITS = 20
 
@@ -205,6 +210,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     rows = prefix.select("id", F.explode("shingles").alias("shingle"))
     # Only shingles that several documents have go on: with the smallest of these as their centre.
     centre = rows.groupBy("shingle").agg(F.min("id").alias("centre"), F.max("id").alias("most")).where("centre <> most").select("shingle", "centre")
+    centre = written(centre, "centres")
     sizes = prefix.select("id", "n", "level", F.size("shingles").alias("p")).join(reps.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").distinct()
     shared = written(rows.join(centre, "shingle"), "shared")
     # A partner's size and prefix can be anything within the bounds: a linked document shares
@@ -244,6 +250,7 @@ def _apart(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """The shared prefix shingles that join different components: d, their documents, and each document's order by it."""
     at = shared.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     counted = at.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("d")).where("lo <> hi").select("shingle", "d")
+    counted = written(counted, "counted")
     often = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("d"), F.desc("shingle")))
     return written(at.join(counted, "shingle").select("shingle", "id", "n", "p", "level", "comp", "d").withColumn("often", often), "apart")
 
@@ -251,11 +258,22 @@ def _apart(shared: DataFrame, comps: DataFrame) -> DataFrame:
 def _tried(at: DataFrame, i: int) -> DataFrame:
     """Pairs of each document with one other, by round, of each of its few hottest shingles."""
     hot = at.where(F.col("d") >= HOT)
-    other = hot.groupBy("shingle").agg(F.min_by("id", F.xxhash64("id", "shingle", F.lit(i))).alias("other"))
-    pairs = hot.where(F.col("often") <= TRIES).join(other, "shingle").where("id <> other")
+    other = hot.groupBy("shingle").agg(F.min_by("id", F.xxhash64("id", "shingle", F.lit(i))).alias("other"), F.max("d").alias("d"))
+    # The one other document of a shingle is given to each of its blocks, so that no task gets all its documents.
+    other = other.select("shingle", "other", F.explode(F.sequence(F.lit(0).cast("long"), _blocks() - 1)).alias("block"))
+    pairs = hot.where(F.col("often") <= TRIES).withColumn("block", _block()).join(other, ["shingle", "block"]).where("id <> other")
     return pairs.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
 
 
+def _blocks():
+    """Blocks of a shingle's documents, from their number ``d``."""
+    return F.floor(F.col("d") / BLOCK) + 1
+
+
+def _block():
+    return F.pmod(F.xxhash64("id"), _blocks())
+
+
 def _enough(pairs: DataFrame, able: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sizes can link and whose prefixes share enough."""
     for side, c in (("a", "x"), ("b", "y")):
@@ -282,9 +300,14 @@ def _classed(at: DataFrame, percent: int) -> DataFrame:
         kinds = [F.when(F.col("often") >= least(smaller, k, level), F.struct(F.lit(k).alias("k"), F.lit(level).alias("partner"))) for k in range(len(bounds) - 1) for level in range(len(EXTRA))]
         rows = at.withColumn("kind", F.explode(F.array_compact(F.array(*kinds))))
         mine, other = ("level_a", "level_b") if smaller else ("level_b", "level_a")
-        return rows.select("shingle", F.col("kind.k").alias("k"), F.col("level").alias(mine), F.col("kind.partner").alias(other), *(F.col(c).alias(f"{c}_{name}") for c in ("id", "n", "comp")))
-
-    pairs = side(True, "a").join(side(False, "b"), ["shingle", "k", "level_a", "level_b"])
+        return rows.select("shingle", _blocks().alias("blocks"), F.col("kind.k").alias("k"), F.col("level").alias(mine), F.col("kind.partner").alias(other), *(F.col(c).alias(f"{c}_{name}") for c in ("id", "n", "comp")))
+
+    # Each smaller document is in one row of blocks and each larger one in one column: they meet in one place, and a
+    # task gets BLOCK documents of either.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    smaller_side = side(True, "a").withColumns({"row": F.pmod(F.xxhash64("id_a"), F.col("blocks")), "column": every})
+    larger_side = side(False, "b").withColumns({"column": F.pmod(F.xxhash64("id_b"), F.col("blocks")), "row": every})
+    pairs = smaller_side.drop("blocks").join(larger_side.drop("blocks"), ["shingle", "k", "level_a", "level_b", "row", "column"])
     smaller = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))
     high = F.element_at(F.array(*(F.lit(b) for b in bounds[1:])), F.col("k") + 1)
     low = F.element_at(F.array(F.lit(0.0), *(F.lit(b) for b in bounds[1:-1])), F.col("k") + 1)
