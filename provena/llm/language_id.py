@@ -197,10 +197,11 @@ def _right(shared):
 def train(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, rounds: int = ROUNDS, margin: float = MARGIN) -> Model | None:
     """Fit on the documents under ``where`` whose lang is not null: a bounded sample for each language."""
     known = docs.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.xxhash64("text", F.col("doc_id").cast("string")).alias("h"))
-    n = written(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    known = known.withColumn("h", F.shiftrightunsigned("h", 11))
+    n = written(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"), F.min("h").alias("lowest")), "languages")
     n = F.broadcast(n) if small(n, 64) else n
     # Hashes under a share of each language, where 1.5 times the bound is expected; of these the bound is taken.
-    few = known.join(n, "lang").where(F.shiftrightunsigned("h", 11) / float(1 << 53) <= 1.5 * per_language / F.col("rows"))
+    few = known.join(n, "lang").where((F.col("h") / float(1 << 53) <= 1.5 * per_language / F.col("texts")) | (F.col("h") == F.col("lowest")))
     vectors = few.select("lang", "h", "text").mapInArrow(_sparse, "lang string, h long, at binary, n binary").dropDuplicates(["lang", "h"])
     ranked = vectors.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
     sample = written(ranked.select("lang", "h", "at", "n"), "vectors")
