@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times its row width stay under this.
 BROADCAST_BYTES = 8 << 20
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,10 +48,11 @@ def let_workers_import(spark: SparkSession) -> None:
     """Python workers get the folder that holds this package, unless their path has it already.
 
     This changes the session: PYTHONPATH of its workers, and, as rows of texts are heavy, Arrow batches of 10,000
-    rows, the default, to batches of BATCH_ROWS.
+    rows and 64 MB, the defaults, to batches of BATCH_ROWS and BATCH_BYTES.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for key, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", default) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(ours))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "") + os.pathsep + os.environ.get("PYTHONPATH", "")

@@ -161,7 +161,7 @@ def _windows(sizes, bits):
                         none = pa.nulls(len(at))
                         yield pa.RecordBatch.from_arrays([pa.array(rids[own[at]]), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(pos[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array([literal] * len(at)), pa.array(held, pa.list_(pa.int64()))], schema=_OUT)
 
-    return run
+    return kernels.frugal(run)
 
 
 _DDL = "rid long, id long, total int, pos int, h long, literal boolean, slots array<bigint>"

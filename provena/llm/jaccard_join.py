@@ -77,7 +77,7 @@ def _sets(words: int):
                 sig_b.append(b)
                 pending.append(s >> np.uint64(64 - SKETCH_BITS))
                 held += len(s)
-                if held > 1 << 20:
+                if held > 1 << 18:
                     counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=len(counts))
                     pending, held = [], 0
             if held:
@@ -88,7 +88,7 @@ def _sets(words: int):
         nulls = pa.nulls(len(used), pa.int64())
         yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.array(used.astype(np.int32)), pa.array(counts[used])], schema=_SETS)
 
-    return run
+    return kernels.frugal(run)
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +129,7 @@ def _prefixes(words: int, percent: int, shared):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PREFIX, strict=True)], schema=_PREFIX)
 
-    return run
+    return kernels.frugal(run)
 
 
 _FULL = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
@@ -142,7 +142,7 @@ def _full(words: int):
                 held = [s.tobytes() for s in kernels.Words(texts, kernels.SPACED).sets(words)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(held, pa.binary())], schema=_FULL)
 
-    return run
+    return kernels.frugal(run)
 
 
 def _linked(percent: int):
@@ -159,7 +159,7 @@ def _linked(percent: int):
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+    return kernels.frugal(run)
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int, name: str) -> DataFrame:

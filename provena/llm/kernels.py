@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,18 @@ def windows(size: int, h: np.ndarray) -> np.ndarray:
         return mix(g)
 
 
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker, which stays for other stages, gives unused memory back to the system."""
+
+    def through(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return through
+
+
 class Words:
     """The words of a block of texts: ``starts`` and ``ends`` in ``buf``, ``hash`` and, by text, ``first`` (a word index for each text, and the end)."""
 

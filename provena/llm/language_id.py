@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,7 +190,7 @@ def _right(shared):
             ok = langs[best] == np.array(batch.column("lang").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(_size(counts)[ok].astype(np.int32)), pa.array(cosine[ok].astype(float))], names=["size", "cosine"])
 
-    return run
+    return kernels.frugal(run)
 
 
 def train(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, rounds: int = ROUNDS, margin: float = MARGIN) -> Model | None:
@@ -202,24 +201,24 @@ def train(docs: DataFrame, where: Column, per_language: int = PER_LANGUAGE, cent
     n = F.broadcast(n) if small(n, 64) else n
     # Hashes under a share of each language, where 1.5 times the bound is expected; of these the bound is taken.
     few = known.join(n, "lang").where((F.col("h") / float(1 << 53) <= 1.5 * per_language / F.col("texts")) | (F.col("h") == F.col("lowest")))
-    vectors = few.select("lang", "h", "text").mapInArrow(_sparse, "lang string, h long, at binary, n binary").dropDuplicates(["lang", "h"])
+    vectors = few.select("lang", "h", "text").mapInArrow(kernels.frugal(_sparse), "lang string, h long, at binary, n binary").dropDuplicates(["lang", "h"])
     ranked = vectors.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= per_language)
     sample = written(ranked.select("lang", "h", "at", "n"), "vectors")
     total = sample.count()
     if not total:
         return None
     seen = np.zeros(BINS)
-    for r in sample.select("at").mapInArrow(_seen, "bin int, seen long").groupBy("bin").agg(F.sum("seen").alias("seen")).collect():  # 4096 rows at most
+    for r in sample.select("at").mapInArrow(kernels.frugal(_seen), "bin int, seen long").groupBy("bin").agg(F.sum("seen").alias("seen")).collect():  # 4096 rows at most
         seen[r["bin"]] = r["seen"]
     model = Model(_idf(seen, total), None, None, np.zeros(32))
     weights = docs.sparkSession.sparkContext.broadcast(model.idf)
 
     def cluster(group):
-        group = group.sort_values("h")
-        c = _centroids(Model(weights.value, None, None, None).vectors(_dense(list(group["at"]), list(group["n"]))), centroids, rounds)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "j": range(len(c)), "centroid": [x.astype(np.float32).tobytes() for x in c]})
+        group = group.sort_by("h")
+        c = _centroids(Model(weights.value, None, None, None).vectors(_dense(group["at"].to_pylist(), group["n"].to_pylist())), centroids, rounds)
+        return pa.table({"lang": group["lang"][: len(c)], "j": np.arange(len(c), dtype=np.int32), "centroid": [x.astype(np.float32).tobytes() for x in c]})
 
-    found = sample.groupBy("lang").applyInPandas(cluster, "lang string, j int, centroid binary").orderBy("lang", "j").collect()
+    found = sample.groupBy("lang").applyInArrow(cluster, "lang string, j int, centroid binary").orderBy("lang", "j").collect()
     model.centroids, model.langs = np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]), [r["lang"] for r in found]
     right = sample.mapInArrow(_right(docs.sparkSession.sparkContext.broadcast(model)), "size int, cosine double").orderBy("size", "cosine").collect()
     model.floor = _floor(np.array([r["cosine"] for r in right]), np.array([r["size"] for r in right], int), margin)
@@ -241,7 +240,7 @@ def _predict(shared, extra: list[str]):
                 out = out | ~letter
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in extra), pa.array(lang, pa.string()), pa.array(score.astype(float)), pa.array(out)], names=[*extra, "lang_pred", "score", "rejected"])
 
-    return run
+    return kernels.frugal(run)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

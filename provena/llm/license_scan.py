@@ -79,7 +79,7 @@ def _grams(k: int):
                 nulls = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(rids[owner[whole]]), nulls, nulls, pa.array(pos[whole].astype(np.int32)), pa.array(grams[whole].view(np.int64))], schema=_OUT)
 
-    return run
+    return kernels.frugal(run)
 
 
 def _notices(k: int):
@@ -95,7 +95,7 @@ def _notices(k: int):
                 columns = (batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in ("t", "label", "phrase"))
                 yield pa.RecordBatch.from_arrays([pa.array(grams[whole].view(np.int64)), *columns, pa.array(pos[whole].astype(np.int32)), pa.array((counts[owner] - k + 1).astype(np.int32))], names=["h", "t", "label", "phrase", "tpos", "grams"])
 
-    return run
+    return kernels.frugal(run)
 
 
 def templates(spark: SparkSession, notices: DataFrame | None = None, k: int = K) -> DataFrame:

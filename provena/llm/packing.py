@@ -140,7 +140,7 @@ def _pieces(path: str, window: int, end: int):
                         rid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
 
-    return run
+    return kernels.frugal(run)
 
 
 def combinations(have: dict[int, int], window: int = WINDOW, common: int = COMMON) -> list[tuple[int, ...]]:

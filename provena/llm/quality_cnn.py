@@ -130,7 +130,7 @@ def _scores(shared):
                 score = np.full(len(texts), 0.5) if net is None else net.score(texts).astype(float)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(score)], names=["doc_id", "score"])
 
-    return run
+    return kernels.frugal(run)
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
