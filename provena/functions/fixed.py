@@ -65,6 +65,9 @@ GENERIC_TERMS = ("request", "quotation", "quote", "rfq", "price", "pricing", "pr
 GEO_TERMS = ("singapore", "malaysia", "indonesia", "thailand", "vietnam", "philippines", "brunei", "cambodia", "laos", "myanmar", "southeast", "asia", "sea", "global", "region")
 PROCUREMENT_SIGNALS = ("quote", "quotation", "rfq", "vendor", "supplier", "price", "pricing", "contact", "sales", "catalog", "catalogue", "datasheet", "stock", "moq")
 
+# Regions that query templates leave open.
+REGION_WORDS = ("singapore", "malaysia", "vietnam", "thailand", "indonesia", "philippines", "cambodia", "myanmar", "laos", "brunei", "china", "india", "japan", "taiwan")
+
 # Lifecycle, most severe first.
 LIFECYCLE = (("eol", ("end of life", "end-of-life", "obsolete", "discontinued", "eol")), ("ltb", ("last time buy", "last-time-buy", "ltb")), ("nrnd", ("not recommended for new design", "nrnd")), ("preliminary", ("preliminary", "advance information")), ("active", ("active", "in production", "recommended for new design")))
 LIFECYCLE_SEVERITY = {"unknown": 0, "active": 0, "preliminary": 1, "nrnd": 2, "ltb": 2, "eol": 3}

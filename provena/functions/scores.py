@@ -8,17 +8,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from provena.functions import fixed
-from provena.functions.text import lookup
+from provena.functions.text import any_of, lookup
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), c))
 
 
-def geo_score(country: Column, target: str, text: Column) -> Column:
-    """Exact country, another country of the region, the region named in the text, another known country, or unknown."""
-    serves = F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(target.lower()))
-    return F.when(country == target, fixed.GEO_EXACT).when(country.isin(*fixed.COUNTRIES), fixed.GEO_REGION).when(serves, fixed.GEO_SERVES).when(country.isNotNull(), fixed.GEO_CONFLICT).otherwise(fixed.GEO_UNKNOWN)
+def geo_score(country: Column, target: str | None, text: Column) -> Column:
+    """Exact country, another country of the region, one of the region named in the text, a country that is not the one asked for, or unknown."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    serves = any_of(low, tuple(c.lower() for c in fixed.COUNTRIES))
+    return F.when(country == F.lit(target), fixed.GEO_EXACT).when(country.isin(*fixed.COUNTRIES), fixed.GEO_REGION).when(serves, fixed.GEO_SERVES).when(country != F.lit(target), fixed.GEO_CONFLICT).otherwise(fixed.GEO_UNKNOWN)
 
 
 def product_score(status: Column, has_moq: Column, has_site: Column, has_refs: Column, geo: Column, completeness: Column) -> Column:
@@ -97,12 +98,13 @@ def decayed(confidence: Column, age: Column, reinforced: Column, disputes: Colum
 
 
 def citation_multiplier(citations: Column) -> Column:
-    return 1 + 0.2 * F.log2(1.0 + citations)
+    return F.round(1 + 0.2 * F.log2(1.0 + citations), 4)
 
 
 def ltb_quantity(demand: Column, years: Column, safety: Column, short_cost: Column, carry_cost: Column) -> Column:
-    """Last-time-buy quantity with the critical ratio of shortage against carrying cost."""
-    ratio = F.coalesce(short_cost / F.nullif(short_cost + carry_cost, F.lit(0.0)), F.lit(0.5))
+    """Last-time-buy quantity with the critical ratio of shortage against carrying cost; one half without shortage cost."""
+    ratio = F.when((short_cost > 0) & (short_cost + carry_cost > 0), short_cost / (short_cost + carry_cost)).otherwise(0.5)
+    demand, years = F.greatest(F.lit(0.0), demand), F.greatest(F.lit(0.0), years)
     return (F.ceil(demand * years) + F.ceil(demand * safety * (0.5 + ratio))).cast("long")
 
 
@@ -111,4 +113,4 @@ def counterfeit(listed: Column, authorized: Column) -> Column:
 
 
 def stop_reason(found: Column, wanted: Column, tracker: Column, needs_channel: Column, over_time: Column) -> Column:
-    return F.when(found >= wanted, "min_results_met").when(tracker.isNotNull(), tracker).when(needs_channel, "no_quote_channel").when(over_time, "runtime_exceeded").otherwise("insufficient_evidence")
+    return F.when(found >= wanted, "min_validated_candidates_met").when(tracker.isNotNull(), tracker).when(needs_channel, "no_quote_channel_found").when(over_time, "max_runtime_reached").otherwise("insufficient_evidence")

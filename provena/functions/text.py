@@ -225,7 +225,7 @@ def freshness(text: Column, year: int) -> Column:
 def skeleton(query: Column) -> Column:
     """Regions and numbers become placeholders, white space is squeezed."""
     low = F.lower(_text(query))
-    low = F.regexp_replace(low, r"\b(?:" + "|".join(sorted(fixed.GEO_TERMS, key=lambda x: (-len(x), x))) + r")\b", "{region}")
+    low = F.regexp_replace(low, r"\b(?:" + "|".join(fixed.REGION_WORDS) + r")\b", "{region}")
     return F.trim(F.regexp_replace(F.regexp_replace(low, r"\d+", "{number}"), r"\s+", " "))
 
 

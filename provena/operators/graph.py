@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import fixed
@@ -69,3 +70,21 @@ def pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, rounds: in
         if (i + 1) % every == 0:
             rank = written(rank, "rank")
     return rank
+
+
+def linked(notes: DataFrame, seq: str, weights: dict[str, int], top: int = 3) -> DataFrame:
+    """(seq, other, score): each note's ``top`` best earlier notes by the weights of the tags that they share.
+
+    Of equal scores the earlier wins. So a best note is among the first ``top`` of those that share the same tags, for
+    some set of tags: these are few for each value, and no two notes of a hot value are paired.
+    """
+    tags, found = list(weights), []
+    for n in range(1, len(tags) + 1):
+        for of in combinations(tags, n):
+            first = Window.partitionBy(*of).orderBy(seq)
+            few = notes.select(*of, F.col(seq).alias("other"), *(F.col(t).alias(f"other_{t}") for t in tags), F.row_number().over(first).alias("rn")).where(F.col("rn") <= top).drop("rn")
+            found.append(notes.join(few, list(of)).where(F.col("other") < F.col(seq)).select(seq, "other", *tags, *(f"other_{t}" for t in tags)))
+    pairs = reduce(DataFrame.unionByName, found).dropDuplicates([seq, "other"])
+    score = sum((F.when(F.col(t) == F.col(f"other_{t}"), w).otherwise(0) for t, w in weights.items()), F.lit(0))
+    best = Window.partitionBy(seq).orderBy(F.desc("score"), F.asc("other"))
+    return pairs.withColumn("score", score).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top).select(seq, "other", "score")

@@ -55,15 +55,22 @@ def contradictions(pages: DataFrame, by: list[str]) -> DataFrame:
 def same_vendor(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Rows of ``left`` (by, id, vendor) with the first row of ``right`` (by, seq, vendor) of the same vendor.
 
-    Names match when one's words contain the other's as a run. Candidates meet on a word of the shorter name's start,
-    so that no two lists are compared pair by pair.
+    Names match when one's key holds the other's. The distinct keys meet on the first characters, three at most, of
+    one and any as many of the other, so that no two lists are compared pair by pair.
     """
-    a = left.withColumn("_k", T.vendor_key(F.col("vendor"))).where("_k <> ''")
-    b = right.select(*by, "seq", T.vendor_key(F.col("vendor")).alias("_o")).where("_o <> ''")
-    in_a = a.select(*by, "id", "_k", F.explode(F.array_distinct(F.split("_k", " "))).alias("_w")).join(b.withColumn("_w", F.get(F.split("_o", " "), 0)), [*by, "_w"])
-    in_b = a.withColumn("_w", F.get(F.split("_k", " "), 0)).select(*by, "id", "_k", "_w").join(b.withColumn("_w", F.explode(F.array_distinct(F.split("_o", " ")))), [*by, "_w"])
-    both = in_a.unionByName(in_b).where(F.contains("_k", F.col("_o")) | F.contains("_o", F.col("_k")))
-    return both.groupBy(*by, "id").agg(F.min("seq").alias("seq"))
+    a = left.select(*by, "id", T.vendor_key(F.col("vendor")).alias("_k")).where("_k <> ''")
+    b = right.select(*by, "seq", T.vendor_key(F.col("vendor")).alias("_o")).where("_o <> ''").groupBy(*by, "_o").agg(F.min("seq").alias("seq"))
+    keys = a.select(*by, "_k").distinct()
+    start = lambda c: F.left(F.col(c), F.lit(3))
+
+    def inside(c: str):
+        runs = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.array(*(F.substring(F.col(c), i, F.lit(n)) for n in (1, 2, 3))))
+        return F.explode(F.array_distinct(F.flatten(runs)))
+
+    one = keys.withColumn("_g", inside("_k")).join(b.withColumn("_g", start("_o")), [*by, "_g"]).where(F.contains("_k", F.col("_o")))
+    two = keys.withColumn("_g", start("_k")).join(b.withColumn("_g", inside("_o")), [*by, "_g"]).where(F.contains("_o", F.col("_k")))
+    first = one.unionByName(two).groupBy(*by, "_k").agg(F.min("seq").alias("seq"))
+    return a.join(first, [*by, "_k"]).select(*by, "id", "seq")
 
 
 def gaps(bundles: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,7 +92,7 @@ def ladder(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.select(*keys, F.explode(rungs).alias("r")).select(*keys, "r.*")
 
 
-def levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, level) of a plan's nodes (id) under edges (src before dst): each level waits only for those before it.
 
     A cycle or an unknown dependency is an error. Each round is a join over what is still open.
@@ -95,15 +102,14 @@ def levels(edges: DataFrame, nodes: DataFrame, most: int = 1000) -> DataFrame:
     if not edges.join(nodes.select(F.col("id").alias("src")), "src", "left_anti").isEmpty():
         raise ValueError("an edge names an unknown node")
     todo, out = written(nodes.select("id").distinct(), "todo"), None
-    for level in range(most):
-        if todo.isEmpty():
-            break
+    level = 0
+    while not todo.isEmpty():
         waits = edges.join(todo.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         ready = todo.join(waits, "id", "left_anti").withColumn("level", F.lit(level))
         if ready.isEmpty():
             raise ValueError("the plan has a cycle")
         out = ready if out is None else out.unionByName(ready)
-        todo = written(todo.join(waits, "id", "left_semi"), "todo")
+        todo, level = written(todo.join(waits, "id", "left_semi"), "todo"), level + 1
     return out if out is not None else nodes.select("id").withColumn("level", F.lit(0))
 
 

@@ -87,14 +87,14 @@ def corroborations(spark, sf_dir):
     return p.join(n, ["type", "size"]).select("id", F.least(F.lit(3), F.col("pages") - 1).alias("corroborations"))
 
 
-@query(duck("facts") + ", n AS (SELECT seq, entity, field, value FROM facts), l AS (SELECT a.seq, b.seq AS other, 3 + CASE WHEN a.field = b.field THEN 1 ELSE 0 END + CASE WHEN a.value = b.value THEN 1 ELSE 0 END AS score FROM n a JOIN n b ON a.entity = b.entity AND b.seq < a.seq), r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, other) AS rn FROM l) SELECT seq, other, score FROM r WHERE rn <= 3")
+_TIES = ("entity", "field", "value")
+_SHARED = [[k for k, on in zip(_TIES, (m & 4, m & 2, m & 1), strict=True) if on] for m in range(1, 8)]
+
+
+@query(duck("facts") + ", " + ", ".join(f"k{i} AS (SELECT * FROM (SELECT {', '.join(s)}, seq AS other, row_number() OVER (PARTITION BY {', '.join(s)} ORDER BY seq) AS rn FROM facts) WHERE rn <= 3)" for i, s in enumerate(_SHARED)) + ", c AS (" + " UNION ".join(f"SELECT a.seq, k.other FROM facts a JOIN k{i} k USING ({', '.join(s)}) WHERE k.other < a.seq" for i, s in enumerate(_SHARED)) + "), l AS (SELECT c.seq, c.other, (3 * (a.entity = b.entity)::int + (a.field = b.field)::int + (a.value = b.value)::int)::int AS score FROM c JOIN facts a ON a.seq = c.seq JOIN facts b ON b.seq = c.other), r AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, other) AS rn FROM l) SELECT seq, other, score FROM r WHERE rn <= 3")
 def link_notes(spark, sf_dir):
-    """JN10, MEM12: each note's three best earlier notes of its entity."""
-    n = view(spark, sf_dir, "facts").select("seq", "entity", "field", "value")
-    o = n.select("entity", F.col("seq").alias("other"), F.col("field").alias("f"), F.col("value").alias("v"))
-    score = F.lit(3) + (F.col("field") == F.col("f")).cast("int") + (F.col("value") == F.col("v")).cast("int")
-    pairs = n.join(o, "entity").where("other < seq").withColumn("score", score)
-    return ranking.top_k(pairs, ["seq"], [F.desc("score"), F.asc("other")], 3).select("seq", "other", "score")
+    """JN10, MEM12: each note's three best earlier notes: 3 for the entity, 1 for each other tag that they share."""
+    return graph.linked(view(spark, sf_dir, "facts").select("seq", *_TIES), "seq", {"entity": 3, "field": 1, "value": 1}, 3)
 
 
 @query(duck("candidates") + ", c AS (SELECT DISTINCT supp FROM candidates WHERE refs > 1) SELECT s_suppkey, s_suppkey IN (SELECT supp FROM c) AS cited FROM supplier")

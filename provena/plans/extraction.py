@@ -218,7 +218,7 @@ def dedupe_candidates(spark, sf_dir):
 
 
 @query(duck("part_pages") + f"""
-SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(query), {_lit(chr(92) + 'b(?:' + '|'.join(sorted(fixed.GEO_TERMS, key=lambda x: (-len(x), x))) + ')' + chr(92) + 'b')}, '{{region}}', 'g'), '\\d+', '{{number}}', 'g'), '\\s+', ' ', 'g')) AS skeleton FROM part_pages""".replace("{{", "{").replace("}}", "}"))
+SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(query), {_lit(chr(92) + 'b(?:' + '|'.join(fixed.REGION_WORDS) + ')' + chr(92) + 'b')}, '{{region}}', 'g'), '\\d+', '{{number}}', 'g'), '\\s+', ' ', 'g')) AS skeleton FROM part_pages""".replace("{{", "{").replace("}}", "}"))
 def query_skeletons(spark, sf_dir):
     """EX46: queries with regions and numbers as placeholders."""
     return view(spark, sf_dir, "part_pages").select("id", T.skeleton(F.col("query")).alias("skeleton"))

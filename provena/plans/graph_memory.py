@@ -38,16 +38,16 @@ def graph_substitutes(spark, sf_dir):
 def _ppr_sql(rounds: int) -> str:
     sql = duck("edges") + ", w AS (SELECT src, dst, sum(confidence * 0.85) AS w FROM edges WHERE valid_to IS NULL GROUP BY src, dst), t AS (SELECT src, sum(w) AS t FROM w GROUP BY src), l AS (SELECT w.src, w.dst, w.w / t.t AS share FROM w JOIN t USING (src)), s AS (SELECT DISTINCT src AS id FROM edges WHERE src IN ('part:1', 'part:2', 'part:3')), n AS (SELECT id, max(j) AS j FROM (SELECT src AS id, 0.0::double AS j FROM l UNION ALL SELECT dst, 0.0 FROM l UNION ALL SELECT id, 1.0 / (SELECT count(*) FROM s) FROM s) GROUP BY id), r0 AS (SELECT id, j AS r FROM n)"
     for i in range(rounds):
-        sql += f", r{i + 1} AS (SELECT n.id, 0.15 * n.j + 0.85 * (coalesce(m.m, 0) + n.j * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM t))) AS r FROM n LEFT JOIN (SELECT l.dst AS id, sum(r{i}.r * l.share) AS m FROM l JOIN r{i} ON r{i}.id = l.src GROUP BY l.dst) m USING (id))"
+        sql += f", r{i + 1} AS MATERIALIZED (SELECT n.id, 0.15 * n.j + 0.85 * (coalesce(m.m, 0) + n.j * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM t))) AS r FROM n LEFT JOIN (SELECT l.dst AS id, sum(r{i}.r * l.share) AS m FROM l JOIN r{i} ON r{i}.id = l.src GROUP BY l.dst) m USING (id))"
     return sql + f" SELECT id, round(r, 6) AS rank FROM r{rounds}"
 
 
-@query(_ppr_sql(6))
+@query(_ppr_sql(30))
 def graph_pagerank(spark, sf_dir):
-    """GR5: personalised PageRank, six rounds."""
+    """GR5: personalised PageRank, thirty rounds."""
     e = graph.current(view(spark, sf_dir, "edges"))
     seeds = view(spark, sf_dir, "edges").where(F.col("src").isin("part:1", "part:2", "part:3")).select(F.col("src").alias("id")).distinct()
-    return graph.pagerank(e.select("src", "dst", (F.col("confidence") * 0.85).alias("weight")), seeds, rounds=6, every=3).select("id", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(e.select("src", "dst", (F.col("confidence") * 0.85).alias("weight")), seeds).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(duck("edges") + "SELECT rel, count(*) AS edges, count(*) FILTER (WHERE valid_to IS NULL) AS open, count(DISTINCT src) AS sources FROM edges GROUP BY rel")
@@ -89,7 +89,7 @@ def memory_upsert(spark, sf_dir):
     return d.select("entity", "field", "value", "confidence", (F.col("n") - 1).alias("reinforced"), (F.col("sides") - 1).alias("alternatives"), F.when(F.col("sides") > 1, "disputed").otherwise("active").alias("status"))
 
 
-@query(duck("facts") + ", s AS (SELECT entity, field, seq, round(score * (1 + 0.1 * least(length(field) % 5, 4)) * (1 + 0.2 * log2(1 + reinforced)), 4) AS score FROM facts), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, seq) AS rank FROM s) SELECT entity, field, seq, score, rank FROM r WHERE rank <= 5")
+@query(duck("facts") + ", s AS (SELECT entity, field, seq, round(score * (1 + 0.1 * least(length(field) % 5, 4)) * round(1 + 0.2 * log2(1 + reinforced), 4), 4) AS score FROM facts), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, seq) AS rank FROM s) SELECT entity, field, seq, score, rank FROM r WHERE rank <= 5")
 def memory_recall(spark, sf_dir):
     """MEM5, MEM6, RNK12: the five most relevant facts of an entity, weighted by overlap and citations."""
     score = F.round(F.col("score") * (1 + 0.1 * F.least(F.length("field") % 5, F.lit(4))) * scores.citation_multiplier(F.col("reinforced")), 4)
@@ -98,13 +98,13 @@ def memory_recall(spark, sf_dir):
     return f.select("entity", "field", "seq", "score", F.col("rank").cast("long"))
 
 
-@query(duck("facts") + ", p AS (SELECT entity % 10 AS wf, row_number() OVER (PARTITION BY entity ORDER BY event_ts, seq) AS pos, entity, field FROM facts), n AS (SELECT wf, count(DISTINCT entity) AS n FROM p GROUP BY wf), s AS (SELECT wf, pos, count(*) AS c, count(DISTINCT field) AS kinds, min(field) AS step FROM p WHERE pos <= 10 GROUP BY wf, pos), b AS (SELECT s.wf, min(CASE WHEN kinds > 1 OR c < n THEN pos ELSE 99 END) AS brk FROM s JOIN n USING (wf) GROUP BY s.wf) SELECT s.wf, s.pos, s.step, s.kinds FROM s JOIN b USING (wf) WHERE s.pos <= b.brk")
+@query(duck("facts") + ", p AS (SELECT entity % 10 AS wf, row_number() OVER (PARTITION BY entity ORDER BY event_ts, seq) AS pos, entity, field FROM facts), n AS (SELECT wf, count(DISTINCT entity) AS n FROM p GROUP BY wf), s AS (SELECT wf, pos, count(*) AS c, count(DISTINCT field) AS kinds, min(field) AS step FROM p GROUP BY wf, pos), b AS (SELECT s.wf, min(CASE WHEN kinds > 1 OR c < n THEN pos ELSE 1000000000 END) AS brk FROM s JOIN n USING (wf) GROUP BY s.wf) SELECT s.wf, s.pos, s.step, s.kinds FROM s JOIN b USING (wf) WHERE s.pos <= b.brk")
 def induce_workflows(spark, sf_dir):
     """MEM10: positions up to the first at which a group's trajectories part."""
     p = view(spark, sf_dir, "facts").select((F.col("entity") % 10).alias("wf"), "entity", "field", F.row_number().over(Window.partitionBy("entity").orderBy("event_ts", "seq")).alias("pos"))
     n = p.groupBy("wf").agg(F.count_distinct("entity").alias("n"))
-    s = p.where("pos <= 10").groupBy("wf", "pos").agg(F.count("*").alias("c"), F.count_distinct("field").alias("kinds"), F.min("field").alias("step")).join(n, "wf")
-    brk = F.min(F.when((F.col("kinds") > 1) | (F.col("c") < F.col("n")), F.col("pos")).otherwise(99)).over(Window.partitionBy("wf"))
+    s = p.groupBy("wf", "pos").agg(F.count("*").alias("c"), F.count_distinct("field").alias("kinds"), F.min("field").alias("step")).join(n, "wf")
+    brk = F.min(F.when((F.col("kinds") > 1) | (F.col("c") < F.col("n")), F.col("pos")).otherwise(1_000_000_000)).over(Window.partitionBy("wf"))
     return s.withColumn("brk", brk).where("pos <= brk").select("wf", F.col("pos").cast("long"), "step", "kinds")
 
 

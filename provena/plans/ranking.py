@@ -123,7 +123,7 @@ def rfq_checklist(spark, sf_dir):
     return c.select("run_id", "seq", done.alias("completeness"), F.when(F.col("channel").isNull() | (done < 0.65), "incomplete").otherwise("draft").alias("rfq_status"))
 
 
-@query(duck("candidates") + "SELECT run_id, seq, (ceil(quantity * 3) + ceil(quantity * 0.2 * (0.5 + coalesce(match_score / nullif(match_score + confidence, 0.0), 0.5))))::bigint AS ltb, CASE WHEN flagged THEN 'red' WHEN refs > 1 THEN 'green' ELSE 'amber' END AS badge FROM candidates")
+@query(duck("candidates") + "SELECT run_id, seq, (ceil(quantity * 3) + ceil(quantity * 0.2 * (0.5 + CASE WHEN match_score > 0 THEN match_score / (match_score + confidence) ELSE 0.5 END)))::bigint AS ltb, CASE WHEN flagged THEN 'red' WHEN refs > 1 THEN 'green' ELSE 'amber' END AS badge FROM candidates")
 def obsolescence_plan(spark, sf_dir):
     """EX43, EX45, JN13: last-time-buy quantity and counterfeit badge."""
     c = view(spark, sf_dir, "candidates")

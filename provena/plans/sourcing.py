@@ -30,10 +30,10 @@ def recover_pages(spark, sf_dir):
     return logs.recovered(p.where("id % 5 = 4").select("id", "url"), snaps).select("id", "original", "confidence")
 
 
-@query(duck("edges") + """, l AS (SELECT DISTINCT rel, '  ' || src || ' -->|' || rel || '| ' || dst AS line FROM edges WHERE src IN ('part:1', 'part:2')) SELECT rel, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS diagram FROM l GROUP BY rel""")
+@query(duck("edges") + """, l AS (SELECT DISTINCT src, '  ' || src || ' -->|' || rel || '| ' || dst AS line FROM edges) SELECT src, 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS diagram FROM l GROUP BY src""")
 def graph_diagrams(spark, sf_dir):
-    """SNK4: Mermaid text of a neighbourhood."""
-    return logs.mermaid(view(spark, sf_dir, "edges").where(F.col("src").isin("part:1", "part:2")), ["rel"])
+    """SNK4: Mermaid text of each part's edges, all parts."""
+    return logs.mermaid(view(spark, sf_dir, "edges").withColumn("of", F.col("src")), ["of"]).withColumnRenamed("of", "src")
 
 
 @query()
@@ -58,7 +58,7 @@ def stream_rates(spark, sf_dir):
     return got.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "calls", F.round("total", 2).alias("total"))
 
 
-@query(duck("candidates") + "SELECT run_id, CASE WHEN count(*) FILTER (WHERE refs > 1) >= 2 THEN 'min_results_met' WHEN count(channel) = 0 THEN 'no_quote_channel' WHEN sum(quantity) > 100 THEN 'runtime_exceeded' ELSE 'insufficient_evidence' END AS reason FROM candidates GROUP BY run_id")
+@query(duck("candidates") + "SELECT run_id, CASE WHEN count(*) FILTER (WHERE refs > 1) >= 2 THEN 'min_validated_candidates_met' WHEN count(channel) = 0 THEN 'no_quote_channel_found' WHEN sum(quantity) > 100 THEN 'max_runtime_reached' ELSE 'insufficient_evidence' END AS reason FROM candidates GROUP BY run_id")
 def stop_reasons(spark, sf_dir):
     """CTL4: why each run stopped."""
     c = view(spark, sf_dir, "candidates").groupBy("run_id").agg(F.count_if(F.col("refs") > 1).alias("found"), F.count("channel").alias("channels"), F.sum("quantity").alias("spent"))

@@ -10,13 +10,13 @@ from provena.operators import belief, integrity
 from provena.plans import query
 from provena.plans.inputs import duck, view
 
-_FUSE = ", m AS (SELECT entity, field, CASE WHEN value IN ('0', '1', '2', '3') THEN least(0.99, greatest(0.0, score)) ELSE 0.0 END AS t, CASE WHEN value IN ('0', '1', '2', '3') THEN 0.0 ELSE least(0.99, greatest(0.0, score)) END AS f, round(1 - least(0.99, greatest(0.0, score)), 6) AS u FROM facts WHERE seq % 7 = entity % 7), p AS (SELECT entity, field, product(t + u) AS pt, product(f + u) AS pf, product(u) AS pu, count(*) AS n FROM m GROUP BY entity, field), q AS (SELECT *, greatest(0.0, pt - pu) AS qt, greatest(0.0, pf - pu) AS qf FROM p), k AS (SELECT *, CASE WHEN n = 1 THEN 0.0 ELSE greatest(0.0, 1 - qt - qf - pu) END AS k FROM q), s AS (SELECT *, CASE WHEN k > 0.8 OR n = 1 THEN 1.0 ELSE 1 - k END AS z, CASE WHEN k > 0.8 THEN k ELSE 0.0 END AS y FROM k)"
+_FUSE = ", m AS (SELECT entity, field, CASE WHEN value IN ('0', '1', '2', '3') THEN least(0.99, greatest(0.0, score)) ELSE 0.0 END AS t, CASE WHEN value IN ('0', '1', '2', '3') THEN 0.0 ELSE least(0.99, greatest(0.0, score)) END AS f, round(1 - least(0.99, greatest(0.0, score)), 6) AS u FROM facts), p AS (SELECT entity, field, product(t + u) AS pt, product(f + u) AS pf, product(u) AS pu, count(*) AS n FROM m GROUP BY entity, field), q AS (SELECT *, greatest(0.0, pt - pu) AS qt, greatest(0.0, pf - pu) AS qf FROM p), k AS (SELECT *, CASE WHEN n = 1 THEN 0.0 ELSE greatest(0.0, 1 - qt - qf - pu) END AS k FROM q), s AS (SELECT *, CASE WHEN k > 0.8 OR n = 1 THEN 1.0 ELSE 1 - k END AS z, CASE WHEN k > 0.8 THEN k ELSE 0.0 END AS y FROM k)"
 
 
 @query(duck("facts") + _FUSE + " SELECT entity, field, round(qt / z, 6) AS belief, round(qt / z + (pu + y) / z, 6) AS plausibility, round(k, 6) AS conflict, CASE WHEN n = 1 THEN 'single' WHEN k > 0.8 THEN 'yager' ELSE 'dempster' END AS rule FROM s")
 def fuse_beliefs(spark, sf_dir):
     """UNC1, UNC2, AG13: belief intervals of each fact from all its sources."""
-    f = view(spark, sf_dir, "facts").where("seq % 7 = entity % 7").select("entity", "field", F.col("score").alias("reliability"), F.col("value").isin("0", "1", "2", "3").alias("supports"))
+    f = view(spark, sf_dir, "facts").select("entity", "field", F.col("score").alias("reliability"), F.col("value").isin("0", "1", "2", "3").alias("supports"))
     return belief.fuse(f, ["entity", "field"])
 
 
