@@ -111,3 +111,22 @@ SUBJECT_STOP = ("pte", "ltd", "limited", "co", "company", "corp", "inc", "singap
 CLAIM_TOKEN = r"[a-z0-9@.+]+"
 SENTENCE_SPLIT = r"(?<=[.!?])\s+|\n+"
 SUCCESSOR = r"(?:cross-references|cross references|cross-reference for|is superseded by|superseded by|replaced by|pin-compatible with|pin compatible with|same die as|renamed to)\s*$"
+
+# Numbers that compete with a claimed one and what makes them prices or quantities; states of parts that are out.
+COMPETING_NUMBER = r"\d+(?:[.,]\d+)*"
+VALUE_CONTEXT = r"(?i)US\$|S\$|[$€£¥]|\b(?:usd|sgd|myr|eur|gbp|rm|jpy|cny|idr|thb|php|vnd|price[sd]?|pricing|cost[s]?|charge[sd]?|fee[s]?|rate[s]?|quote[sd]?|quotation[s]?|moq|per|unit[s]?|pc[s]?|piece[s]?)\b"
+DEAD_LIFECYCLE = ("obsolete", "eol", "endoflife", "discontinued", "inactive")
+
+# Search variants. Device classes by the words that name them, with families of parts; makers; brokers.
+DEVICE_CLASSES = {"op-amp": ("operational amplifier", "LM358"), "op amp": ("operational amplifier", "LM358"), "opamp": ("operational amplifier", "LM358"), "operational amplifier": ("operational amplifier", "LM358"), "mcu": ("microcontroller", "ATmega328"), "microcontroller": ("microcontroller", "ATmega328"), "connector": ("connector", "DF13"), "transistor": ("transistor", "2N2222"), "regulator": ("voltage regulator", "LM7805"), "fpga": ("FPGA", "XC7A35T"), "adc": ("analog-to-digital converter", "ADS1115"), "dac": ("digital-to-analog converter", "MCP4725"), "diode": ("diode", "1N4148"), "capacitor": ("capacitor", "EEU-FR"), "relay": ("relay", "G5V-1")}
+QUERY_MAKERS = ("ti", "texas instruments", "adi", "analog devices", "maxim", "nxp", "st", "stmicroelectronics", "microchip", "atmel", "infineon", "onsemi", "on semiconductor", "hirose", "molex", "te connectivity", "amphenol", "vishay", "rohm", "renesas")
+BROKER_OPERATORS = ("rochester", "lansdale", "oemsecrets", "octopart", "avnet")
+EXPLICIT_MPN = r"\b[A-Za-z]{1,5}\d{2,}[A-Za-z0-9\-/.]*\b"
+
+# Strategies of a search by kind of request, with their queries; tiers of tasks; modes that reason.
+SERVICE_STRATEGIES = ("official_site_first", "quote_channel_first", "directory_contact_first", "sea_local_phrasing_first", "category_pricing_first")
+ELECTRONICS_STRATEGIES = ("authorized_distributor_first", "fff_substitute_first", "lifecycle_pcn_first", "broker_long_tail_first", "archived_datasheet_first")
+STRATEGY_QUERIES = {"official_site_first": ["{q} official site"], "quote_channel_first": ["{q} request a quote", "{q} contact sales RFQ"], "directory_contact_first": ["{q} directory listing", "{q} contact"], "sea_local_phrasing_first": ["{q} Singapore Malaysia supplier pembekal"], "category_pricing_first": ["{q} price rate card"], "authorized_distributor_first": ["{q} authorized distributor", "{q} Mouser Digi-Key"], "fff_substitute_first": ["{q} substitute cross reference", "{q} equivalent replacement"], "lifecycle_pcn_first": ["{q} EOL PCN lifecycle NRND"], "broker_long_tail_first": ["{q} broker stock surplus obsolete"], "archived_datasheet_first": ["{q} datasheet archive"]}
+SERVICE_MODES = ("service_quote_required", "contact_enrichment_only")
+REASONING_MODES = ("service_quote_required", "product_exact_price", "revalidation", "electronics_substitution")
+PLANNED_TASKS = ("planning", "reasoning")
