@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import fixed
+from provena.functions import text as T
 from provena.operators.dedupe import best_of
 from provena.operators.iterate import written
 
@@ -88,3 +89,44 @@ def linked(notes: DataFrame, seq: str, weights: dict[str, int], top: int = 3) ->
     score = sum((F.when(F.col(t) == F.col(f"other_{t}"), w).otherwise(0) for t, w in weights.items()), F.lit(0))
     best = Window.partitionBy(seq).orderBy(F.desc("score"), F.asc("other"))
     return pairs.withColumn("score", score).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top).select(seq, "other", "score")
+
+
+def ingest(pages: DataFrame, reliability: float = 1.0, confidence: float = 0.7) -> DataFrame:
+    """Edges of the relations in ``pages`` (id, text), in the order of id: src, dst, rel, claim, confidence, reliability, sentence, seq, valid_to.
+
+    A part that the text does not name is not taken. Of a functional relation a newer object closes the older: its
+    ``valid_to`` is the id of the first later page with another object.
+    """
+    found = pages.select("id", "text", F.explode(T.triples(F.col("text"))).alias("t")).select("id", "text", "t.*")
+    part = F.regexp_extract("dst", "^part:(.*)$", 1)
+    edges = found.where((part == "") | T.value_grounded(part, F.col("text"))).drop("text")
+    by = Window.partitionBy("src", "rel").orderBy("id", "dst")
+    fresh = F.lag("dst").over(by).isNull() | (F.lag("dst").over(by) != F.col("dst"))
+    closes = F.min(F.when(F.col("fresh"), F.col("id"))).over(by.rowsBetween(1, Window.unboundedFollowing))
+    edges = edges.withColumn("fresh", fresh).withColumn("valid_to", F.when(F.col("rel").isin(*fixed.FUNCTIONAL_RELS), closes))
+    return edges.select("src", "dst", "rel", F.col("id").alias("claim"), F.lit(confidence).alias("confidence"), F.lit(reliability).alias("reliability"), "sentence", F.col("id").alias("seq"), "valid_to")
+
+
+def retrieve(edges: DataFrame, query: str, top: int = 5, depth: int = 3) -> DataFrame:
+    """(id, score, depth, path): the nodes nearest to the parts that ``query`` names, by PageRank from these.
+
+    Weights are confidence times reliability. Each node has its shortest walk of current edges from a seed, up to
+    ``depth``; of equal ones the first in order. A query without known parts has no rows.
+    """
+    spark = edges.sparkSession
+    named = spark.range(1).select(F.explode(F.array_distinct(T.mpns(F.lit(query)))).alias("mpn")).select(T.entity_key("part", F.col("mpn")).alias("id")).distinct()
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    seeds = written(named.join(nodes, "id"), "seeds")
+    if seeds.isEmpty():
+        return spark.createDataFrame([], "id string, score double, depth int, path string")
+    ranked = pagerank(edges.select("src", "dst", (F.col("confidence") * F.col("reliability")).alias("weight")), seeds)
+    best = ranked.join(seeds, "id", "left_anti").where("rank > 0").orderBy(F.desc("rank"), "id").limit(top)
+    # The shortest walks: each round keeps one by node, so that the number of walks stays that of the nodes.
+    step = current(edges).select(F.col("src").alias("_from"), F.col("dst").alias("id"), "rel")
+    walk, seen = seeds.select("id", F.col("id").alias("path")), seeds.select("id", F.lit(0).alias("depth"), F.col("id").alias("path"))
+    for d in range(1, depth + 1):
+        walk = walk.withColumnRenamed("id", "_from").join(step, "_from").select("id", F.concat_ws(" ", "path", F.lit("->"), "rel", F.lit("->"), "id").alias("path"))
+        walk = written(walk.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "walk")
+        seen = seen.unionByName(walk.withColumn("depth", F.lit(d)))
+    paths = seen.groupBy("id").agg(F.min(F.struct("depth", "path")).alias("p"))
+    return best.join(paths, "id", "left").select("id", F.round("rank", 6).alias("score"), F.coalesce("p.depth", F.lit(0)).alias("depth"), F.coalesce("p.path", F.lit("")).alias("path"))

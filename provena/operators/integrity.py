@@ -80,3 +80,55 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
     padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (bytes(b ^ x for b in padded) for x in (0x36, 0x5C))
     return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)
+
+
+def _steps(first: Column, size: Column) -> Column:
+    """(level, idx, side) of the nodes that prove a tree of ``first`` leaves to be the start of one of ``size``.
+
+    From the first tree's last leaf up: right turns are shared by both trees, so the climb starts at the first left
+    one. A neighbour on the left belongs to both roots, one on the right to the larger tree's.
+    """
+    state = "struct<f:bigint,s:bigint,started:boolean,out:array<struct<level:int,idx:bigint,side:string>>>"
+    node_of = lambda level, idx, side: F.array(F.struct(level.cast("int").alias("level"), idx.alias("idx"), F.lit(side).alias("side")))
+    up = lambda c: F.shiftright(c, 1)
+    none = F.array().cast("array<struct<level:int,idx:bigint,side:string>>")
+
+    def climb(a: Column, level: Column) -> Column:
+        skip = ~a["started"] & (a["f"] % 2 == 1)
+        opening = F.when(~a["started"] & ~skip & (first.bitwiseAND(first - 1) != 0), node_of(level, a["f"], "both")).otherwise(none)
+        beside = F.when(a["s"] == 0, none).when(a["f"] % 2 == 1, node_of(level, a["f"] - 1, "left")).when(a["f"] < a["s"], node_of(level, a["f"] + 1, "right")).otherwise(none)
+        moved = F.struct(up(a["f"]).alias("f"), up(a["s"]).alias("s"), (~skip).alias("started"), F.when(skip, a["out"]).otherwise(F.concat(a["out"], opening, beside)).alias("out"))
+        return moved.cast(state)
+
+    begin = F.struct((first - 1).cast("long").alias("f"), (size - 1).cast("long").alias("s"), F.lit(False).alias("started"), none.alias("out")).cast(state)
+    return F.when(first == size, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(62)), begin, climb, lambda a: a["out"]))
+
+
+def consistency_proofs(rows: DataFrame, by: list[str], data: str, sizes: DataFrame) -> DataFrame:
+    """(by, first, size, path): for each tree the nodes, (side, hash), that prove its first ``first`` leaves (``sizes``: by, first) unchanged."""
+    levels = merkle_levels(rows, by, data)
+    nodes = None
+    for i, level in enumerate(levels):
+        here = level.select(*by, F.lit(i).alias("level"), "idx", "hash")
+        nodes = here if nodes is None else nodes.unionByName(here)
+    size = levels[0].groupBy(*by).agg(F.count("*").alias("size"))
+    wanted = sizes.join(size, by).where((F.col("first") >= 1) & (F.col("first") <= F.col("size")))
+    steps = wanted.select(*by, "first", "size", F.posexplode(_steps(F.col("first"), F.col("size"))).alias("pos", "n")).select(*by, "first", "size", "pos", "n.*")
+    # A lone last node went up unchanged: its hash is that of the level above, which has it too.
+    found = steps.join(nodes, [*by, "level", "idx"]).groupBy(*by, "first", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "side", "hash"))), lambda x: F.struct(x["side"].alias("side"), x["hash"].alias("hash"))).alias("path"))
+    return wanted.join(found, [*by, "first", "size"], "left").select(*by, "first", "size", F.coalesce("path", F.array().cast("array<struct<side:string,hash:string>>")).alias("path"))
+
+
+def consistent(first: Column, size: Column, first_root: Column, root: Column, path: Column) -> Column:
+    """Whether a path proves the smaller tree to be the start of the larger. A malformed path proves nothing."""
+    whole = first.bitwiseAND(first - 1) == 0
+    start = F.when(whole, first_root).otherwise(F.get(path, 0)["hash"])
+    rest = F.when(whole, path).otherwise(F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))))
+
+    def fold(a: Column, x: Column) -> Column:
+        left = x["side"] == "left"
+        return F.struct(F.when(left, node(x["hash"], a["f"])).otherwise(a["f"]).alias("f"), F.when(left, node(x["hash"], a["s"])).otherwise(node(a["s"], x["hash"])).alias("s"))
+
+    both = F.aggregate(rest, F.struct(start.alias("f"), start.alias("s")), fold)
+    proven = (F.size(path) > 0) & (both["f"] == first_root) & (both["s"] == root)
+    return F.coalesce(F.when((first < 1) | (first > size), False).when(first == size, (F.size(path) == 0) & (first_root == root)).otherwise(proven), F.lit(False))

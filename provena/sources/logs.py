@@ -56,3 +56,19 @@ def mermaid(edges: DataFrame, by: list[str]) -> DataFrame:
     line = F.concat(F.lit("  "), label(F.col("src")), F.lit(" -->|"), label(F.col("rel")), F.lit("| "), label(F.col("dst")))
     lines = edges.select(*by, line.alias("line")).distinct()
     return lines.groupBy(*by).agg(F.concat(F.lit("graph TD\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("diagram"))
+
+
+def latest_snapshot(body):
+    """(stamp, original) of the newest capture in an archive's JSON answer, or null; columns by its header, else second and third."""
+    rows = F.from_json(body, "array<array<string>>")
+
+    def place(name: str, default: int):
+        header = F.get(rows, 0)
+        both = (F.array_position(header, "timestamp") > 0) & (F.array_position(header, "original") > 0)
+        return F.when(both, (F.array_position(header, name) - 1).cast("int")).otherwise(default)
+
+    at, of = place("timestamp", 1), place("original", 2)
+    valid = F.filter(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: F.size(r) > F.greatest(at, of))
+    found = F.transform(valid, lambda r: F.struct(F.get(r, at).alias("stamp"), F.get(r, of).alias("original")))
+    newest = F.aggregate(found, F.get(found, 0), lambda a, x: F.when(x["stamp"] > a["stamp"], x).otherwise(a))
+    return F.when(F.size(found) > 0, newest)
