@@ -130,3 +130,6 @@ STRATEGY_QUERIES = {"official_site_first": ["{q} official site"], "quote_channel
 SERVICE_MODES = ("service_quote_required", "contact_enrichment_only")
 REASONING_MODES = ("service_quote_required", "product_exact_price", "revalidation", "electronics_substitution")
 PLANNED_TASKS = ("planning", "reasoning")
+
+# What a service vendor must be told.
+SERVICE_INPUTS = ("service_scope", "service_location", "frequency_or_schedule", "site_size_or_headcount", "preferred_start_date", "contract_duration", "special_requirements")

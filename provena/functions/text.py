@@ -332,3 +332,10 @@ def lifecycle_of(text: Column, mpn: Column) -> Column:
         return F.when(own & (state != "unknown"), state)
 
     return F.coalesce(F.get(F.filter(F.transform(F.split(_text(text), fixed.SENTENCE_SPLIT), of), lambda s: s.isNotNull()), 0), F.lit("unknown"))
+
+
+def unwrapped(raw: Column) -> Column:
+    """The object inside an object of a single key, as JSON text; null for anything else."""
+    keys = F.json_object_keys(raw)
+    inner = F.element_at(F.map_values(F.from_json(raw, "map<string,string>")), 1)
+    return F.when((F.size(keys) == 1) & F.json_object_keys(inner).isNotNull(), inner)

@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from provena.plans import claims, decisions, evidence, extraction, graph_memory, ranking, records, similarity, sourcing, spine, trust  # noqa: F401
+    from provena.plans import claims, decisions, evidence, extraction, graph_memory, ranking, records, rules, similarity, sourcing, spine, trust  # noqa: F401
