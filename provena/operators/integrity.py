@@ -9,21 +9,31 @@ from pyspark.sql import functions as F
 
 from provena.operators.iterate import written
 
+#: Rows of a chain that are folded together.
+CHUNK = 256
+
 
 def chained(rows: DataFrame, by: list[str]) -> DataFrame:
     """chain_hash: sha256 of the digest and the previous chain hash, in the order of ``seq``.
 
-    A chain is sequential by definition: each run's is folded by the task that holds the run. Checking it is not.
+    A chain is sequential by definition: each run's is folded by the task that holds the run, in chunks, so that n rows
+    cost about n steps. Checking it is not sequential.
     """
     items = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("x"))
+    kind = rows.schema["seq"].dataType.simpleString()
+    link = f"array<struct<seq:{kind},digest:string,parent_hash:string,chain_hash:string>>"
 
     def step(a: Column, r: Column) -> Column:
         h = F.sha2(F.concat(r["digest"], a["last"]).cast("binary"), 256)
         return F.struct(h.alias("last"), F.concat(a["out"], F.array(F.struct(r["seq"].alias("seq"), r["digest"].alias("digest"), a["last"].alias("parent_hash"), h.alias("chain_hash")))).alias("out"))
 
-    seq = rows.schema["seq"].dataType.simpleString()
-    start = F.struct(F.lit("").alias("last"), F.array().cast(f"array<struct<seq:{seq},digest:string,parent_hash:string,chain_hash:string>>").alias("out"))
-    return items.select(*by, F.explode(F.aggregate("x", start, step, lambda a: a["out"])).alias("r")).select(*by, "r.*")
+    def outer(a: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(a["last"].alias("last"), F.array().cast(link).alias("out")), step)
+        return F.element_at(F.transform(F.array(inner), lambda i: F.struct(i["last"].alias("last"), F.concat(a["out"], F.array(i["out"])).alias("out"))), 1)
+
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / CHUNK).cast("int")), lambda k: F.slice("x", k * CHUNK + 1, F.lit(CHUNK)))
+    start = F.struct(F.lit("").alias("last"), F.array().cast(f"array<{link}>").alias("out"))
+    return items.select(*by, F.explode(F.flatten(F.aggregate(chunks, start, outer, lambda a: a["out"]))).alias("r")).select(*by, "r.*")
 
 
 def chain_faults(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -54,13 +64,13 @@ def merkle_levels(rows: DataFrame, by: list[str], data: str) -> list[DataFrame]:
     return out
 
 
-def merkle_root(rows: DataFrame, by: list[str], data: str) -> DataFrame:
-    return merkle_levels(rows, by, data)[-1].select(*by, F.col("hash").alias("root"))
+def merkle_root(rows: DataFrame, by: list[str], data: str, levels: list[DataFrame] | None = None) -> DataFrame:
+    return (levels or merkle_levels(rows, by, data))[-1].select(*by, F.col("hash").alias("root"))
 
 
-def inclusion_proofs(rows: DataFrame, by: list[str], data: str) -> DataFrame:
+def inclusion_proofs(rows: DataFrame, by: list[str], data: str, levels: list[DataFrame] | None = None) -> DataFrame:
     """(by, idx, hash, path): the siblings of each leaf from the leaves up, (side, hash), to recompute the root."""
-    levels = merkle_levels(rows, by, data)
+    levels = levels or merkle_levels(rows, by, data)
     out = levels[0].select(*by, "idx", "hash", F.col("idx").alias("at"), F.array().cast("array<struct<side:string,hash:string>>").alias("path"))
     for level in levels[:-1]:
         sibling = level.select(*by, F.col("idx").alias("_s"), F.col("hash").alias("_h"))

@@ -6,18 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import scores
+from provena.operators.iterate import written
 
 
-def versions(facts: DataFrame, keys: list[str]) -> DataFrame:
+#: Arrivals of a key that are compared with each other at once.
+BLOCK = 256
+
+
+def versions(facts: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """valid_to: the event time of the first later arrival of the key whose event time is greater.
 
-    Facts that arrive late stay open, as they do where each arrival closes only what is older. Found by a self-join on
-    the key, whose pairs are reduced before they leave the join's stage.
+    Facts that arrive late stay open, as they do where each arrival closes only what is older. A key's arrivals are in
+    blocks: a fact is compared with the later ones of its block, then with the later blocks' greatest times, and then
+    with the rows of the first block that has a greater one, so that no key's facts are all paired.
     """
-    later = facts.select(*keys, F.col("event_ts").alias("_ts"), F.col("seq").alias("_seq"))
-    pairs = facts.join(later, keys).where((F.col("_seq") > F.col("seq")) & (F.col("_ts") > F.col("event_ts")))
-    closed = pairs.groupBy(*keys, "seq").agg(F.min(F.struct("_seq", "_ts")).alias("x")).select(*keys, "seq", F.col("x._ts").alias("valid_to"))
-    return facts.join(closed, [*keys, "seq"], "left")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+    rows = written(facts.select(*keys, "seq", "event_ts").withColumn("_b", F.floor((rank - 1) / block)), "arrivals")
+    later = rows.select(*keys, F.col("_b"), F.col("event_ts").alias("_ts"), F.col("seq").alias("_seq"))
+
+    def first(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(*keys, "seq").agg(F.min(F.struct("_seq", "_ts")).alias("x")).select(*keys, "seq", F.col("x._ts").alias("valid_to"))
+
+    near = written(first(rows.join(later, [*keys, "_b"]).where((F.col("_seq") > F.col("seq")) & (F.col("_ts") > F.col("event_ts")))), "near")
+    open_ = rows.join(near, [*keys, "seq"], "left_anti")
+    most = rows.groupBy(*keys, F.col("_b").alias("_n")).agg(F.max("event_ts").alias("_most"))
+    found = open_.join(most, keys).where((F.col("_n") > F.col("_b")) & (F.col("_most") > F.col("event_ts"))).groupBy(*keys, "seq", "event_ts").agg(F.min("_n").alias("_b"))
+    far = first(found.join(later, [*keys, "_b"]).where(F.col("_ts") > F.col("event_ts")))
+    return facts.join(near.unionByName(far), [*keys, "seq"], "left")
 
 
 def versions_in_order(facts: DataFrame, keys: list[str]) -> DataFrame:

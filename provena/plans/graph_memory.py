@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from provena.functions import fixed, scores
-from provena.operators import graph, ranking, temporal
+from provena.operators import graph, nearest, ranking, temporal
 from provena.plans import query
 from provena.plans.inputs import duck, table, view
 
@@ -118,9 +118,6 @@ def revalidate(spark, sf_dir):
 
 @query("SELECT a.vec_id, b.vec_id AS near_id FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a, LATERAL (SELECT vec_id FROM embeddings b WHERE b.vec_id <> a.vec_id ORDER BY list_distance(a.embedding, b.embedding), vec_id LIMIT 3) b")
 def vector_recall(spark, sf_dir):
-    """MEM7: the three nearest vectors of each query vector, exactly: a partial top-k before the shuffle."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    d = F.sqrt(F.aggregate(F.zip_with("qe", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    pairs = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", d.alias("d"))
-    return ranking.top_k(pairs, ["q"], [F.asc("d"), F.asc("vec_id")], 3).select(F.col("q").alias("vec_id"), F.col("vec_id").alias("near_id"))
+    """MEM7: the three nearest vectors of each query vector, exactly."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.exact(e, e.where("vec_id % 20 = 0"), 3).select("vec_id", "near_id")

@@ -11,7 +11,7 @@ from provena.operators.iterate import written
 from provena.plans import query
 from provena.plans.extraction import _lit
 from provena.plans.inputs import duck, table, view
-from provena.sources import logs
+from provena.sources import cards, logs, policy
 
 
 def _folder(spark) -> str:
@@ -179,3 +179,19 @@ def supplier_graphs(spark, sf_dir):
     p = view(spark, sf_dir, "part_pages").select("run_id", F.regexp_replace("vendor_name", r"\|", " ").alias("src"), F.lit("evidence").alias("rel"), F.concat(F.lit("page "), F.col("id").cast("string")).alias("dst"))
     n = p.groupBy("run_id").agg(F.count_distinct("src").alias("vendors"))
     return logs.mermaid(p, ["run_id"]).join(n, "run_id").select("run_id", F.replace("diagram", F.lit("graph TD\n"), F.lit("")).alias("lines"), "vendors")
+
+
+@query("SELECT DISTINCT p_type AS source, 'skill ' || p_type AS name, 'First line of ' || p_type AS description, 'quote,' || lower(p_brand) AS keywords, 'search' AS tools, 'Ask for ' || p_brand || chr(10) || 'twice.' AS instructions FROM part WHERE p_partkey % 5 = 0")
+def skill_cards(spark, sf_dir):
+    """SRC19: settings and sections of skill cards."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_type", "p_brand").distinct()
+    text = F.concat(F.lit("---\nname: skill "), "p_type", F.lit("\nkeywords: [quote, '"), F.lower("p_brand"), F.lit("']\nallowedTools:\n  - search\n---\n# A card\nFirst line of "), "p_type", F.lit("\n\n## Instructions\n\nAsk for "), "p_brand", F.lit("\ntwice.\n\n## Examples\nnone\n"))
+    c = cards.parsed(p.select(F.col("p_type").alias("source"), text.alias("text")))
+    return c.select("source", "name", "description", F.array_join("keywords", ",").alias("keywords"), F.array_join("allowed_tools", ",").alias("tools"), "instructions").distinct()
+
+
+@query("SELECT n_name AS policy, unnest(['budgets.service.searches', 'budgets.service.fetches', 'threshold']) AS path, unnest([(n_nationkey + 1)::varchar, '25', '0.65']) AS value FROM nation")
+def load_policies(spark, sf_dir):
+    """SRC18: a policy's settings as rows of path and value."""
+    text = F.concat(F.lit("# limits\nbudgets:\n  service:\n    searches: "), (F.col("n_nationkey") + 1).cast("string"), F.lit("  # calls\n    fetches: 25\n\nthreshold: '0.65'\n"))
+    return policy.flattened(table(spark, sf_dir, "nation").select(F.col("n_name").alias("policy"), text.alias("text")))

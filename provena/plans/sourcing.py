@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from provena.functions import scores
@@ -52,9 +50,8 @@ def stream_rates(spark, sf_dir):
     # A stream reads folders or patterns: this pattern is the one table.
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = streaming.rates(rows, "ts", ["event_type"], "1 day")
-    name = "rates_" + uuid.uuid4().hex
     base = written(spark.range(1), "mark").inputFiles()[0].rsplit("/", 2)[0]
-    got = streaming.run_once(out, name, f"{base}/{name}")
+    got = streaming.run_once(out, f"{base}/rates", f"{base}/rates_checkpoint")
     return got.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "calls", F.round("total", 2).alias("total"))
 
 

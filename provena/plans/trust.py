@@ -85,7 +85,8 @@ def merkle_roots(spark, sf_dir):
 def merkle_proofs(spark, sf_dir):
     """INT5, INT6, JN15: inclusion proofs of all leaves, checked against the root."""
     rows = _ledger(spark, sf_dir)
-    proofs, roots = integrity.inclusion_proofs(rows, ["run_id"], "digest"), integrity.merkle_root(rows, ["run_id"], "digest")
+    levels = integrity.merkle_levels(rows, ["run_id"], "digest")
+    proofs, roots = integrity.inclusion_proofs(rows, ["run_id"], "digest", levels), integrity.merkle_root(rows, ["run_id"], "digest", levels)
     ok = proofs.withColumn("found", integrity.root_of(F.col("hash"), F.col("path"))).join(roots, "run_id")
     return ok.groupBy("run_id").agg(F.count("*").alias("leaves"), F.count_if(F.col("found") == F.col("root")).alias("proven"))
 

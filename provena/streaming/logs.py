@@ -27,17 +27,22 @@ def latest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by("value", time).alias("value"), F.max(time).alias("at"), F.count("*").alias("readings"))
 
 
-def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything there is now, into an in-memory table: for tests and small results."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(df: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Everything there is now, appended to Parquet files in ``folder`` and read again."""
+    q = df.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def upsert_into(folder: str, keys: list[str], time: str):
-    """A foreachBatch sink: a batch's newest rows by key are merged into the table in ``folder`` by version."""
+    """A foreachBatch sink: each batch's newest rows by key are a folder of their epoch, written again if the epoch is repeated; ``merged`` reads them."""
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.groupBy(*keys).agg(F.max_by("value", time).alias("value"), F.max(time).alias(time)).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
     return put
+
+
+def merged(spark: SparkSession, folder: str, keys: list[str], time: str) -> DataFrame:
+    """The newest value of each key over all epochs that ``upsert_into`` wrote."""
+    return spark.read.parquet(folder).groupBy(*keys).agg(F.max_by("value", time).alias("value"), F.max(time).alias(time))

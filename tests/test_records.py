@@ -133,3 +133,38 @@ def test_lexical_rank_is_difflib(spark):
     ids = [r["id"] for r in plans.records._named_edges(spark, sf).select(F.col("src").alias("id")).distinct().collect()]
     want = sorted((-SequenceMatcher(None, "replacement for bq1 or bq2", i).ratio(), i) for i in ids)[:5]
     assert [(r["id"], round(r["score"], 9)) for r in got] == [(i, round(-s, 9)) for s, i in want]
+
+
+def test_versions_in_blocks(spark):
+    import datetime
+
+    from provena.operators import temporal
+
+    rng = random.Random(1)
+    t = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=d)
+    rows = [(k, i, t(rng.randrange(60))) for k in ("a", "b") for i in range(70)] + [("c", 0, None), ("c", 1, t(1))]
+    d = spark.createDataFrame(rows, "key string, seq long, event_ts timestamp")
+    want = {(k, i): next((u for kk, j, u in rows if kk == k and j > i and ts is not None and u is not None and u > ts), None) for k, i, ts in rows}
+    assert {(r["key"], r["seq"]): r["valid_to"] for r in temporal.versions(d, ["key"], block=8).collect()} == want
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    from provena.operators import nearest
+
+    v = np.random.default_rng(0).integers(0, 4, (60, 3)).astype(float)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "vec_id long, embedding array<double>")
+    got = {(r["vec_id"], r["rank"]): r["near_id"] for r in nearest.exact(d, d.where("vec_id % 7 = 0"), 3, block=8).collect()}
+    for q in range(0, 60, 7):
+        best = sorted((float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i) for i in range(60) if i != q)[:3]
+        assert [got[q, r] for r in (1, 2, 3)] == [i for _, i in best]
+
+
+def test_cards_without_a_head(spark, tmp_path):
+    from provena.sources import cards
+
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "SKILL.md").write_text("# Title\n\nDoes a thing.\n\n## examples\nOne.\n")
+    r = cards.read(spark, str(tmp_path)).first()
+    assert (r["name"], r["description"], r["keywords"], r["examples"]) == ("plain", "Does a thing.", [], "One.") and r["instructions"].startswith("# Title")
