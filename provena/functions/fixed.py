@@ -133,3 +133,7 @@ PLANNED_TASKS = ("planning", "reasoning")
 
 # What a service vendor must be told.
 SERVICE_INPUTS = ("service_scope", "service_location", "frequency_or_schedule", "site_size_or_headcount", "preferred_start_date", "contract_duration", "special_requirements")
+
+# Topics of made-up pages on parts that are no longer made.
+OBSOLETE_TOPIC = ("obsolete", "substitute", "replacement", "eol", "discontinued", "cross reference", "cross-reference", "alternate", "nrnd")
+TOPIC_PART = r"\b(?=[a-z0-9]{4,})[a-z]+[0-9][a-z0-9]*\b"

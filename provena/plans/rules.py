@@ -172,3 +172,43 @@ def best_contacts(spark, sf_dir):
     c = view(spark, sf_dir, "candidates").where("channel is not null")
     score = scores.contact_score(F.col("confidence"), F.col("channel") == "contact_email", F.col("refs"), F.col("flagged"), F.lit(0.0), F.col("completeness"))
     return ranking.top_k(c.withColumn("score", score.cast("double")), ["run_id"], [F.desc("score"), F.asc("seq")], 1).select("run_id", "seq", "score")
+
+
+_AXES = "least(1.0, match_score) * 100, CASE channel WHEN 'rfq_form' THEN 100 WHEN 'contact_email' THEN 90 WHEN 'contact_page' THEN 60 WHEN 'phone' THEN 50 ELSE 0 END, CASE WHEN channel = 'contact_email' THEN 100 WHEN channel IS NOT NULL THEN 1000 / 15.0 ELSE 0 END, least(1.0, completeness) * 100, CASE WHEN flagged THEN 75 ELSE 100 END"
+
+
+@query(duck("candidates") + f", a AS (SELECT run_id, seq, unnest(['match', 'channel', 'contact', 'checklist', 'integrity']) AS axis, unnest(list_transform([{_AXES}], lambda x: round(x::double, 1))) AS percent FROM candidates) SELECT * FROM a")
+def score_axes(spark, sf_dir):
+    """EX55: a service candidate's axes, each in per cent of its most points."""
+    c = view(spark, sf_dir, "candidates")
+    channel = F.col("channel")
+    axes = {
+        "match": F.least(F.lit(1.0), F.col("match_score").cast("double")) * 100,
+        "channel": T.lookup(channel, fixed.CHANNEL_QUALITY, 0.0) * 100,
+        "contact": F.when(channel == "contact_email", 100.0).when(channel.isNotNull(), 1000 / 15.0).otherwise(0.0),
+        "checklist": F.least(F.lit(1.0), F.col("completeness").cast("double")) * 100,
+        "integrity": (20 + F.greatest(F.lit(-20.0), F.when(F.col("flagged"), -5.0).otherwise(0.0))) / 20 * 100,
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("axis"), F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), v)), 1).alias("percent")) for k, v in axes.items()))
+    return c.select("run_id", "seq", F.explode(rows).alias("x")).select("run_id", "seq", "x.*")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 404 WHEN page_id % 5 = 1 THEN 200 END AS status, CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 5 = 1 THEN 'fixture ' || page_id ELSE 'We provide page ' || page_id || ' in Singapore. Request a quotation by emailing sales@vendor' || page_id || '.sg or call +65 6123 4567. Contact us for pricing.' END AS text FROM pages")
+def fixture_pages(spark, sf_dir):
+    """SRC7: pages of fixtures, errors of dead ones, and else a page made from the address."""
+    from provena.sources import generator
+
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://www.Vendor"), F.col("page_id").cast("string"), F.lit(".sg/page-"), F.col("page_id").cast("string"), F.lit("/")).alias("url"))
+    known = p.where("page_id % 5 < 2").select("url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"), F.concat(F.lit("fixture "), F.col("page_id").cast("string")).alias("text"))
+    return generator.pages(p, known).select("page_id", "status", "text")
+
+
+@query("SELECT n_nationkey AS id, len(hits) AS hits, hits[1] AS first FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ['https://datasheet-archive.example/obsolete-lm' || (300 + n_nationkey), 'b', 'c'] ELSE ['https://example-vendor-1.sg/' || lower(regexp_replace(n_name, '[^A-Za-z0-9]+', '-', 'g')) || '-cleaning', 'b', 'c', 'd', 'e'] END AS hits FROM nation)")
+def topic_hits(spark, sf_dir):
+    """SRC4: five made-up vendors of a topic, or the three sources of an obsolete part."""
+    from provena.sources import generator
+
+    n = table(spark, sf_dir, "nation")
+    topic = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Obsolete LM"), (F.col("n_nationkey") + 300).cast("string"))).otherwise(F.concat_ws(" ", "n_name", F.lit("cleaning")))
+    hits = generator.hits(topic)
+    return n.select(F.col("n_nationkey").alias("id"), hits.alias("h")).select("id", F.size("h").alias("hits"), F.get("h", 0).alias("first"))
