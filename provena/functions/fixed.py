@@ -137,3 +137,6 @@ SERVICE_INPUTS = ("service_scope", "service_location", "frequency_or_schedule",
 # Topics of made-up pages on parts that are no longer made.
 OBSOLETE_TOPIC = ("obsolete", "substitute", "replacement", "eol", "discontinued", "cross reference", "cross-reference", "alternate", "nrnd")
 TOPIC_PART = r"\b(?=[a-z0-9]{4,})[a-z]+[0-9][a-z0-9]*\b"
+
+# Actions that are never taken.
+FORBIDDEN_ACTIONS = ("rfq_submitted", "rfq_sent", "form_submit", "form_submitted", "email_send", "email_sent", "browser_drive", "browser_navigate", "browser_action")

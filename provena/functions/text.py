@@ -339,3 +339,33 @@ def unwrapped(raw: Column) -> Column:
     keys = F.json_object_keys(raw)
     inner = F.element_at(F.map_values(F.from_json(raw, "map<string,string>")), 1)
     return F.when((F.size(keys) == 1) & F.json_object_keys(inner).isNotNull(), inner)
+
+
+def alnum(c: Column) -> Column:
+    """Lower-case letters and digits: what values and parts are compared by."""
+    return F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", "")
+
+
+def contacts(text: Column, links: Column) -> Column:
+    """Array of (type, value, confidence): distinct addresses, phones of seven digits or more, and links to contact pages."""
+    row = lambda kind, value, sure: F.struct(kind.alias("type"), value.alias("value"), sure.cast("double").alias("confidence"))
+    digits = lambda p: F.regexp_replace(p, "[^0-9]", "")
+    found = F.filter(F.transform(F.regexp_extract_all(_text(text), F.lit(fixed.PHONE), F.lit(0)), lambda p: F.trim(p)), lambda p: F.length(digits(p)) >= 7)
+    phones = F.filter(F.transform(found, lambda p, i: F.struct(p.alias("p"), F.array_position(F.transform(found, digits), digits(p)).alias("first"), (i + 1).alias("i"))), lambda x: x["first"] == x["i"])
+    pages = F.array_distinct(F.filter(F.coalesce(links, F.array().cast("array<string>")), lambda x: x.rlike(ignoring_case(fixed.CONTACT_LINK))))
+    kind = lambda x: F.when(F.contains(F.lower(x), F.lit("form")), "contact_form").otherwise("contact_page")
+    return F.concat(F.transform(emails(text), lambda e: row(F.lit("email"), e, email_confidence(e))), F.transform(phones, lambda x: row(F.lit("phone"), x["p"], F.lit(0.5))), F.transform(pages, lambda x: row(kind(x), x, F.lit(0.4))))
+
+
+def interleaved(first: Column, second: Column, most: int) -> Column:
+    """Two lists of searches in turn, each search once whatever its case or spaces, ``most`` at most."""
+    squeezed = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))), lambda x: x != "")
+    low = lambda xs: F.transform(xs, lambda x: F.lower(x))
+
+    def once(xs: Column) -> Column:
+        return F.transform(F.filter(F.transform(xs, lambda x, i: F.struct(x.alias("x"), (F.array_position(low(xs), F.lower(x)) == i + 1).alias("new"))), lambda s: s["new"]), lambda s: s["x"])
+
+    a = once(squeezed(first))
+    b = F.filter(once(squeezed(second)), lambda x: ~F.array_contains(low(a), F.lower(x)))
+    turns = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b), F.lit(1)) - 1), lambda i: F.array_compact(F.array(F.get(a, i), F.get(b, i))))
+    return F.slice(F.flatten(turns), 1, most)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from provena.functions import fixed, scores
+from provena.functions import text as T
 from provena.operators import graph, nearest, ranking, temporal
 from provena.plans import query
 from provena.plans.inputs import duck, table, view
@@ -80,10 +81,10 @@ def decayed_facts(spark, sf_dir):
     return temporal.aged(f, F.lit("2024-06-30").cast("timestamp")).select("entity", "seq", "decayed", "status")
 
 
-@query(duck("facts") + ", d AS (SELECT entity, field, value, max(score) AS score, count(*) AS n, min(seq) AS first FROM facts GROUP BY entity, field, value), r AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY score DESC, first) AS rn, count(*) OVER (PARTITION BY entity, field) AS sides FROM d) SELECT entity, field, value, score AS confidence, n - 1 AS reinforced, sides - 1 AS alternatives, CASE WHEN sides > 1 THEN 'disputed' ELSE 'active' END AS status FROM r WHERE rn = 1")
+@query(duck("facts") + ", d AS (SELECT entity, field, min_by(value, (-score, seq)) AS value, max(score) AS score, count(*) AS n, min(seq) AS first FROM facts GROUP BY entity, field, regexp_replace(lower(value), '[^a-z0-9]+', '', 'g')), r AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY score DESC, first) AS rn, count(*) OVER (PARTITION BY entity, field) AS sides FROM d) SELECT entity, field, value, score AS confidence, n - 1 AS reinforced, sides - 1 AS alternatives, CASE WHEN sides > 1 THEN 'disputed' ELSE 'active' END AS status FROM r WHERE rn = 1")
 def memory_upsert(spark, sf_dir):
-    """MEM1 to MEM3: one fact for each key; other values are kept as disputed sides."""
-    d = view(spark, sf_dir, "facts").groupBy("entity", "field", "value").agg(F.max("score").alias("confidence"), F.count("*").alias("n"), F.min("seq").alias("first"))
+    """MEM1 to MEM3: one fact for each key; values that differ in letters or digits are disputed sides."""
+    d = view(spark, sf_dir, "facts").groupBy("entity", "field", T.alnum(F.col("value")).alias("side")).agg(F.min_by("value", F.struct(-F.col("score"), "seq")).alias("value"), F.max("score").alias("confidence"), F.count("*").alias("n"), F.min("seq").alias("first"))
     w = Window.partitionBy("entity", "field")
     d = d.withColumns({"rn": F.row_number().over(w.orderBy(F.desc("confidence"), "first")), "sides": F.count("*").over(w)}).where("rn = 1")
     return d.select("entity", "field", "value", "confidence", (F.col("n") - 1).alias("reinforced"), (F.col("sides") - 1).alias("alternatives"), F.when(F.col("sides") > 1, "disputed").otherwise("active").alias("status"))

@@ -212,3 +212,57 @@ def topic_hits(spark, sf_dir):
     topic = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Obsolete LM"), (F.col("n_nationkey") + 300).cast("string"))).otherwise(F.concat_ws(" ", "n_name", F.lit("cleaning")))
     hits = generator.hits(topic)
     return n.select(F.col("n_nationkey").alias("id"), hits.alias("h")).select("id", F.size("h").alias("hits"), F.get("h", 0).alias("first"))
+
+
+@query(duck("part_pages") + f", e AS (SELECT DISTINCT id, 'email' AS type, unnest(list_transform(regexp_extract_all(text, {_lit(fixed.EMAIL)}), lambda x: lower(x))) AS value FROM part_pages), p AS (SELECT id, 'phone' AS type, unnest(list_transform(regexp_extract_all(text, {_lit(fixed.PHONE)}), lambda x: trim(x))) AS value FROM part_pages), l AS (SELECT id, unnest(['contact_page', 'contact_form']) AS type, unnest([url || '/Contact', url || '/enquiry-form']) AS value FROM part_pages) SELECT id, type, value, CASE WHEN split_part(value, '@', 1) IN ({', '.join(map(_lit, fixed.ROLE_LOCALPARTS))}) THEN 0.85 WHEN regexp_matches(split_part(value, '@', 1), {_lit(fixed.NAMED_PERSON)}) THEN 0.7 ELSE 0.55 END::double AS confidence FROM e UNION ALL SELECT id, type, value, 0.5::double FROM p WHERE length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 UNION ALL SELECT id, type, value, 0.4::double FROM l")
+def all_contacts(spark, sf_dir):
+    """EX3: addresses, phones and contact links of each page."""
+    p = view(spark, sf_dir, "part_pages")
+    links = F.array(F.concat("url", F.lit("/Contact")), F.concat("url", F.lit("/about")), F.concat("url", F.lit("/enquiry-form")))
+    return p.select("id", F.explode(T.contacts(F.col("text"), links)).alias("c")).select("id", "c.*")
+
+
+@query(duck("part_pages") + "SELECT id, [query || ' Singapore', query || ' supplier', upper(query)] AS searches FROM part_pages")
+def gather_searches(spark, sf_dir):
+    """SET2: regional and other searches in turn, each once whatever its case."""
+    p = view(spark, sf_dir, "part_pages")
+    first = F.array(F.concat("query", F.lit(" Singapore")), F.upper("query"), F.concat(F.lit(" "), "query"))
+    second = F.array(F.concat("query", F.lit("   supplier")), F.concat(F.lower("query"), F.lit(" singapore")))
+    return p.select("id", T.interleaved(first, second, 4).alias("searches"))
+
+
+_ACTION = "CASE field WHEN 'error' THEN 'Form_Submit' WHEN 'purchase' THEN 'email_sent' ELSE 'rfq_drafted' END"
+
+
+@query(duck("facts") + f", a AS (SELECT entity, lower({_ACTION}) IN ({', '.join(map(_lit, fixed.FORBIDDEN_ACTIONS))}) AS forbidden FROM facts) SELECT entity, count(*) FILTER (WHERE forbidden) AS refused, count(*) FILTER (WHERE NOT forbidden) AS recorded FROM a GROUP BY entity")
+def refused_actions(spark, sf_dir):
+    """FLT8: actions that are never taken are refused, whatever their case, and others recorded."""
+    action = T.lookup(F.col("field"), {"error": "Form_Submit", "purchase": "email_sent"}, "rfq_drafted")
+    bad = F.lower(action).isin(*fixed.FORBIDDEN_ACTIONS)
+    return view(spark, sf_dir, "facts").groupBy("entity").agg(F.count_if(bad).alias("refused"), F.count_if(~bad).alias("recorded"))
+
+
+@query(duck("facts") + ", v AS (SELECT entity, regexp_replace(lower(CASE WHEN seq % 2 = 0 THEN 'LM-' ELSE 'lm ' END || value || '|' || CASE WHEN seq % 3 = 0 THEN 'T.I.' ELSE 'ti' END), '[^a-z0-9]+', '', 'g') AS k FROM facts), c AS (SELECT entity, k, count(*) AS c FROM v GROUP BY entity, k), t AS (SELECT entity, count(*) AS clusters, sum(c) AS n, sum(c * ln(c)) AS l, max(c) AS m FROM c GROUP BY entity) SELECT entity, clusters, round(ln(n) - l / n, 4) AS entropy, round(CASE WHEN clusters > 1 THEN 1 - (ln(n) - l / n) / ln(clusters) ELSE 1.0 END, 4) AS confidence, round((m / n)::double, 4) AS top FROM t")
+def part_entropy(spark, sf_dir):
+    """AG11: agreement of sampled parts and makers, by their letters and digits."""
+    from provena.operators import belief
+
+    f = view(spark, sf_dir, "facts")
+    part = F.concat(F.when(F.col("seq") % 2 == 0, "LM-").otherwise("lm "), "value", F.lit("|"), F.when(F.col("seq") % 3 == 0, "T.I.").otherwise("ti"))
+    return belief.entropy(f.select("entity", T.alnum(part).alias("k")), ["entity"], "k")
+
+
+@query(duck("candidates") + ", b AS (SELECT run_id, seq, round((match_score + completeness + confidence)::double * 100)::bigint AS reward, match_score::double AS a, completeness::double AS b, confidence::double AS c, row_number() OVER (PARTITION BY run_id ORDER BY match_score + completeness + confidence DESC, seq) AS place FROM candidates), m AS (SELECT run_id, seq, reward, place, unnest(['match', 'complete', 'sure']) AS k, unnest([a, b, c]) AS v FROM b WHERE place <= 3), r AS (SELECT *, row_number() OVER (PARTITION BY run_id, place ORDER BY CASE WHEN place = 1 THEN -v ELSE v END, k) AS n FROM m WHERE place > 1 OR v > 0), s AS (SELECT run_id, place, seq, reward, string_agg(k, ', ' ORDER BY n) FILTER (WHERE n <= 2) AS ks FROM r GROUP BY run_id, place, seq, reward) SELECT run_id, string_agg(CASE WHEN place = 1 THEN 'Winner ' || seq || ' (reward ' || reward || ') won on ' || ks || '.' ELSE seq || ' lost (reward ' || reward || '): weakest ' || ks || '.' END, ' ' ORDER BY place) AS explanation FROM s GROUP BY run_id")
+def explain_ranking(spark, sf_dir):
+    """RNK16: what a run's winner won on and what the next two were weakest in."""
+    c = view(spark, sf_dir, "candidates")
+    parts = {"match": "match_score", "complete": "completeness", "sure": "confidence"}
+    total = F.col("match_score") + F.col("completeness") + F.col("confidence")
+    best = ranking.top_k(c.withColumn("total", total), ["run_id"], [F.desc("total"), F.asc("seq")], 3, "place")
+    rows = F.array(*(F.struct(F.col(v).cast("double").alias("v"), F.lit(k).alias("k")) for k, v in parts.items()))
+    won = F.transform(F.array_sort(F.transform(F.filter(rows, lambda x: x["v"] > 0), lambda x: F.struct((-x["v"]).alias("v"), x["k"].alias("k")))), lambda x: x["k"])
+    lost = F.transform(F.array_sort(rows), lambda x: x["k"])
+    named = lambda xs: F.array_join(F.slice(xs, 1, 2), ", ")
+    reward, seq = F.round(F.col("total").cast("double") * 100).cast("long").cast("string"), F.col("seq").cast("string")
+    line = F.when(F.col("place") == 1, F.concat(F.lit("Winner "), seq, F.lit(" (reward "), reward, F.lit(") won on "), named(won), F.lit("."))).otherwise(F.concat(seq, F.lit(" lost (reward "), reward, F.lit("): weakest "), named(lost), F.lit(".")))
+    return best.select("run_id", "place", line.alias("line")).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), " ").alias("explanation"))
