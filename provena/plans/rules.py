@@ -266,3 +266,47 @@ def explain_ranking(spark, sf_dir):
     reward, seq = F.round(F.col("total").cast("double") * 100).cast("long").cast("string"), F.col("seq").cast("string")
     line = F.when(F.col("place") == 1, F.concat(F.lit("Winner "), seq, F.lit(" (reward "), reward, F.lit(") won on "), named(won), F.lit("."))).otherwise(F.concat(seq, F.lit(" lost (reward "), reward, F.lit("): weakest "), named(lost), F.lit(".")))
     return best.select("run_id", "place", line.alias("line")).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), " ").alias("explanation"))
+
+
+@query(duck("facts") + ", o AS (SELECT entity, field, seq, value AS fresh, score AS sure, reinforced AS refs, lag(value) OVER w AS value, lag(score) OVER w AS was FROM facts WINDOW w AS (PARTITION BY entity, field ORDER BY event_ts, seq)), r AS (SELECT *, CASE WHEN seq % 11 = 0 OR refs = 0 THEN 'stale' WHEN fresh = value THEN 'active' WHEN sure > was + 0.1 THEN 'replaced' ELSE 'disputed' END AS status FROM o WHERE value IS NOT NULL) SELECT entity, field, seq, status, CASE status WHEN 'active' THEN greatest(was, sure) WHEN 'replaced' THEN sure ELSE was END AS confidence FROM r")
+def refresh_facts(spark, sf_dir):
+    """MEM13: what a new reading does to a fact: none, or one without evidence, makes it stale; the same value confirms, a surer one replaces, another disputes it."""
+    w = Window.partitionBy("entity", "field").orderBy("event_ts", "seq")
+    o = view(spark, sf_dir, "facts").withColumns({"held": F.lag("value").over(w), "was": F.lag("score").over(w)}).where("held is not null")
+    reading = F.when(F.col("seq") % 11 != 0, F.col("value"))
+    status = F.when(reading.isNull() | (F.col("reinforced") == 0), "stale").when(T.alnum(reading) == T.alnum(F.col("held")), "active").when(F.col("score") > F.col("was") + 0.1, "replaced").otherwise("disputed")
+    sure = F.when(status == "active", F.greatest("was", "score")).when(status == "replaced", F.col("score")).otherwise(F.col("was"))
+    return o.select("entity", "field", "seq", status.alias("status"), sure.alias("confidence"))
+
+
+@query(duck("facts") + ", s AS (SELECT seq, score, greatest(0.0, (epoch_us(TIMESTAMP '2024-09-01') - epoch_us(event_ts)) / 86400000000.0) AS age, 90.0 / ln(2) * (1 + 0.5 * reinforced) / power(2, disputes) AS days FROM facts) SELECT seq, round(score * exp(-age / days), 4) AS decayed, round(days, 2) AS stability_days, age >= 180 AS stale FROM s")
+def memory_views(spark, sf_dir):
+    """CTL18, TMP5, TMP6: facts as memory shows them: decayed confidence, days of stability, staleness."""
+    from provena.functions import scores
+
+    age = scores.age_days(F.col("event_ts"), F.lit("2024-09-01").cast("timestamp"))
+    days = scores.stability_days(F.col("reinforced"), F.col("disputes"))
+    return view(spark, sf_dir, "facts").select("seq", scores.decayed(F.col("score"), age, F.col("reinforced"), F.col("disputes")).alias("decayed"), F.round(days, 2).alias("stability_days"), (age >= 180).alias("stale"))
+
+
+@query(duck("candidates") + ", k AS (SELECT DISTINCT run_id, unnest(['EXACT_PRICE', 'PRICE_RANGE', 'absent']) AS field FROM candidates), p AS (SELECT k.run_id, k.field, c.seq, CASE WHEN c.supp % 7 = 0 AND c.status = k.field THEN 0 WHEN c.status = k.field THEN 1 WHEN c.channel IS NOT NULL THEN 2 ELSE 3 END AS priority FROM k JOIN candidates c USING (run_id)) SELECT run_id, field, min_by(seq, (priority, seq)) AS ref, min(priority) AS priority FROM p GROUP BY run_id, field")
+def references_of_claims(spark, sf_dir):
+    """JN2: for each claim of a run the reference it names, else the first with its field's tag, else the first page, else the first of all."""
+    c = view(spark, sf_dir, "candidates")
+    fields = F.array(*map(F.lit, ("EXACT_PRICE", "PRICE_RANGE", "absent")))
+    # The first of each kind is found once a run, and claims take from these few rows.
+    first = lambda where: F.min(F.when(where, F.col("seq")))
+    pages = c.groupBy("run_id").agg(first(F.col("channel").isNotNull()).alias("page"), F.min("seq").alias("any"))
+    tagged = c.groupBy("run_id", F.col("status").alias("field")).agg(first(F.col("supp") % 7 == 0).alias("named"), F.min("seq").alias("tagged"))
+    claims = pages.withColumn("field", F.explode(fields)).join(tagged, ["run_id", "field"], "left")
+    priority = F.when(F.col("named").isNotNull(), 0).when(F.col("tagged").isNotNull(), 1).when(F.col("page").isNotNull(), 2).otherwise(3)
+    return claims.select("run_id", "field", F.coalesce("named", "tagged", "page", "any").alias("ref"), priority.alias("priority"))
+
+
+@query(duck("part_pages") + ", q AS (SELECT run_id, query, min(id) AS first FROM part_pages GROUP BY run_id, query), b AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY first) AS call FROM q), h AS (SELECT p.run_id, p.query, p.id, b.call, row_number() OVER (PARTITION BY p.run_id, p.query ORDER BY p.id) AS rank FROM part_pages p JOIN b ON b.run_id = p.run_id AND b.query = p.query WHERE b.call <= 2) SELECT run_id, call, id, rank FROM h WHERE rank <= 10")
+def budgeted_searches(spark, sf_dir):
+    """SRC1, CTL1: a run's first searches, each of which uses a unit of its budget of two, with ten hits at most as evidence."""
+    p = view(spark, sf_dir, "part_pages")
+    calls = ranking.top_k(p.groupBy("run_id", "query").agg(F.min("id").alias("first")), ["run_id"], [F.asc("first")], 2, "call").select("run_id", "query", "call")
+    hits = ranking.top_k(p.join(calls, ["run_id", "query"]), ["run_id", "query"], [F.asc("id")], 10)
+    return hits.select("run_id", F.col("call").cast("long"), "id", F.col("rank").cast("long"))
