@@ -37,7 +37,7 @@ WINDOW, END, SALTS = 2048, 1, 512
 COMMON = 24
 SWEEPS = 20
 #: Cached chunks of a worker; the cache starts anew beyond. Bytes of a long text that are encoded at once.
-CACHE, PART = 100_000, 1 << 20
+CACHE, PART = 200_000, 1 << 20
 #: Characters from here on always go to tokenizers.
 PLAIN = 0x250
 _GAP = re.compile(rb"[ \t\n\v\f\r]")
