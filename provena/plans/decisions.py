@@ -86,14 +86,6 @@ def fact_views(spark, sf_dir):
     return f.select("entity", "seq", F.left(F.concat_ws(" ", "value", "field"), F.lit(200)).alias("snippet"))
 
 
-@query(duck("candidates") + "SELECT run_id, seq, unnest(['scope', 'location', 'quantity', 'timeline', 'budget', 'contact', 'channel']) AS item, unnest([match_score >= 0.5, country IS NOT NULL, quantity > 0, ts IS NOT NULL, status = 'EXACT_PRICE', confidence > 0, channel IS NOT NULL]) AS done FROM candidates")
-def checklist_items(spark, sf_dir):
-    """EX41: a checklist's seven items."""
-    c = view(spark, sf_dir, "candidates")
-    tests = {"scope": F.col("match_score") >= 0.5, "location": F.col("country").isNotNull(), "quantity": F.col("quantity") > 0, "timeline": F.col("ts").isNotNull(), "budget": F.col("status") == "EXACT_PRICE", "contact": F.col("confidence") > 0, "channel": F.col("channel").isNotNull()}
-    return c.select("run_id", "seq", F.explode(F.array(*(F.struct(F.lit(k).alias("item"), v.alias("done")) for k, v in tests.items()))).alias("x")).select("run_id", "seq", "x.*")
-
-
 @query(duck("candidates") + "SELECT run_id, seq, round((0.30 * match_score + 0.20 * completeness + 0.15 * confidence + 0.15 * 1.0 + 0.10 * 0.5 + 0.10 * 0.0)::double, 3) AS about, status = 'CONFLICTING' AS risky FROM candidates")
 def electronics_rewards(spark, sf_dir):
     """RNK8: electronics' weights, to three places, and the risk that goes with a conflict."""
@@ -101,5 +93,3 @@ def electronics_rewards(spark, sf_dir):
     c = view(spark, sf_dir, "candidates")
     total = w["fff_similarity"] * F.col("match_score") + w["lifecycle_safety"] * F.col("completeness") + w["authorized_source"] * F.col("confidence") + w["stock"] * F.lit(1.0) + w["datasheet_evidence"] * F.lit(0.5)
     return c.select("run_id", "seq", F.round(total, 3).alias("about"), (F.col("status") == "CONFLICTING").alias("risky"))
-
-

@@ -71,22 +71,6 @@ def evidence_bundles(spark, sf_dir):
     return d.groupBy("run_id").agg(F.count("*").alias("refs"), F.min_by("supp", "seq").alias("lead"))
 
 
-@query(duck("candidates") + ", o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN channel = 'rfq_form' THEN 0 WHEN status = 'EXACT_PRICE' THEN 1 WHEN refs > 0 THEN 2 ELSE 3 END, seq) AS rn FROM candidates) SELECT run_id, seq, CASE WHEN channel = 'rfq_form' THEN 0 WHEN status = 'EXACT_PRICE' THEN 1 WHEN refs > 0 THEN 2 ELSE 3 END AS priority FROM o WHERE rn = 1")
-def claim_references(spark, sf_dir):
-    """JN2: of a claim's references the explicit one, else the first of the right field, else any page, else the first."""
-    p = F.when(F.coalesce(F.col("channel") == "rfq_form", F.lit(False)), 0).when(F.col("status") == "EXACT_PRICE", 1).when(F.col("refs") > 0, 2).otherwise(3)
-    c = view(spark, sf_dir, "candidates").withColumn("priority", p)
-    return ranking.top_k(c, ["run_id"], [F.asc("priority"), F.asc("seq")], 1).select("run_id", "seq", "priority")
-
-
-@query(duck("part_pages") + ", v AS (SELECT type, size, count(*) AS pages FROM part_pages GROUP BY type, size) SELECT p.id, least(3, v.pages - 1) AS corroborations FROM part_pages p JOIN v USING (type, size)")
-def corroborations(spark, sf_dir):
-    """JN9: other pages of the group that give the same value, three at most; counted before the join."""
-    p = view(spark, sf_dir, "part_pages")
-    n = p.groupBy("type", "size").agg(F.count("*").alias("pages"))
-    return p.join(n, ["type", "size"]).select("id", F.least(F.lit(3), F.col("pages") - 1).alias("corroborations"))
-
-
 _TIES = ("entity", "field", "value")
 _SHARED = [[k for k, on in zip(_TIES, (m & 4, m & 2, m & 1), strict=True) if on] for m in range(1, 8)]
 
@@ -126,13 +110,6 @@ def reference_clock(spark, sf_dir):
     return view(spark, sf_dir, "facts").select("entity", "seq", ((us - F.min(us).over(Window.partitionBy("entity"))) / 1000000.0).alias("seconds"))
 
 
-@query(duck("candidates") + "SELECT run_id, seq, CASE WHEN completeness >= 0.8 AND NOT flagged THEN 'recommended' ELSE 'review' END AS verdict FROM candidates WHERE refs > 0")
-def grade_substitutes(spark, sf_dir):
-    """RNK13: substitutes recommended, for review, or (without evidence) dropped."""
-    c = view(spark, sf_dir, "candidates").where("refs > 0")
-    return c.select("run_id", "seq", F.when((F.col("completeness") >= 0.8) & ~F.col("flagged"), "recommended").otherwise("review").alias("verdict"))
-
-
 @query(duck("part_pages") + ", q AS (SELECT id, list_distinct(string_split(query, ' ')) AS w FROM part_pages), s AS (SELECT DISTINCT type AS name, list_distinct(string_split(lower(type) || ' cleaning office quote price contact', ' ')) AS k FROM part_pages) SELECT id, name, len(list_intersect(w, k)) AS overlap, len(list_intersect(w, k)) / len(list_distinct(list_concat(w, k)))::double AS jaccard FROM q, s WHERE len(list_intersect(w, k)) >= 1")
 def match_skills(spark, sf_dir):
     """RNK14, SET5: skills that share tokens with a query; the skills are a counted handful."""

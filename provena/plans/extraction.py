@@ -222,12 +222,3 @@ SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(query), {_lit
 def query_skeletons(spark, sf_dir):
     """EX46: queries with regions and numbers as placeholders."""
     return view(spark, sf_dir, "part_pages").select("id", T.skeleton(F.col("query")).alias("skeleton"))
-
-
-@query(duck("part_pages") + """
-, s AS (SELECT id, CASE id % 8 WHEN 0 THEN 'service' ELSE 'other' END AS mode, regexp_replace(lower(query), '\\d+', '{number}', 'g') AS t FROM part_pages)
-SELECT mode, t AS template, count(*) AS support FROM s GROUP BY mode, t HAVING count(*) >= 3""")
-def induce_skills(spark, sf_dir):
-    """MEM8, AG19: query templates that enough episodes share."""
-    s = view(spark, sf_dir, "part_pages").select(F.when(F.col("id") % 8 == 0, "service").otherwise("other").alias("mode"), F.regexp_replace(F.lower("query"), r"\d+", "{number}").alias("template"))
-    return s.groupBy("mode", "template").agg(F.count("*").alias("support")).where("support >= 3")

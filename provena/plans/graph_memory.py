@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provena.functions import fixed, scores
+from provena.functions import fixed
 from provena.functions import text as T
-from provena.operators import graph, nearest, ranking, temporal
+from provena.operators import graph, nearest, temporal
 from provena.plans import query
 from provena.plans.inputs import duck, table, view
 
@@ -90,15 +90,6 @@ def memory_upsert(spark, sf_dir):
     return d.select("entity", "field", "value", "confidence", (F.col("n") - 1).alias("reinforced"), (F.col("sides") - 1).alias("alternatives"), F.when(F.col("sides") > 1, "disputed").otherwise("active").alias("status"))
 
 
-@query(duck("facts") + ", s AS (SELECT entity, field, seq, round(score * (1 + 0.1 * least(length(field) % 5, 4)) * round(1 + 0.2 * log2(1 + reinforced), 4), 4) AS score FROM facts), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, seq) AS rank FROM s) SELECT entity, field, seq, score, rank FROM r WHERE rank <= 5")
-def memory_recall(spark, sf_dir):
-    """MEM5, MEM6, RNK12: the five most relevant facts of an entity, weighted by overlap and citations."""
-    score = F.round(F.col("score") * (1 + 0.1 * F.least(F.length("field") % 5, F.lit(4))) * scores.citation_multiplier(F.col("reinforced")), 4)
-    f = view(spark, sf_dir, "facts").withColumn("score", score)
-    f = f.withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("score"), "seq"))).where("rank <= 5")
-    return f.select("entity", "field", "seq", "score", F.col("rank").cast("long"))
-
-
 @query(duck("facts") + ", p AS (SELECT entity % 10 AS wf, row_number() OVER (PARTITION BY entity ORDER BY event_ts, seq) AS pos, entity, field FROM facts), n AS (SELECT wf, count(DISTINCT entity) AS n FROM p GROUP BY wf), s AS (SELECT wf, pos, count(*) AS c, count(DISTINCT field) AS kinds, min(field) AS step FROM p GROUP BY wf, pos), b AS (SELECT s.wf, min(CASE WHEN kinds > 1 OR c < n THEN pos ELSE 1000000000 END) AS brk FROM s JOIN n USING (wf) GROUP BY s.wf) SELECT s.wf, s.pos, s.step, s.kinds FROM s JOIN b USING (wf) WHERE s.pos <= b.brk")
 def induce_workflows(spark, sf_dir):
     """MEM10: positions up to the first at which a group's trajectories part."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import fixed, similar
 from provena.functions import text as T
-from provena.operators import graph, integrity, limits, ranking, verification
+from provena.operators import graph, integrity, limits, verification
 from provena.operators.iterate import written
 from provena.plans import query
 from provena.plans.extraction import _lit

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from provena.functions import fixed, scores
@@ -89,25 +88,3 @@ def merkle_proofs(spark, sf_dir):
     proofs, roots = integrity.inclusion_proofs(rows, ["run_id"], "digest", levels), integrity.merkle_root(rows, ["run_id"], "digest", levels)
     ok = proofs.withColumn("found", integrity.root_of(F.col("hash"), F.col("path"))).join(roots, "run_id")
     return ok.groupBy("run_id").agg(F.count("*").alias("leaves"), F.count_if(F.col("found") == F.col("root")).alias("proven"))
-
-
-@query(duck("facts") + ", o AS (SELECT entity, seq, field IN ('error') AS forbidden, value FROM facts) SELECT entity, count(*) FILTER (WHERE forbidden) AS violations, count(*) FILTER (WHERE NOT forbidden) AS recorded FROM o GROUP BY entity")
-def audit_actions(spark, sf_dir):
-    """FLT8: recorded actions and violations."""
-    bad = F.col("field") == "error"
-    return view(spark, sf_dir, "facts").groupBy("entity").agg(F.count_if(bad).alias("violations"), F.count_if(~bad).alias("recorded"))
-
-
-@query(duck("facts") + ", t AS (SELECT entity, seq, event_ts, row_number() OVER (PARTITION BY entity ORDER BY event_ts, seq) AS i, field FROM facts WHERE field IN ('click', 'purchase')), f AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY i) AS k FROM t) SELECT entity, field AS status, seq FROM f WHERE k = 1")
-def review_states(spark, sf_dir):
-    """CTL5: the first terminal event decides a review."""
-    w = Window.partitionBy("entity").orderBy("event_ts", "seq")
-    f = view(spark, sf_dir, "facts").where(F.col("field").isin("click", "purchase"))
-    return f.withColumn("k", F.row_number().over(w)).where("k = 1").select("entity", F.col("field").alias("status"), "seq")
-
-
-@query(duck("facts") + ", m AS (SELECT entity, date_trunc('minute', event_ts) AS minute, seq, row_number() OVER (PARTITION BY entity, date_trunc('minute', event_ts) ORDER BY event_ts, seq) AS n FROM facts) SELECT entity, count(*) FILTER (WHERE n <= 5) AS allowed, count(*) FILTER (WHERE n > 5) AS delayed FROM m GROUP BY entity")
-def rate_limits(spark, sf_dir):
-    """CTL2: calls within five a calendar minute; the bucket's refill between minutes is not built."""
-    w = Window.partitionBy("entity", F.date_trunc("minute", "event_ts")).orderBy("event_ts", "seq")
-    return view(spark, sf_dir, "facts").withColumn("n", F.row_number().over(w)).groupBy("entity").agg(F.count_if(F.col("n") <= 5).alias("allowed"), F.count_if(F.col("n") > 5).alias("delayed"))
