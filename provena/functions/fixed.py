@@ -140,3 +140,16 @@ TOPIC_PART = r"\b(?=[a-z0-9]{4,})[a-z]+[0-9][a-z0-9]*\b"
 
 # Actions that are never taken.
 FORBIDDEN_ACTIONS = ("rfq_submitted", "rfq_sent", "form_submit", "form_submitted", "email_send", "email_sent", "browser_drive", "browser_navigate", "browser_action")
+
+# The letter that asks a vendor for a quotation, and the sentence that a datasheet would begin with.
+RFQ_LETTER = """Dear {vendor} Team,
+
+We are sourcing quotations for: {query}.
+
+Could you please provide a quotation covering scope of work, pricing basis, service frequency/schedule, and contract terms? We have outlined the inputs we can share in the attached checklist and would appreciate guidance on any additional details you require to quote.
+
+Kindly include your standard lead time and any minimum contract conditions.
+
+Thank you,
+Procurement Team"""
+DATASHEET_SENTENCE = "Datasheet: {device}. {query}. Specifications include package, pinout, operating temperature, supply voltage, and cross-reference / equivalent replacement parts for obsolete or EOL devices."

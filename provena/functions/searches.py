@@ -25,6 +25,11 @@ def _title(word: str) -> str:
     return word.upper() if len(word) <= 3 else word.title()
 
 
+def filled(template: str, **values: Column) -> Column:
+    """A fixed text with the names in braces replaced by columns."""
+    return F.concat(*(values[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p))
+
+
 def variants(query: Column) -> Column:
     """Array of (pos, kind, text): the distinct search variants of a query, none for a blank one."""
     base = F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " "))
@@ -33,7 +38,7 @@ def variants(query: Column) -> Column:
     device, family = of(0), of(1)
     maker = _first(low, fixed.QUERY_MAKERS, lambda w, q: F.when(q.rlike(rf"\b{re.escape(w)}\b"), _title(w)))
     named = F.filter(F.regexp_extract_all(base, F.lit(fixed.EXPLICIT_MPN), F.lit(0)), lambda m: ~F.lower(m).isin("90s", "80s"))
-    hyde = _cut(F.concat(F.lit("Datasheet: "), F.coalesce(device, F.lit("component")), F.lit(". "), base, F.lit(". Specifications include package, pinout, operating temperature, supply voltage, and cross-reference / equivalent replacement parts for obsolete or EOL devices.")))
+    hyde = _cut(filled(fixed.DATASHEET_SENTENCE, device=F.coalesce(device, F.lit("component")), query=base))
     part = F.when(F.size(named) > 0, F.concat(F.get(named, 0), F.lit(" cross reference equivalent datasheet"))).otherwise(F.concat(F.coalesce(F.concat(maker, F.lit(" ")), F.lit("")), F.coalesce(family, F.lit("series")), F.lit(" "), F.coalesce(device, F.lit("part")), F.lit(" cross reference equivalent")))
     made = {
         "original": base,
@@ -91,11 +96,7 @@ def tier(task: Column, high_risk: Column) -> Column:
 def rfq_email(query: Column, vendor: Column, channel: Column, value: Column) -> Column:
     """The fixed letter; empty without a channel."""
     via = F.when(channel == "contact_email", F.concat(F.lit(" (sent to "), value, F.lit(")"))).otherwise("")
-    letter = F.concat(
-        F.lit("Dear "), vendor, F.lit(" Team,\n\nWe are sourcing quotations for: "), query,
-        F.lit(".\n\nCould you please provide a quotation covering scope of work, pricing basis, service frequency/schedule, and contract terms? We have outlined the inputs we can share in the attached checklist and would appreciate guidance on any additional details you require to quote.\n\nKindly include your standard lead time and any minimum contract conditions.\n\nThank you,\nProcurement Team"),
-        via,
-    )
+    letter = F.concat(filled(fixed.RFQ_LETTER, vendor=vendor, query=query), via)
     return F.when(channel.isNull(), "").otherwise(letter)
 
 

@@ -5,7 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_HEAD = r"(?s)^---\s*\n(.*?)\n---\s*\n?(.*)$"
+_DASHES = "---"
+
+
+def _taken(lines: Column, first: Column, last: Column) -> Column:
+    """The lines from ``first`` to ``last``, both counted from 1 and included, as text."""
+    return F.array_join(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), "\n")
+
+
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _split_head(text: Column) -> Column:
+    """(head, body): what stands between a first line of dashes and the next such line, and the lines after it."""
+
+    def cut(lines: Column) -> Column:
+        bare = F.transform(lines, lambda x: F.rtrim(x))
+        closing = F.array_position(F.slice(bare, F.lit(2), F.size(bare)), _DASHES)  # 0: none
+        headed = (F.get(bare, 0) == _DASHES) & (closing > 0)
+        return F.struct(F.when(headed, _taken(lines, F.lit(2), closing)).otherwise("").alias("head"), F.when(headed, _taken(lines, closing + 2, F.size(lines))).otherwise(F.array_join(lines, "\n")).alias("body"))
+
+    return _let(F.split(text, "\n"), cut)
 
 
 def _setting(head: Column, name: str) -> Column:
@@ -25,7 +46,17 @@ def _listed(head: Column, *names: str) -> Column:
 
 
 def _section(body: Column, heading: str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(body, rf"(?ims)^#{{1,6}}\s+{heading}\s*$(.*?)(?=^#{{1,6}}\s+|\z)", 1), r"^\s+|\s+$", ""))
+    """The lines under the first heading of that name, up to the next heading of any."""
+
+    def walk(lines: Column) -> Column:
+        level = F.transform(lines, lambda x: F.length(x) - F.length(F.ltrim(x, F.lit("#"))))
+        heads = F.transform(lines, lambda x, i: F.get(level, i).between(1, 6) & F.startswith(F.ltrim(x, F.lit("#")), F.lit(" ")))
+        named = F.transform(lines, lambda x, i: F.get(heads, i) & (F.lower(F.trim(F.ltrim(x, F.lit("#")))) == heading.lower()))
+        start = F.array_position(named, True)
+        ends = F.array_position(F.slice(heads, start + 1, F.size(heads)), True)
+        return F.when(start == 0, "").otherwise(_taken(lines, start + 1, F.when(ends == 0, F.size(lines)).otherwise(start + ends - 1)))
+
+    return F.regexp_replace(_let(F.split(body, "\n"), walk), r"^\s+|\s+$", "")
 
 
 def parsed(cards: DataFrame) -> DataFrame:
@@ -35,9 +66,7 @@ def parsed(cards: DataFrame) -> DataFrame:
     instructions the whole body is them.
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n")
-    head, rest = F.regexp_extract(text, _HEAD, 1), F.regexp_extract(text, _HEAD, 2)
-    body = F.when(text.rlike(_HEAD), rest).otherwise(text)
-    rows = cards.select("source", head.alias("head"), body.alias("body"))
+    rows = cards.select("source", _split_head(text).alias("parts")).select("source", "parts.head", "parts.body")
     head, body = F.col("head"), F.col("body")
     prose = F.get(F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#"))), 0)
     instructions = _section(body, "Instructions")
