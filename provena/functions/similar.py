@@ -16,6 +16,14 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def at_least(a: str | None, b: str | None, least: float) -> bool:
+    """Whether two texts, none empty, have that ratio; its upper bounds are asked first."""
+    if not a or not b:
+        return False
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+
 def can_reach(a: Column, b: Column, least: float) -> Column:
     """Whether the lengths alone allow that ratio: twice the shorter over both."""
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))

@@ -8,7 +8,7 @@ from provena.functions import scores
 from provena.functions import text as T
 from provena.operators import dedupe
 from provena.plans import query
-from provena.plans.inputs import duck, view
+from provena.plans.inputs import duck, table, view
 from provena.sources import logs
 from provena.streaming import logs as streaming
 
@@ -36,9 +36,16 @@ def graph_diagrams(spark, sf_dir):
 
 @query()
 def dedupe_items(spark, sf_dir):
-    """DD1: greedy duplicates by text, snippet and address; tests hold it against the sequential rule."""
-    p = view(spark, sf_dir, "part_pages").select("run_id", "id", F.md5(F.col("text").cast("binary")).alias("text_hash"), F.md5(F.left("text", F.lit(40)).cast("binary")).alias("snippet_hash"), T.canonical_url(F.col("url")).alias("canonical"))
-    return dedupe.exact_items(p, ["run_id"], ["text_hash", "snippet_hash", "canonical"], "id").select("run_id", "id")
+    """DD1: greedy duplicates by text, address and near-equal snippet; tests hold it against the sequential rule."""
+    p = view(spark, sf_dir, "part_pages").select("run_id", "id", F.md5(F.col("text").cast("binary")).alias("text_hash"), F.left("text", F.lit(500)).alias("snippet"), T.canonical_url(F.col("url")).alias("canonical"))
+    return dedupe.items(p, ["run_id"], ["text_hash", "canonical"], "id", "snippet").select("run_id", "id")
+
+
+@query()
+def dedupe_turns(spark, sf_dir):
+    """DD1: the turns of each conversation as items, whose snippets are their first sentences."""
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("text_hash"), F.regexp_extract("text", r"^[^.\n]*", 0).alias("snippet"))
+    return dedupe.items(p, ["conv_id"], ["text_hash"], "turn", "snippet").select("conv_id", "turn")
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS calls, round(sum(value), 2) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)")
