@@ -18,7 +18,9 @@ empty table has no rows. Other columns stay out.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ SPACE = "▁"
 #: Characters of a text that are handled at once, and of a stored row of counts.
 PART, STORED = 1 << 16, 1 << 16
 #: Chunks up to so many characters are kept, so many of them; then, and with so many pairs, the caches start anew.
-SHORT, CHUNKS, PAIRS = 48, 200_000, 1_000_000
+SHORT, CHUNKS, PAIRS = 48, 500_000, 1_000_000
 #: Bytes of a batch of stored rows.
 BATCH = 4 << 20
 
@@ -52,7 +54,18 @@ class Counter:
             raise ValueError("pieces are expected to have one rank each and spaces only at their start, runs of spaces to merge last")
         if model.encode("a\tb", out_type=str)[:1] != [SPACE + "a"] or SPACE in "".join(model.encode("", out_type=str)) or model.normalize(" Aéﬁ") != SPACE * 2 + "Aéﬁ":
             raise ValueError("the model is expected to change no characters and to put one space before a text")
-        self.longest = max(map(len, words))
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, bytes] = {}
+        # Lengths, longest first, of the pieces that end with three characters (pieces of two: with these); a piece that merges do not lead to is no token.
+        self.halves: dict[str, tuple[str, str]] = {}
+        for p in words:
+            row, pair = self.merged(p)
+            if row == [p]:
+                self.halves[p] = pair
+        self.endings: dict[str, list[int]] = {}
+        for n in sorted({len(p) for p in self.halves}, reverse=True):
+            for e in {p[-3:] for p in self.halves if len(p) == n}:
+                self.endings.setdefault(e, []).append(n)
         # Characters by number (0: in no piece), and the pairs that stand in some piece.
         chars = sorted({c for p in words for c in p})
         self.points = np.array([ord(c) for c in chars], np.uint32)
@@ -63,9 +76,6 @@ class Counter:
                 self.beside[number[a], number[b]] = True
         self.space = number.get(SPACE, 0)
         self.runs = self._run_counts(max((len(p) for p in runs), default=1), {len(p) for p in runs})
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
-        self.whole: dict[str, bool] = {}
 
     @staticmethod
     def _run_counts(longest: int, lengths: set[int]) -> list[int]:
@@ -84,45 +94,58 @@ class Counter:
         longest = len(self.runs) // 2
         return n // longest + self.runs[n % longest]
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short string: the pair of lowest rank merges until none is a piece."""
-        row = list(text)
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The pieces of a short string, the pair of lowest rank merging until none is a piece; and the last pair."""
+        row, pair = list(text), None
         while len(row) > 1:
             best, at = min((self.rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(row, row[1:])))
             if best == np.inf:
                 break
+            pair = row[at], row[at + 1]
             row[at : at + 2] = [row[at] + row[at + 1]]
-        return row
+        return row, pair
 
     def _follows(self, a: str, b: str) -> bool:
-        found = self.pairs.get((a, b))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return found
-
-    def _token(self, piece: str) -> bool:
-        """Whether merges lead to this piece at all."""
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
+        """Whether the two encode to themselves: at no time would a merge across them have come first.
+
+        Merges are undone from the last one back. The pieces that then touch may merge if their rank is below that of
+        the merge just undone; at equal ranks the one further left comes first.
+        """
+        key, limit, rank, halves = (a, b), np.inf, self.rank, self.halves
+        found = True
+        while (r := rank.get(a + b)) is None or r >= limit:
+            left, right = rank[a] if len(a) > 1 else -np.inf, rank[b] if len(b) > 1 else -np.inf
+            if left == right == -np.inf:
+                break
+            if left > right:
+                a, limit = halves[a][1], left
+            else:
+                b, limit = halves[b][0], right + 0.5
+        else:
+            found = False
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = found
         return found
 
     def _counts(self, word: str) -> tuple[list[int], list[str]]:
         """For each prefix of a chunk, the empty one first, its count and its last token."""
         counts, last = [0], [""]
-        rank = self.rank
+        rank, halves, pairs, endings = self.rank, self.halves, self.pairs, self.endings
         for j in range(1, len(word) + 1):
-            for n in range(min(j, self.longest), 0, -1):
-                piece = word[j - n : j]
-                if (n == 1 or (piece in rank and self._token(piece))) and (j == n or self._follows(last[j - n], piece)):
-                    cost = 1 if piece in rank else len(piece.encode())
-                    counts.append(counts[j - n] + cost)
-                    last.append(piece)
-                    break
+            for n in (*endings.get(word[j - 3 : j], ()), 2) if j > 2 else (2,) if j == 2 else ():
+                if n <= j and (piece := word[j - n : j]) in halves:
+                    if j == n:
+                        break
+                    before = last[j - n]
+                    if (ok := pairs.get((before, piece))) or (ok is None and self._follows(before, piece)):
+                        break
             else:
-                raise ValueError(f"no token ends {word[:j]!r}")
+                piece, n = word[j - 1], 1
+                if j > 1 and not (pairs.get((last[j - 1], piece)) or self._follows(last[j - 1], piece)):
+                    raise ValueError(f"no token ends {word[:j]!r}")
+            counts.append(counts[j - n] + (1 if piece in rank else len(piece.encode())))
+            last.append(piece)
         return counts, last
 
     def _steps(self, chunk: str) -> bytes:
@@ -144,7 +167,7 @@ class Counter:
                 first.append(piece == SPACE if before == 0 else first[before])
                 if j > 1:
                     counts.append(inner[j] + (alone if first[j] else joined))
-        return np.diff(np.array(counts, np.int64)).astype("<i2").tobytes()
+        return array("h", map(sub, counts[1:], counts)).tobytes()
 
     def __call__(self, chunk: str) -> bytes:
         steps = self.known.get(chunk)
@@ -177,7 +200,7 @@ class Counter:
         if not text:
             return np.zeros(1, np.int64)
         steps = b"".join(map(self, self._chunks(SPACE + text.replace(" ", SPACE))))
-        out = np.cumsum(np.frombuffer(steps, "<i2"), dtype=np.int64)
+        out = np.cumsum(np.frombuffer(steps, np.int16), dtype=np.int64)
         out[0] = 0  # the space before a text is no prefix of it
         return out
 
