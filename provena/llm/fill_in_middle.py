@@ -16,18 +16,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.llm.common import written
+
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: A unit is one code point, any.
 CODE_POINT = r"[\s\S]"
-#: Units of an exploded row.
-RUN = 1024
+#: Units of an exploded row; single characters need no more of a row than their number.
+RUN, CODE_POINTS = 256, 1 << 14
 PLAIN_FROM, SPM_BELOW = 90, 20
 
 
-def runs(docs: DataFrame, unit: str = CODE_POINT, run: int = RUN) -> DataFrame:
+def runs(docs: DataFrame, unit: str, run: int) -> DataFrame:
     """(key, pos, units, chars, lengths, doc_id): a row for each ``run`` consecutive units of the documents (doc_id, key, text)."""
     single = unit == CODE_POINT
-    pieces = F.posexplode(F.regexp_extract_all("text", F.lit(f"(?:{unit}){{1,{run}}}+"), F.lit(0))).alias("pos", "piece")
+    pieces = F.posexplode(F.regexp_extract_all("text", F.lit(f"{unit if single else f'(?:{unit})'}{{1,{run}}}+"), F.lit(0))).alias("pos", "piece")
     rows = docs.select("key", "doc_id", pieces)
     if single:
         sized = rows.select("key", "doc_id", "pos", F.length("piece").alias("units"), F.length("piece").alias("chars"), F.lit(None).cast("array<int>").alias("lengths"))
@@ -40,7 +42,7 @@ def runs(docs: DataFrame, unit: str = CODE_POINT, run: int = RUN) -> DataFrame:
     return sized.groupBy("key", "pos").agg(F.max("units").cast("long").alias("units"), F.max("chars").cast("long").alias("chars"), F.first("lengths").alias("lengths"), F.max("doc_id").alias("doc_id"))
 
 
-def offsets(units: DataFrame, requests: DataFrame, run: int = RUN) -> DataFrame:
+def offsets(units: DataFrame, requests: DataFrame, run: int) -> DataFrame:
     """(key, cut, offset): characters before the unit of ordinal ``at``, for ``requests`` (key, cut, at).
 
     Every row but a document's last holds ``run`` units, so a request is joined to its row by at // run. A request for
@@ -62,12 +64,13 @@ def hashed(doc_id: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 8 * i - 7, 8), 16, 10).cast("long")
 
 
-def transform(docs: DataFrame, unit: str = CODE_POINT, run: int = RUN) -> DataFrame:
+def transform(docs: DataFrame, unit: str = CODE_POINT, run: int | None = None) -> DataFrame:
     """(doc_id, n, form, prefix, middle, suffix, output) of ``docs`` (doc_id, text): n units, the parts null where plain."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.unhex(F.md5(F.concat(name, F.lit(":"), "text").cast("binary"))))
-    units = runs(docs, unit, run)
+    run = run or (CODE_POINTS if unit == CODE_POINT else RUN)
+    units = written(runs(docs, unit, run), "units")
     marked = F.greatest(*(F.contains("text", F.lit(m)) for m in (PREFIX, SUFFIX, MIDDLE)))
     ids = F.col("doc_id")
     totals = units.groupBy("key").agg(F.sum("units").alias("n"), F.max("doc_id").alias("doc_id"))
