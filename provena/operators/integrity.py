@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.functions import canonical
 from provena.operators.iterate import written
 
 #: Rows of a chain that are folded together.
@@ -44,6 +45,15 @@ def chain_faults(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("fault", fault).where(F.col("fault").isNotNull()).select(*by, "seq", "fault")
 
 
+def canonical_digests(rows: DataFrame, text: str, name: str = "digest") -> DataFrame:
+    """``rows`` with the sha256 of the canonical form of a column of JSON; null where there is none.
+
+    Nothing is shuffled: the expression is as deep as the deepest text, which one pass over the brackets tells.
+    """
+    deepest = rows.agg(F.max(F.when(F.try_parse_json(F.col(text)).isNotNull(), canonical.depth(F.col(text)))).alias("deepest")).first()["deepest"] or 0
+    return rows.withColumn(name, F.sha2(canonical.dump(F.col(text), deepest).cast("binary"), 256))
+
+
 def leaf(data: Column) -> Column:
     return F.sha2(F.concat(F.lit(b"\x00"), data.cast("binary")), 256)
 

@@ -201,3 +201,17 @@ def salted_leaves(spark, sf_dir):
     f = view(spark, sf_dir, "facts").select("seq", F.concat_ws("|", "field", "value").alias("leaf"))
     salt = integrity.hmac_sha256(b"key", F.col("seq").cast("string"))
     return f.select("seq", F.sha2(F.concat(F.unhex(salt), F.lit(b"\x00"), F.col("leaf").cast("binary")), 256).alias("redacted"))
+
+
+@query("""
+WITH j AS (SELECT click_id, CASE WHEN json_valid(props) THEN props::json END AS p FROM (SELECT DISTINCT * FROM clicks) WHERE click_id IS NOT NULL),
+f AS (SELECT click_id, p, list_filter([
+  CASE WHEN json_exists(p, '$.device') THEN '"device": {"os": ' || json_extract(p, '$.device.os')::varchar || ', "ver": ' || json_extract(p, '$.device.ver')::varchar || '}' END,
+  CASE WHEN json_exists(p, '$.items') THEN '"items": [' || coalesce(array_to_string(list_transform(json_extract(p, '$.items[*]'), lambda i: '{"qty": ' || json_extract(i, '$.qty')::varchar || ', "sku": ' || json_extract(i, '$.sku')::varchar || '}'), ', '), '') || ']' END,
+  CASE WHEN json_exists(p, '$.k') THEN '"k": ' || json_extract(p, '$.k')::varchar END,
+  CASE WHEN json_type(p, '$.tags') = 'NULL' THEN '"tags": null' WHEN json_exists(p, '$.tags') THEN '"tags": [' || coalesce(array_to_string(json_extract(p, '$.tags[*]')::varchar[], ', '), '') || ']' END], lambda x: x IS NOT NULL) AS parts FROM j)
+SELECT click_id, CASE WHEN p IS NOT NULL THEN sha256('{' || array_to_string(parts, ', ') || '}') END AS digest FROM f""")
+def canonical_digests(spark, sf_dir):
+    """EX16: the digest of each click's properties as canonical JSON; broken ones have none."""
+    c = table(spark, sf_dir, "clicks").where("click_id is not null").distinct()
+    return integrity.canonical_digests(c.select("click_id", "props"), "props").select("click_id", "digest")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from provena import plans
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "clicks clients items sale_lines sales client_changes vendors stamps region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 plans.load()
 
 
