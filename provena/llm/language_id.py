@@ -20,10 +20,10 @@ result. Extra columns are kept; those named as a result are replaced.
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +36,8 @@ PER_LANGUAGE, CENTROIDS, ROUNDS, MARGIN = 1000, 4, 12, 0.5
 LOW, POOLED, FEW = 0.01, 200, 20
 #: Bytes of a long text whose n-grams are counted at once.
 PART = 256 << 10
-_LETTER = re.compile(r"[^\W\d_]")
+#: Unicode's category L; numbers that are written with letters or as fractions are none.
+_LETTER = regex.compile(r"\p{L}")
 
 _fold = np.full(256, 0x20, np.uint8)
 _fold[0x41:0x5B] = np.arange(0x61, 0x7B)

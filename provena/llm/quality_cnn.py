@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from provena.llm import kernels
 
 WIDTH, STRIDE, DEPTH, FILTERS = 16, 8, 8, 24
-ROWS, SIZE, EPOCHS, BATCH, RATE = 3000, 64 << 20, 10, 32, 0.01
+ROWS, SIZE, SHARES, EPOCHS, BATCH, RATE = 3000, 64 << 20, 16, 10, 32, 0.01
 #: Bytes of a long text whose chunks are held at once; a multiple of STRIDE.
 PART = 256 << 10
 
@@ -110,12 +110,17 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column, rows: int = ROWS, size: int = SIZE, **how) -> Network | None:
-    """Fit on at most ``rows`` documents, ``size`` bytes together, with a quality label whose doc_id is under ``where``."""
+    """Fit on at most ``rows`` documents, ``size`` bytes together, with a quality label whose doc_id is under ``where``.
+
+    Labelled texts of more than a SHARES-th of ``size`` are not learned from.
+    """
     picked = labels.where(where & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # At most ``rows`` ids and labels are broadcast, and one text of each comes on.
     got = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    # A text over a share of the bytes is passed over, so that no one text keeps out those after it.
+    got = got.where(F.octet_length("text") <= size // SHARES)
     before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
     got = got.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= size).select("doc_id", "quality", "text").collect()
     got = sorted(got, key=lambda r: r["doc_id"])
