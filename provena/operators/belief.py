@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions import fixed
+from provena.operators.iterate import written
 
 
 def fuse(sources: DataFrame, by: list[str]) -> DataFrame:
@@ -27,19 +28,46 @@ def fuse(sources: DataFrame, by: list[str]) -> DataFrame:
     return p.select(*by, F.round(F.col("qt") / scale, 6).alias("belief"), F.round(F.col("qt") / scale + unknown, 6).alias("plausibility"), F.round(F.col("k"), 6).alias("conflict"), F.when(F.col("n") == 1, "single").when(yager, "yager").otherwise("dempster").alias("rule"))
 
 
+#: A score in [0, 1] is a whole number of 2^-53; it is found digit by digit, 4096 values at a time.
+_BITS, _DIGIT = 53, 12
+
+
 def conformal(examples: DataFrame, by: list[str], alpha: float = 0.1) -> DataFrame:
     """(by, n, threshold) from rows (by, score, correct): null where too few are correct for ``alpha``.
 
-    The rank is exact, so the scores of a group are ordered: in a window, not in one array.
+    The rank is exact, and no group's scores are put in order: the rows are counted by the first digit of their
+    score, which tells the digit that the rank falls into and the rank within it; then those rows alone by the next,
+    and so on. Equal scores are one row with a count from the start. Rows without a score are left out.
     """
-    from pyspark.sql import Window
-
     alpha = min(0.99, max(0.01, alpha))
-    right = examples.where("correct").withColumn("_nc", 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score"))))
-    w = Window.partitionBy(*by)
-    ranked = right.withColumn("_i", F.row_number().over(w.orderBy("_nc"))).withColumn("n", F.count("*").over(w))
-    rank = F.ceil((F.col("n") + 1) * F.lit(1 - alpha))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.round(1 - F.max(F.when(F.col("_i") == rank, F.col("_nc"))), 6).alias("threshold"))
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))
+    group = F.struct(*by)
+    rows = examples.where(F.col("correct") & F.col("score").isNotNull()).select(group.alias("_g"), ((1 - score) * float(1 << _BITS)).cast("long").alias("_k"))
+    rows = written(rows.groupBy("_g", "_k").agg(F.count("*").alias("_c")), "scores")
+    state = rows.groupBy("_g").agg(F.sum("_c").alias("n")).withColumn("_rank", F.ceil((F.col("n") + 1) * F.lit(1 - alpha)))
+    state = written(state, "ranks")
+    for shift in range((_BITS // _DIGIT) * _DIGIT, -1, -_DIGIT):
+        digit = F.shiftright("_k", shift)
+        counts = rows.groupBy("_g", digit.alias("_d")).agg(F.sum("_c").alias("_c"))
+        # At most 4096 counts of a group, in order.
+        listed = counts.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_d", "_c"))).alias("_l")).join(state, "_g")
+        nothing = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("d"))
+
+        def step(a, x):
+            found = a["d"].isNotNull()
+            over = a["before"] + x["_c"] >= F.col("_rank")
+            return F.struct(F.when(found | over, a["before"]).otherwise(a["before"] + x["_c"]).alias("before"), F.when(found, a["d"]).when(over, x["_d"]).alias("d"))
+
+        state = listed.withColumn("_x", F.aggregate("_l", nothing, step)).select("_g", "n", (F.col("_rank") - F.col("_x.before")).alias("_rank"), F.col("_x.d").alias("_d"))
+        state = written(state, "ranks")
+        if shift:
+            rows = written(rows.withColumn("_d", digit).join(state.select("_g", "_d"), ["_g", "_d"], "left_semi").select("_g", "_k", "_c"), "scores")
+            # A group whose rank is beyond its rows has no digit, and no more rows.
+            done = state.where("_d is null").select("_g", "n", "_d")
+            lost = done if shift == (_BITS // _DIGIT) * _DIGIT else lost
+            state = state.where("_d is not null").drop("_d")
+    ends = state.select("_g", "n", "_d").unionByName(lost)
+    return ends.select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", F.round(1 - F.col("_d") / float(1 << _BITS), 6).alias("threshold"))
 
 
 def entropy(samples: DataFrame, by: list[str], value: str) -> DataFrame:

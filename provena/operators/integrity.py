@@ -6,42 +6,89 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.functions import canonical
 from provena.operators.iterate import written
 
-#: Rows of a chain that are folded together.
-CHUNK = 256
+def _in_order(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+    """Each group's rows in one partition and in order; a sort that does not fit in memory spills."""
+    return rows.repartition(*by).sortWithinPartitions(*by, *order)
 
 
-def chained(rows: DataFrame, by: list[str]) -> DataFrame:
-    """chain_hash: sha256 of the digest and the previous chain hash, in the order of ``seq``.
+def chained(rows: DataFrame, by: list[str], start: DataFrame | None = None) -> DataFrame:
+    """``rows`` with parent_hash and chain_hash: sha256 of the digest and the previous chain hash, in the order of ``seq``.
 
-    A chain is sequential by definition: each run's is folded by the task that holds the run, in chunks, so that n rows
-    cost about n steps. Checking it is not sequential.
+    ``start`` (by, chain_hash): the hash that a run's chain goes on from; without one it begins with "". A chain is
+    sequential by definition: the task that holds a run reads its rows in sorted batches and carries one hash, so a run
+    of any length needs no more memory. Checking is not sequential. Of equal ``seq`` the smaller digest comes first; a
+    null digest counts as "".
     """
-    items = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("x"))
-    kind = rows.schema["seq"].dataType.simpleString()
-    link = f"array<struct<seq:{kind},digest:string,parent_hash:string,chain_hash:string>>"
-
-    def step(a: Column, r: Column) -> Column:
-        h = F.sha2(F.concat(r["digest"], a["last"]).cast("binary"), 256)
-        return F.struct(h.alias("last"), F.concat(a["out"], F.array(F.struct(r["seq"].alias("seq"), r["digest"].alias("digest"), a["last"].alias("parent_hash"), h.alias("chain_hash")))).alias("out"))
-
-    def outer(a: Column, chunk: Column) -> Column:
-        inner = F.aggregate(chunk, F.struct(a["last"].alias("last"), F.array().cast(link).alias("out")), step)
-        return F.element_at(F.transform(F.array(inner), lambda i: F.struct(i["last"].alias("last"), F.concat(a["out"], F.array(i["out"])).alias("out"))), 1)
-
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / CHUNK).cast("int")), lambda k: F.slice("x", k * CHUNK + 1, F.lit(CHUNK)))
-    start = F.struct(F.lit("").alias("last"), F.array().cast(f"array<{link}>").alias("out"))
-    return items.select(*by, F.explode(F.flatten(F.aggregate(chunks, start, outer, lambda a: a["out"]))).alias("r")).select(*by, "r.*")
+    import hashlib as h
+
+    import pyarrow as pa
+
+    given = rows.withColumns({"_state": F.lit(None).cast("string"), "_own": F.lit(True)})
+    if start is not None:
+        fields = [F.col(c) if c in by else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+        given = given.unionByName(start.select(*fields, F.col("chain_hash").alias("_state"), F.lit(False).alias("_own")))
+
+    def fold(batches):
+        key, last = None, ""
+        for batch in batches:
+            parents, hashes = [], []
+            columns = [batch.column(c).to_pylist() for c in (*by, "digest", "_state", "_own")]
+            for *at, digest, state, own in zip(*columns, strict=True):
+                if at != key:
+                    key, last = at, ""
+                parents.append(last)
+                last = h.sha256(((digest or "") + last).encode()).hexdigest() if own else state
+                hashes.append(last)
+            kept = batch.column("_own")
+            names = [n for n in batch.schema.names if n not in ("_state", "_own")]
+            out = [batch.column(n) for n in names] + [pa.array(parents, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=[*names, "parent_hash", "chain_hash"]).filter(kept)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("parent_hash", T.StringType()), T.StructField("chain_hash", T.StringType())])
+    return _in_order(given, by, "_own", "seq", "digest").mapInArrow(fold, schema)
+
+
+def joined_digest(rows: DataFrame, by: list[str], seq: str, text: str, between: str = " ") -> DataFrame:
+    """(by, chars, digest): length and sha256 of each run's texts in the order of ``seq``, as one; none is ever put together."""
+    import hashlib as h
+
+    import pyarrow as pa
+
+    def fold(batches):
+        key, state, chars, schema, done = None, None, 0, None, []
+        for batch in batches:
+            schema = schema or pa.schema([*(batch.schema.field(c) for c in by), ("chars", pa.int64()), ("digest", pa.string())])
+            for *at, value in zip(*(batch.column(c).to_pylist() for c in (*by, text)), strict=True):
+                if at != key:
+                    if state is not None:
+                        done.append((*key, chars, state.hexdigest()))
+                    key, state, chars = at, h.sha256(), 0
+                else:
+                    state.update(between.encode())
+                    chars += len(between)
+                state.update(value.encode())
+                chars += len(value)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema, strict=True)], schema=schema)
+                done = []
+        if state is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, chars, state.hexdigest()), schema, strict=True)], schema=schema)
+
+    held = rows.where(F.col(text).isNotNull()).select(*by, seq, text)
+    schema = T.StructType([*(rows.schema[c] for c in by), T.StructField("chars", T.LongType()), T.StructField("digest", T.StringType())])
+    return _in_order(held, by, seq, text).mapInArrow(fold, schema)
 
 
 def chain_faults(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, seq, fault): rows whose parent is not the row before, or whose hash is not that of its content."""
     w = Window.partitionBy(*by).orderBy("seq")
     parent = F.coalesce(F.lag("chain_hash").over(w), F.lit(""))
-    fault = F.when(F.col("parent_hash") != parent, "parent_mismatch").when(F.col("chain_hash") != F.sha2(F.concat("digest", "parent_hash").cast("binary"), 256), "content_mismatch")
+    fault = F.when(F.col("parent_hash") != parent, "parent_mismatch").when(F.col("chain_hash") != F.sha2(F.concat(F.coalesce("digest", F.lit("")), "parent_hash").cast("binary"), 256), "content_mismatch")
     return rows.withColumn("fault", fault).where(F.col("fault").isNotNull()).select(*by, "seq", "fault")
 
 

@@ -35,6 +35,31 @@ def versions(facts: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame
     return facts.join(near.unionByName(far), [*keys, "seq"], "left")
 
 
+def conflicts(facts: DataFrame, keys: list[str], value: str, block: int = BLOCK) -> DataFrame:
+    """valid_to: the event time of the first later arrival of the key with a greater event time and another ``value``.
+
+    As in ``versions``, but what is kept of a block is its greatest time, the value that has it, and the greatest time
+    of any other value: one of the two tells whether the block closes a fact. A null value conflicts with none.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+    rows = written(facts.select(*keys, "seq", "event_ts", F.col(value).alias("_v")).withColumn("_b", F.floor((rank - 1) / block)), "arrivals")
+    later = rows.where("_v is not null").select(*keys, "_b", F.col("event_ts").alias("_ts"), F.col("seq").alias("_seq"), F.col("_v").alias("_o"))
+    closes = (F.col("_ts") > F.col("event_ts")) & (F.col("_o") != F.col("_v"))
+
+    def first(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy(*keys, "seq").agg(F.min(F.struct("_seq", "_ts")).alias("x")).select(*keys, "seq", F.col("x._ts").alias("valid_to"))
+
+    near = written(first(rows.join(later, [*keys, "_b"]).where((F.col("_seq") > F.col("seq")) & closes)), "near")
+    open_ = rows.where("_v is not null").join(near, [*keys, "seq"], "left_anti")
+    best = later.groupBy(*keys, "_b", "_o").agg(F.max("_ts").alias("_t")).groupBy(*keys, F.col("_b").alias("_n"))
+    # The two greatest times of different values.
+    best = best.agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("_t", "_o")))), 1, 2).alias("_top"))
+    hit = F.exists("_top", lambda x: (x["_o"] != F.col("_v")) & (x["_t"] > F.col("event_ts")))
+    found = open_.join(best, keys).where((F.col("_n") > F.col("_b")) & hit).groupBy(*keys, "seq", "event_ts", "_v").agg(F.min("_n").alias("_b"))
+    far = first(found.join(later, [*keys, "_b"]).where(closes))
+    return facts.join(near.unionByName(far), [*keys, "seq"], "left")
+
+
 def versions_in_order(facts: DataFrame, keys: list[str]) -> DataFrame:
     """The same where arrival is in the order of event time: no join."""
     return facts.withColumn("valid_to", F.lead("event_ts").over(Window.partitionBy(*keys).orderBy("event_ts", "seq")))

@@ -30,13 +30,30 @@ def decompose(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spans(claims: DataFrame, pages: DataFrame, by: list[str]) -> DataFrame:
-    """Claims (by, claim, parent, start, end, span_hash) against their parent pages (by, id, text): the first fault or none.
+    """(by, claim, fault): claims (by, claim, parent, start, end, span_hash, snippet, snippet_hash) against their parent pages (by, id, text).
 
-    One left join on the parent; the order of the checks is the order of the cases.
+    The first of seven faults, or "ok"; a claim with neither offset is not checked ("unchecked"). One left join on the
+    parent; the order of the checks is the order of the cases. An end beyond the text leaves a shorter span, an empty
+    span is one, and a snippet is in line with its span if either holds the other or it is blank.
     """
-    joined = claims.join(pages.select(*by, F.col("id").alias("parent"), "text"), [*by, "parent"], "left")
+    page = pages.select(*by, F.col("id").alias("parent"), F.lit(True).alias("_there"), "text")
+    joined = claims.join(page, [*by, "parent"], "left")
     found = F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start"))
-    fault = F.when(F.col("parent").isNull(), "no_parent_id").when(F.col("text").isNull(), "no_parent").when(F.col("text") == "", "no_text").when((F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("text")), "bad_offsets").when(F.sha2(found.cast("binary"), 256) != F.col("span_hash"), "span_hash").otherwise("ok")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    snippet = F.coalesce("snippet", F.lit(""))
+    bare = F.regexp_replace(snippet, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    aligned = (bare == "") | F.contains(found, bare) | F.contains(snippet, found)
+    fault = (
+        F.when(F.col("start").isNull() & F.col("end").isNull(), "unchecked")
+        .when(F.coalesce(F.col("parent").cast("string"), F.lit("")) == "", "no_parent_id")
+        .when(F.col("_there").isNull(), "no_parent")
+        .when(F.col("text").isNull(), "no_text")
+        .when(F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < 0) | (F.col("end") < F.col("start")), "bad_offsets")
+        .when(~F.coalesce(sha(found) == F.col("span_hash"), F.lit(False)), "span_hash")
+        .when(~F.coalesce(sha(snippet) == F.col("snippet_hash"), F.lit(False)), "snippet_hash")
+        .when(~aligned, "not_aligned")
+        .otherwise("ok")
+    )
     return joined.select(*by, "claim", fault.alias("fault"))
 
 

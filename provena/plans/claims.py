@@ -42,14 +42,21 @@ def decompose_claims(spark, sf_dir):
     return verification.decompose(_candidates(spark, sf_dir), ["id"])
 
 
-@query(duck("part_pages") + ", c AS (SELECT run_id, id AS claim, CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN id + 1000000 ELSE id END AS parent, CASE id % 6 WHEN 2 THEN 900 ELSE 0 END AS s, CASE id % 6 WHEN 2 THEN 950 ELSE 10 END AS e, CASE id % 6 WHEN 3 THEN 'x' END AS bad FROM part_pages) SELECT c.run_id, c.claim, CASE WHEN parent IS NULL THEN 'no_parent_id' WHEN p.text IS NULL THEN 'no_parent' WHEN p.text = '' THEN 'no_text' WHEN e > length(p.text) THEN 'bad_offsets' WHEN bad IS NOT NULL THEN 'span_hash' ELSE 'ok' END AS fault FROM c LEFT JOIN part_pages p ON p.run_id = c.run_id AND p.id = c.parent")
+# Claims on the first sentences of documents: by id, sound ones and ones with each fault.
+_SPANS = """c AS (SELECT doc_id AS claim, CASE k WHEN 1 THEN NULL WHEN 2 THEN -1 - doc_id ELSE doc_id END AS parent, CASE k WHEN 0 THEN NULL WHEN 4 THEN -1 ELSE 5 END AS "start", CASE k WHEN 0 THEN NULL WHEN 4 THEN 3 WHEN 8 THEN 5 WHEN 9 THEN 3000000 ELSE 60 END AS "end", k, coalesce(text, '') AS text FROM (SELECT *, doc_id % 11 AS k FROM {documents}))"""
+
+
+@query("WITH " + _SPANS.format(documents="documents") + """, s AS (SELECT *, substring(text, 6, greatest(0, "end" - 5)) AS span FROM c), n AS (SELECT *, CASE k WHEN 7 THEN 'another text' WHEN 10 THEN '' ELSE span END AS snippet FROM s)
+SELECT n.claim, CASE WHEN k = 0 THEN 'unchecked' WHEN k = 1 THEN 'no_parent_id' WHEN k = 2 THEN 'no_parent' WHEN d.text IS NULL THEN 'no_text' WHEN k = 4 THEN 'bad_offsets' WHEN k = 5 THEN 'span_hash' WHEN k = 6 THEN 'snippet_hash' WHEN k = 7 AND span <> '' AND NOT contains('another text', span) AND NOT contains(span, 'another text') THEN 'not_aligned' ELSE 'ok' END AS fault FROM n LEFT JOIN documents d ON d.doc_id = n.parent""")
 def verify_spans(spark, sf_dir):
-    """INT3, JN1: claims against the spans of their pages."""
-    p = view(spark, sf_dir, "part_pages")
-    k = F.col("id") % 6
-    start, end = F.when(k == 2, 900).otherwise(0), F.when(k == 2, 950).otherwise(10)
-    c = p.select("run_id", F.col("id").alias("claim"), F.when(k == 1, F.col("id") + 1000000).when(k > 1, F.col("id")).alias("parent"), start.alias("start"), end.alias("end"), F.when(k == 3, "x").otherwise(F.sha2(F.substring(F.col("text"), start + 1, end - start).cast("binary"), 256)).alias("span_hash"))
-    return verification.spans(c, p, ["run_id"])
+    """INT3, JN1: claims against the spans of their documents, all seven faults."""
+    d = table(spark, sf_dir, "documents")
+    c = spark.sql("WITH " + _SPANS.replace('"start"', "`start`").replace('"end"', "`end`") + " SELECT * FROM c", documents=d)
+    span = F.substring(F.col("text"), F.lit(6), F.greatest(F.lit(0), F.col("end") - 5))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    k, snippet = F.col("k"), F.when(F.col("k") == 7, "another text").when(F.col("k") == 10, "").otherwise(span)
+    c = c.select("claim", "parent", "start", "end", F.when(k == 5, "x").otherwise(sha(span)).alias("span_hash"), snippet.alias("snippet"), F.when(k == 6, "x").otherwise(sha(snippet)).alias("snippet_hash"))
+    return verification.spans(c, d.select(F.col("doc_id").alias("id"), "text"), [])
 
 
 @query(duck("part_pages") + f""", h AS (SELECT run_id, id, {_HOST} AS host, list_transform(regexp_extract_all(text, '(?i)' || {_lit(fixed.PAGE_PRICE)}), lambda p: upper(regexp_replace(p, '\\s+', '', 'g'))) AS prices FROM part_pages),

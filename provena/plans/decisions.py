@@ -56,10 +56,7 @@ def current_facts(spark, sf_dir):
 def invalidate_conflicts(spark, sf_dir):
     """TMP2: a functional relation is closed by the first later fact with another object."""
     f = view(spark, sf_dir, "facts").select(F.col("entity").alias("src"), F.col("field").alias("rel"), F.col("value").alias("dst"), "event_ts", "seq")
-    later = f.select("src", "rel", F.col("dst").alias("d"), F.col("event_ts").alias("t"), F.col("seq").alias("s"))
-    hit = f.join(later, ["src", "rel"]).where((F.col("d") != F.col("dst")) & (F.col("s") > F.col("seq")) & (F.col("t") > F.col("event_ts")))
-    closed = hit.groupBy("src", "rel", "seq").agg(F.min(F.struct("s", "t")).alias("x")).select("src", "rel", "seq", F.col("x.t").alias("valid_to"))
-    return f.select("src", "rel", "seq").join(closed, ["src", "rel", "seq"], "left")
+    return temporal.conflicts(f, ["src", "rel"], "dst").select("src", "rel", "seq", "valid_to")
 
 
 @query(duck("candidates") + ", g AS (SELECT supp, min(confidence) AS low, max(completeness) AS done, bool_or(status = 'CONFLICTING') AS disputed, count(*) FILTER (WHERE refs > 0) AS backed FROM candidates GROUP BY supp) SELECT supp, backed, disputed, CASE WHEN backed = 0 THEN 'blocked' WHEN disputed THEN 'review' WHEN done < 0.65 THEN 'incomplete' ELSE 'draft' END AS verdict FROM g")

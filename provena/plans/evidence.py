@@ -161,11 +161,10 @@ def upsert_nodes(spark, sf_dir):
     return graph.upsert_nodes(n).select("id", "type", F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("props"))
 
 
-@query(duck("part_pages") + ", r AS (SELECT run_id, string_agg(text, ' ' ORDER BY id) AS corpus FROM part_pages WHERE text <> '' GROUP BY run_id) SELECT run_id, length(corpus) AS chars, sha256(corpus) AS digest FROM r")
+@query("WITH r AS (SELECT source, string_agg(text, ' ' ORDER BY doc_id) AS corpus FROM documents WHERE text IS NOT NULL GROUP BY source) SELECT source, length(corpus) AS chars, sha256(corpus) AS digest FROM r")
 def evidence_corpora(spark, sf_dir):
-    """CTL13, EX16: a run's texts in order, as one."""
-    p = view(spark, sf_dir, "part_pages").where("text <> ''").groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), " ").alias("corpus"))
-    return p.select("run_id", F.length("corpus").cast("long").alias("chars"), F.sha2(F.col("corpus").cast("binary"), 256).alias("digest"))
+    """CTL13, EX16: the texts of a source in order, as one; its length and digest are folded over sorted batches."""
+    return integrity.joined_digest(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
 
 
 @query(duck("facts") + ", b AS (SELECT entity, seq, field = 'error' AS bad, sum(CASE WHEN field <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY event_ts, seq) AS grp FROM facts), r AS (SELECT entity, grp, count(*) FILTER (WHERE bad) AS run FROM b GROUP BY entity, grp) SELECT entity, max(run) AS longest, max(run) >= 5 AS opened FROM r GROUP BY entity")

@@ -56,17 +56,17 @@ def verify_candidates(spark, sf_dir):
 
 
 def _ledger(spark, sf_dir):
-    f = view(spark, sf_dir, "facts").select((F.col("entity") % 100).alias("run_id"), "seq", F.sha2(F.concat_ws("|", "field", "value", F.col("seq").cast("string")).cast("binary"), 256).alias("digest"))
+    f = view(spark, sf_dir, "facts").select(F.col("entity").alias("run_id"), "seq", F.sha2(F.concat_ws("|", "field", "value", F.col("seq").cast("string")).cast("binary"), 256).alias("digest"))
     return f
 
 
-@query(duck("facts") + ", r AS (SELECT entity % 100 AS run_id, seq, sha256(concat_ws('|', field, value, cast(seq AS varchar))) AS digest, row_number() OVER (PARTITION BY entity % 100 ORDER BY seq) AS i FROM facts), c AS (WITH RECURSIVE h AS (SELECT run_id, seq, i, digest, sha256(digest) AS chain_hash FROM r WHERE i = 1 UNION ALL SELECT r.run_id, r.seq, r.i, r.digest, sha256(r.digest || h.chain_hash) FROM h JOIN r ON r.run_id = h.run_id AND r.i = h.i + 1) SELECT * FROM h) SELECT run_id, seq, chain_hash FROM c")
+@query(duck("facts") + ", r AS (SELECT entity AS run_id, seq, sha256(concat_ws('|', field, value, cast(seq AS varchar))) AS digest, row_number() OVER (PARTITION BY entity ORDER BY seq) AS i FROM facts), c AS (WITH RECURSIVE h AS (SELECT run_id, seq, i, digest, sha256(digest) AS chain_hash FROM r WHERE i = 1 UNION ALL SELECT r.run_id, r.seq, r.i, r.digest, sha256(r.digest || h.chain_hash) FROM h JOIN r ON r.run_id = h.run_id AND r.i = h.i + 1) SELECT * FROM h) SELECT run_id, seq, chain_hash FROM c")
 def seal_chain(spark, sf_dir):
     """WN1, INT1, EX16: hash chains of runs."""
     return integrity.chained(_ledger(spark, sf_dir), ["run_id"]).select("run_id", "seq", "chain_hash")
 
 
-@query(duck("facts") + "SELECT run_id, seq, 'content_mismatch' AS fault FROM (SELECT entity % 100 AS run_id, seq FROM facts) WHERE seq % 1000 = 7")
+@query(duck("facts") + "SELECT run_id, seq, 'content_mismatch' AS fault FROM (SELECT entity AS run_id, seq FROM facts) WHERE seq % 1000 = 7")
 def audit_chain(spark, sf_dir):
     """INT2: faults of a chain some of whose rows were tampered with."""
     rows = integrity.chained(_ledger(spark, sf_dir), ["run_id"])
@@ -80,7 +80,7 @@ def merkle_roots(spark, sf_dir):
     return integrity.merkle_root(_ledger(spark, sf_dir), ["run_id"], "digest")
 
 
-@query(duck("facts") + "SELECT entity % 100 AS run_id, count(*) AS leaves, count(*) AS proven FROM facts GROUP BY 1")
+@query(duck("facts") + "SELECT entity AS run_id, count(*) AS leaves, count(*) AS proven FROM facts GROUP BY 1")
 def merkle_proofs(spark, sf_dir):
     """INT5, INT6, JN15: inclusion proofs of all leaves, checked against the root."""
     rows = _ledger(spark, sf_dir)
