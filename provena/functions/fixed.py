@@ -153,3 +153,9 @@ Kindly include your standard lead time and any minimum contract conditions.
 Thank you,
 Procurement Team"""
 DATASHEET_SENTENCE = "Datasheet: {device}. {query}. Specifications include package, pinout, operating temperature, supply voltage, and cross-reference / equivalent replacement parts for obsolete or EOL devices."
+
+# A walk over variants of a query: its categories, the kinds of variants that they take, the words of the local one, and the lenses that verify a leaf.
+WALK_CATEGORIES = ("synonym", "broader_class", "broker_operator", "sea_local_language", "mfr_alt_pn")
+WALK_CATEGORY_OF = {"query2doc": "synonym", "hyde": "synonym", "step_back": "broader_class", "broker_operator": "broker_operator", "mpn_pattern": "mfr_alt_pn", "obsolescence": "mfr_alt_pn"}
+WALK_LOCAL = "Singapore Malaysia distributor pembekal"
+WALK_LENSES = ("refetch", "competing_vendor", "wayback")

@@ -107,26 +107,45 @@ def ingest(pages: DataFrame, reliability: float = 1.0, confidence: float = 0.7)
     return edges.select("src", "dst", "rel", F.col("id").alias("claim"), F.lit(confidence).alias("confidence"), F.lit(reliability).alias("reliability"), "sentence", F.col("id").alias("seq"), "valid_to")
 
 
-def retrieve(edges: DataFrame, query: str, top: int = 5, depth: int = 3) -> DataFrame:
-    """(id, score, depth, path): the nodes nearest to the parts that ``query`` names, by PageRank from these.
+def pageranks(edges: DataFrame, seeds: DataFrame, by: str, alpha: float = 0.15, rounds: int = 30, every: int = 5) -> DataFrame:
+    """(by, id, rank): ``pagerank`` from the seeds (by, id) of each ``by`` at once; nodes that no mass reaches have no row.
 
-    Weights are confidence times reliability. Each node has its shortest walk of current edges from a seed, up to
-    ``depth``; of equal ones the first in order. A query without known parts has no rows.
+    The mass of nodes without out-weights is what does not move on: it returns to the seeds.
     """
-    spark = edges.sparkSession
-    named = spark.range(1).select(F.explode(F.array_distinct(T.mpns(F.lit(query)))).alias("mpn")).select(T.entity_key("part", F.col("mpn")).alias("id")).distinct()
+    out = edges.where("weight > 0").groupBy("src").agg(F.sum("weight").alias("total"))
+    links = written(edges.where("weight > 0").groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "links")
+    seeds = seeds.select(by, "id").distinct()
+    jump = written(seeds.join(seeds.groupBy(by).agg((1.0 / F.count("*")).alias("jump")), by), "seeds")
+    rank = jump.select(by, "id", F.col("jump").alias("rank"))
+    for i in range(rounds):
+        moved = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(by, F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
+        kept = moved.groupBy(by).agg(F.sum("in").alias("in"))
+        back = jump.join(kept, by, "left").select(by, "id", (F.col("jump") * (alpha + (1 - alpha) * (1 - F.coalesce("in", F.lit(0.0))))).alias("rank"))
+        rank = moved.select(by, "id", ((1 - alpha) * F.col("in")).alias("rank")).unionByName(back).groupBy(by, "id").agg(F.sum("rank").alias("rank"))
+        if (i + 1) % every == 0:
+            rank = written(rank, "rank")
+    return rank
+
+
+def retrieve(edges: DataFrame, queries: DataFrame, top: int = 5, depth: int = 3) -> DataFrame:
+    """(query_id, id, score, depth, path): for ``queries`` (query_id, text) the nodes nearest to the parts that each names.
+
+    PageRank from the named parts, over weights of confidence times reliability. Each node has its shortest walk of
+    current edges from a seed, up to ``depth``; of equal ones the first in order. A query without known parts has no
+    rows. All queries go through each round together.
+    """
+    named = queries.select("query_id", F.explode(F.array_distinct(T.mpns(F.col("text")))).alias("mpn")).select("query_id", T.entity_key("part", F.col("mpn")).alias("id")).distinct()
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    seeds = written(named.join(nodes, "id"), "seeds")
-    if seeds.isEmpty():
-        return spark.createDataFrame([], "id string, score double, depth int, path string")
-    ranked = pagerank(edges.select("src", "dst", (F.col("confidence") * F.col("reliability")).alias("weight")), seeds)
-    best = ranked.join(seeds, "id", "left_anti").where("rank > 0").orderBy(F.desc("rank"), "id").limit(top)
-    # The shortest walks: each round keeps one by node, so that the number of walks stays that of the nodes.
+    seeds = written(named.join(nodes, "id").select("query_id", "id"), "seeds")
+    ranked = pageranks(edges.select("src", "dst", (F.col("confidence") * F.col("reliability")).alias("weight")), seeds, "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "id")
+    best = ranked.join(seeds, ["query_id", "id"], "left_anti").where("rank > 0").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top)
+    # The shortest walks: each round keeps one by query and node, so that the number of walks stays that of the nodes.
     step = current(edges).select(F.col("src").alias("_from"), F.col("dst").alias("id"), "rel")
-    walk, seen = seeds.select("id", F.col("id").alias("path")), seeds.select("id", F.lit(0).alias("depth"), F.col("id").alias("path"))
+    walk = seeds.select("query_id", "id", F.col("id").alias("path"))
+    seen = walk.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        walk = walk.withColumnRenamed("id", "_from").join(step, "_from").select("id", F.concat_ws(" ", "path", F.lit("->"), "rel", F.lit("->"), "id").alias("path"))
-        walk = written(walk.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"), "walk")
+        walk = walk.withColumnRenamed("id", "_from").join(step, "_from").select("query_id", "id", F.concat_ws(" ", "path", F.lit("->"), "rel", F.lit("->"), "id").alias("path"))
+        walk = written(walk.groupBy("query_id", "id").agg(F.min("path").alias("path")).join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti"), "walk")
         seen = seen.unionByName(walk.withColumn("depth", F.lit(d)))
-    paths = seen.groupBy("id").agg(F.min(F.struct("depth", "path")).alias("p"))
-    return best.join(paths, "id", "left").select("id", F.round("rank", 6).alias("score"), F.coalesce("p.depth", F.lit(0)).alias("depth"), F.coalesce("p.path", F.lit("")).alias("path"))
+    return best.join(seen, ["query_id", "id"], "left").select("query_id", "id", F.round("rank", 6).alias("score"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("path", F.lit("")).alias("path"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provena.functions import ed25519
 from provena.operators import integrity
 from provena.operators.iterate import written
 
@@ -138,3 +140,34 @@ def annotate(rows: DataFrame, heads: DataFrame | None, updates: DataFrame, by: l
     changed = split.where(F.col("seq") >= F.col("_from")).select(*by, "seq", "content").join(taken.select(*by, "seq", "_new", F.lit(True).alias("_hit")), [*by, "seq"], "left")
     changed = sealed(changed.select(*by, "seq", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("content")).alias("content")), by, start)
     return kept.drop("_from").select(changed.columns).unionByName(changed), told.where("reason is not null").select(*by, "seq", "reason")
+
+
+def head_text(by: list[str]) -> Column:
+    """What of a head is signed: run, size, root and time."""
+    return F.concat_ws("|", *(F.col(c).cast("string") for c in (*by, "tree_size", "root", "published_at")))
+
+
+def signed(heads: DataFrame, by: list[str], key: bytes) -> DataFrame:
+    """``heads`` with a signature in hexadecimal. There is one head for a run; the key goes to the tasks that sign."""
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: ed25519.sign(key, t.encode()).hex())
+
+    return heads.withColumn("signature", put(head_text(by)))
+
+
+def signatures_hold(heads: DataFrame, by: list[str], trusted: bytes) -> DataFrame:
+    """``heads`` with ``valid``: whether the signature is that of the trusted public key, which comes from elsewhere."""
+
+    @F.pandas_udf("boolean")
+    def ask(texts: pd.Series, signatures: pd.Series) -> pd.Series:
+        def one(text, signature):
+            try:
+                return ed25519.verify(trusted, text.encode(), bytes.fromhex(signature or ""))
+            except ValueError:
+                return False
+
+        return pd.Series([one(t, s) for t, s in zip(texts, signatures, strict=True)], dtype="bool")
+
+    return heads.withColumn("valid", ask(head_text(by), F.col("signature")))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.functions import fixed, similar
+from provena.functions import ed25519, fixed, similar
 from provena.functions import text as T
-from provena.operators import graph, integrity, ledger, limits, verification
+from provena.operators import graph, integrity, ledger, limits, verification, walk
 from provena.operators.iterate import written
 from provena.plans import query
 from provena.plans.extraction import _lit
 from provena.plans.inputs import duck, table, view
-from provena.sources import cards, logs, policy
+from provena.sources import cards, graphs, logs, policy
 
 
 def _folder(spark) -> str:
@@ -135,8 +135,40 @@ def _named_edges(spark, sf_dir):
 
 @query()
 def retrieve_parts(spark, sf_dir):
-    """GR6: the five parts nearest to those that a query names; tests hold it against a plain loop."""
-    return graph.retrieve(_named_edges(spark, sf_dir), "replacement for BQ1 or BQ2")
+    """GR6: the five parts nearest to the two that each query names; tests hold it against a plain loop."""
+    key = F.col("n_nationkey")
+    asked = table(spark, sf_dir, "nation").select(key.alias("query_id"), F.concat(F.lit("replacement for BQ"), (key + 100).cast("string"), F.lit(" or bq"), (key * 3 + 110).cast("string")).alias("text"))
+    return graph.retrieve(_named_edges(spark, sf_dir), asked)
+
+
+@query(duck("edges") + "SELECT src, count(*) AS edges, count(*) FILTER (WHERE old OR valid_to IS NULL) AS open FROM (SELECT src, dst, rel, claim, max_by(valid_to, seq) AS valid_to, max(seq) % 2 = 0 AS old FROM (SELECT *, seq % 2 = 0 FROM edges) GROUP BY src, dst, rel, claim) GROUP BY src")
+def graph_store(spark, sf_dir):
+    """SRC17: edges of files from before and after edges could be closed, read as one table; older ones are open."""
+    e, path = view(spark, sf_dir, "edges").withColumn("reliability", F.lit(0.85)), f"{_folder(spark)}/edges"
+    graphs.append_edges(e.where("seq % 2 = 0").drop("valid_to"), path)
+    graphs.append_edges(e.where("seq % 2 <> 0"), path)
+    return graphs.read_edges(spark, path).groupBy("src").agg(F.count("*").alias("edges"), F.count_if(F.col("valid_to").isNull()).alias("open"))
+
+
+@query(duck("facts") + "SELECT entity AS run_id, count(*) AS tree_size, entity % 5 <> 0 AS valid FROM facts GROUP BY entity")
+def signed_heads(spark, sf_dir):
+    """INT8: signed heads of all ledgers; every fifth had its size changed after it was signed."""
+    key = bytes(range(32))  # stands for a key that the caller keeps
+    heads = ledger.roots(_items(spark, sf_dir), ["run_id"]).withColumn("published_at", F.lit("2024-01-01T00:00:00Z"))
+    heads = written(ledger.signed(heads, ["run_id"], key), "signed")
+    forged = heads.withColumn("tree_size", F.when(F.col("run_id") % 5 == 0, F.col("tree_size") + 1).otherwise(F.col("tree_size")))
+    told = ledger.signatures_hold(forged, ["run_id"], ed25519.public_key(key))
+    return told.select("run_id", F.when(F.col("run_id") % 5 == 0, F.col("tree_size") - 1).otherwise(F.col("tree_size")).alias("tree_size"), "valid")
+
+
+@query()
+def budgeted_walks(spark, sf_dir):
+    """GR14: a walk from each part's name, with the lenses' verdicts from a table; tests hold it against a plain recursion."""
+    roots = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("root"), F.concat("p_name", F.lit(" substitute")).alias("query"))
+    edges, leaves = walk.walk(roots)
+    leaves = leaves.groupBy("root").agg(F.count("*").alias("leaves"), F.count_if("verified").alias("verified"), F.count_if(~F.col("agree")).alias("disputed"))
+    grown = edges.groupBy("root").agg(F.count("*").alias("edges"), F.max("depth").alias("depth"), F.max_by("child", F.struct("depth", "child")).alias("last"))
+    return grown.join(leaves, "root").select("root", "edges", "depth", "last", "leaves", "verified", "disputed")
 
 
 @query()
