@@ -20,11 +20,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def depth(text: Column) -> Column:
-    """How deep arrays and objects nest in a text of JSON."""
-    brackets = F.translate(F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]{}]++", ""), "{}", "[]")
+def brackets(text: Column) -> Column:
+    """The brackets of a text of JSON, all of one kind: what nests in it."""
+    return F.translate(F.regexp_replace(text, _STRING + r"|[^\[\]{}\"]++", ""), "{}", "[]")
+
+
+def depth(nested: Column) -> Column:
+    """How deep such brackets nest."""
     step = lambda a, c: F.struct((a["at"] + F.when(c == "[", 1).otherwise(-1)).alias("at"), F.greatest(a["most"], a["at"] + F.when(c == "[", 1).otherwise(-1)).alias("most"))
-    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda a: a["most"])
+    return F.aggregate(F.filter(F.split(nested, ""), lambda c: c.isin("[", "]")), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda a: a["most"])
 
 
 def quoted(text: Column) -> Column:
@@ -81,10 +85,18 @@ def _string(token: Column) -> Column:
 def parsed(text: Column) -> Column:
     """The variant of a text in which every string and number has become a string: its own canonical text.
 
-    A variant would not keep a number's form, and this way nothing is left to do for what it holds. ``text`` is JSON.
+    A variant would not keep a number's form, and this way nothing is left to do for what it holds. Null if no JSON.
     """
-    own = lambda t: F.when(F.startswith(t, F.lit('"')), F.when(F.contains(t, F.lit("\\")), quoted(_string(t))).otherwise(t)).when(t.rlike(r"^-?\d"), number(t))
-    tokens = F.transform(F.regexp_extract_all(text, F.lit(f"({_TOKENS})"), F.lit(1)), lambda t: F.coalesce(quoted(own(t)), t))
+
+    def own(t: Column) -> Column:
+        # Plain strings and whole numbers are their own form; a token that is none stays, and the text is no JSON.
+        plain = F.concat(F.lit('"\\"'), F.substring(t, F.lit(2), F.length(t) - 2), F.lit('\\""'))
+        string = F.when(~t.rlike(r"[\x00-\x1f\\]"), plain).when(F.contains(t, F.lit("\\")) & ~t.rlike("[\\x00-\\x1f]"), quoted(quoted(_string(t))))
+        whole = F.when(t == "-0", '"0"').otherwise(F.concat(F.lit('"'), t, F.lit('"')))
+        real = F.when(t.rlike(r"^-?(?:0|[1-9]\d*)(?:[.eE]|$)"), F.concat(F.lit('"'), number(t), F.lit('"')))
+        return F.when(F.startswith(t, F.lit('"')), string).when(t.rlike(r"^-?(?:0|[1-9]\d*)$"), whole).when(t.rlike(r"^-?\d"), real)
+
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(f"({_TOKENS})"), F.lit(1)), lambda t: F.coalesce(own(t), t))
     return F.try_parse_json(F.array_join(tokens, ""))
 
 
@@ -94,7 +106,8 @@ def form(value: Column, levels: int) -> Column:
     scalar = F.coalesce(text, F.lit("null"))
     if levels == 0:
         return scalar
-    before = lambda a, b: F.when(_string(a["key"]) < _string(b["key"]), -1).when(a["key"] == b["key"], 0).otherwise(1)
+    bare = lambda k: F.when(F.contains(k, F.lit("\\")), _string(k)).otherwise(F.substring(k, F.lit(2), F.length(k) - 2))
+    before = lambda a, b: F.when(bare(a["key"]) < bare(b["key"]), -1).when(a["key"] == b["key"], 0).otherwise(1)
     fields = F.transform(F.array_sort(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), before), lambda e: F.struct(F.concat(e["key"], F.lit(": ")).alias("key"), e["value"].alias("value")))
     listed = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.struct(F.lit("").alias("key"), v.alias("value")))
     inner = F.array_join(F.transform(F.when(kind == "OBJ", fields).otherwise(listed), lambda e: F.concat(e["key"], form(e["value"], levels - 1))), ", ")
@@ -104,4 +117,4 @@ def form(value: Column, levels: int) -> Column:
 
 def dump(text: Column, levels: int) -> Column:
     """The canonical form of a text of JSON of at most ``levels`` levels; null if it is none."""
-    return F.when(F.try_parse_json(text).isNotNull(), _let(parsed(text), lambda v: form(v, levels)))
+    return _let(parsed(text), lambda v: F.when(v.isNotNull(), form(v, levels)))

@@ -92,13 +92,22 @@ def chain_faults(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("fault", fault).where(F.col("fault").isNotNull()).select(*by, "seq", "fault")
 
 
+#: Levels of arrays and objects in a text with a canonical digest.
+LEVELS = 32
+
+
 def canonical_digests(rows: DataFrame, text: str, name: str = "digest") -> DataFrame:
     """``rows`` with the sha256 of the canonical form of a column of JSON; null where there is none.
 
-    Nothing is shuffled: the expression is as deep as the deepest text, which one pass over the brackets tells.
+    Nothing is shuffled: the expression is as deep as the deepest text, which one pass over the brackets tells (LEVELS at
+    most: a deeper text has no digest).
     """
-    deepest = rows.agg(F.max(F.when(F.try_parse_json(F.col(text)).isNotNull(), canonical.depth(F.col(text)))).alias("deepest")).first()["deepest"] or 0
-    return rows.withColumn(name, F.sha2(canonical.dump(F.col(text), deepest).cast("binary"), 256))
+    # Rows have few patterns of brackets: these combine before the shuffle, and each is measured once.
+    shapes = rows.select(canonical.brackets(F.col(text)).alias("b")).distinct()
+    deepest = shapes.agg(F.max(canonical.depth(F.col("b"))).alias("deepest")).first()["deepest"] or 0
+    deepest = min(deepest, LEVELS)
+    digest = F.sha2(canonical.dump(F.col(text), deepest).cast("binary"), 256)
+    return rows.withColumn(name, F.when(canonical.depth(canonical.brackets(F.col(text))) <= LEVELS, digest) if deepest == LEVELS else digest)
 
 
 def leaf(data: Column) -> Column:

@@ -203,7 +203,7 @@ def salted_leaves(spark, sf_dir):
 
 
 @query("""
-WITH j AS (SELECT click_id, CASE WHEN json_valid(props) THEN props::json END AS p FROM (SELECT DISTINCT * FROM clicks) WHERE click_id IS NOT NULL),
+WITH j AS (SELECT click_id, CASE WHEN json_valid(props) THEN props::json END AS p FROM clicks),
 f AS (SELECT click_id, p, list_filter([
   CASE WHEN json_exists(p, '$.device') THEN '"device": {"os": ' || json_extract(p, '$.device.os')::varchar || ', "ver": ' || json_extract(p, '$.device.ver')::varchar || '}' END,
   CASE WHEN json_exists(p, '$.items') THEN '"items": [' || coalesce(array_to_string(list_transform(json_extract(p, '$.items[*]'), lambda i: '{"qty": ' || json_extract(i, '$.qty')::varchar || ', "sku": ' || json_extract(i, '$.sku')::varchar || '}'), ', '), '') || ']' END,
@@ -212,5 +212,4 @@ f AS (SELECT click_id, p, list_filter([
 SELECT click_id, CASE WHEN p IS NOT NULL THEN sha256('{' || array_to_string(parts, ', ') || '}') END AS digest FROM f""")
 def canonical_digests(spark, sf_dir):
     """EX16: the digest of each click's properties as canonical JSON; broken ones have none."""
-    c = table(spark, sf_dir, "clicks").where("click_id is not null").distinct()
-    return integrity.canonical_digests(c.select("click_id", "props"), "props").select("click_id", "digest")
+    return integrity.canonical_digests(table(spark, sf_dir, "clicks").select("click_id", "props"), "props").select("click_id", "digest")

@@ -49,3 +49,12 @@ def test_doubles_have_their_shortest_form(spark):
     values = [v for v in values if v == v and abs(v) != float("inf")]
     d = spark.createDataFrame([(repr(v),) for v in values], "t string").select("t", canonical.number(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in d if "." in r["t"] or "e" in r["t"]] == [r["t"] for r in d if "." in r["t"] or "e" in r["t"]]
+
+
+def test_keys_sort_by_characters_and_depth_is_bounded(spark, monkeypatch):
+    texts = ['{"a": 1, "a!": 2, "a\\"": 3, "": 4, "\\n": 5, "\u00e9": 6, "\U0001F600": 7, "\uffee": 8}', "[[1]]", "[[[1]]]", "[[[[1]]]", '{"x": [[2]]}']
+    monkeypatch.setattr(integrity, "LEVELS", 2)
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["digest"] for r in integrity.canonical_digests(d, "t").collect()}
+    want = [hashlib.sha256(_dump(t).encode()).hexdigest() for t in texts[:2]]
+    assert [got[0], got[1]] == want and got[2] is got[3] is got[4] is None
