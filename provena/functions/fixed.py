@@ -159,3 +159,20 @@ WALK_CATEGORIES = ("synonym", "broader_class", "broker_operator", "sea_local_lan
 WALK_CATEGORY_OF = {"query2doc": "synonym", "hyde": "synonym", "step_back": "broader_class", "broker_operator": "broker_operator", "mpn_pattern": "mfr_alt_pn", "obsolescence": "mfr_alt_pn"}
 WALK_LOCAL = "Singapore Malaysia distributor pembekal"
 WALK_LENSES = ("refetch", "competing_vendor", "wayback")
+
+# Templates of searches by region and mode ({q}: the query, {c}: a country), and the countries where none is named.
+GLOBAL_TEMPLATES = {"product_exact_price": ("{q} price", "{q} public pricing", "{q} supplier price", "{q} MOQ price"), "contact": ("{q} official contact", "{q} email", "{q} phone", "{q} contact page"), "other": ("{q} vendor", "{q} request quotation", "{q} suppliers", "{q} pricing")}
+LOCAL_TEMPLATES = {"product_exact_price": ("{q} {c} price", "{q} {c} public pricing", "{q} {c} bulk price", "{q} {c} MOQ price"), "contact": ("{q} {c} official contact", "{q} {c} email", "{q} {c} phone", "{q} {c} contact page"), "other": ("{q} {c} request quotation", "{q} {c} for quotation", "{q} {c} RFQ", "{q} {c} contact sales")}
+REGIONAL_TEMPLATE = {"product_exact_price": "{q} Southeast Asia supplier price", "contact": "{q} Southeast Asia contact", "other": "{q} Southeast Asia vendor"}
+CONTACT_MODES = ("contact_enrichment_only", "revalidation")
+TEMPLATE_COUNTRIES = ("Singapore", "Malaysia")
+
+# What a note is tagged with: words of countries, stages of fields, words of risk.
+NOTE_GEO = {"Singapore": ("singapore", "sg "), "Malaysia": ("malaysia", "kuala lumpur", "pembekal"), "Indonesia": ("indonesia", "jakarta"), "Thailand": ("thailand", "bangkok"), "Vietnam": ("vietnam", "hanoi", "ho chi minh"), "Philippines": ("philippines", "manila")}
+NOTE_STAGES = {"quote_channel": "sourcing", "price": "pricing", "moq": "pricing", "lead_time": "pricing", "lifecycle_status": "lifecycle"}
+NOTE_RISKS = ("nrnd", "eol", "obsolete", "last-time-buy", "ltb", "nla", "discontinued", "counterfeit")
+
+# What ends a page's title without being the vendor's name: a mark, then one of these.
+TITLE_MARKS = "|-–—:"
+TITLE_ENDINGS = ("home", "contact", "contact us", "about", "about us", "welcome", "official site")
+UNKNOWN_VENDOR = "Unknown Vendor"

@@ -114,3 +114,18 @@ def counterfeit(listed: Column, authorized: Column) -> Column:
 
 def stop_reason(found: Column, wanted: Column, tracker: Column, needs_channel: Column, over_time: Column) -> Column:
     return F.when(found >= wanted, "min_validated_candidates_met").when(tracker.isNotNull(), tracker).when(needs_channel, "no_quote_channel_found").when(over_time, "max_runtime_reached").otherwise("insufficient_evidence")
+
+
+def trust_summary(enabled: Column, verified: Column, grade: Column, decision: Column, belief: Column, plausibility: Column, calibrated: Column, coverage: Column, disputed: Column) -> Column:
+    """One sentence on a candidate's trust: its claims, its channel's interval, the guarantee, and its disputed facts.
+
+    Without an assessment (``verified`` null), an interval (``belief`` null) or a calibration (``calibrated`` null) that
+    part is left out.
+    """
+    said = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("n/a"))
+    text = lambda c: c.cast("string")
+    claims = F.when(~enabled, "claim verification disabled for this run").when(verified.isNotNull(), F.concat(text(verified), F.lit(" verified claim(s), grade "), said(grade), F.lit(", decision "), said(decision)))
+    interval = F.concat(F.lit("quote-channel belief ["), text(belief), F.lit(", "), text(plausibility), F.lit("]"))
+    guarantee = F.when(calibrated, F.concat(F.lit("conformal coverage >= "), text(coverage))).when(~calibrated, "conformal guarantee unavailable (uncalibrated)")
+    facts = F.when(disputed > 0, F.concat(text(disputed), F.lit(" disputed fact(s) flagged"))).otherwise("no disputed facts")
+    return F.concat(F.concat_ws("; ", claims, interval, guarantee, facts), F.lit("."))

@@ -30,6 +30,21 @@ def filled(template: str, **values: Column) -> Column:
     return F.concat(*(values[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p))
 
 
+def templates(query: Column, mode: Column, region: Column, country: Column) -> Column:
+    """Array of distinct searches: by mode, worldwide where the region is "global", else for the country or the usual two."""
+    base = F.trim(query)
+    kind = F.when(mode == "product_exact_price", mode).when(mode.isin(*fixed.CONTACT_MODES), "contact").otherwise("other")
+
+    def of(table) -> Column:
+        each = lambda ts, c: F.array(*(filled(t, q=base, c=c) for t in ts))
+        return F.coalesce(*(F.when(kind == k, each(ts, country)) for k, ts in table.items()))
+
+    usual = F.coalesce(*(F.when(kind == k, F.array(*(filled(t, q=base, c=F.lit(c)) for c in fixed.TEMPLATE_COUNTRIES for t in ts))) for k, ts in fixed.LOCAL_TEMPLATES.items()))
+    local = F.when(F.coalesce(country, F.lit("")) != "", of(fixed.LOCAL_TEMPLATES)).otherwise(usual)
+    regional = F.coalesce(*(F.when(kind == k, filled(t, q=base)) for k, t in fixed.REGIONAL_TEMPLATE.items()))
+    return F.array_distinct(F.when(region == "global", of(fixed.GLOBAL_TEMPLATES)).otherwise(F.concat(local, F.array(regional))))
+
+
 def variants(query: Column) -> Column:
     """Array of (pos, kind, text): the distinct search variants of a query, none for a blank one."""
     base = F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " "))

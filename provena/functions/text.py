@@ -369,3 +369,28 @@ def interleaved(first: Column, second: Column, most: int) -> Column:
     b = F.filter(once(squeezed(second)), lambda x: ~F.array_contains(low(a), F.lower(x)))
     turns = F.transform(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b), F.lit(1)) - 1), lambda i: F.array_compact(F.array(F.get(a, i), F.get(b, i))))
     return F.slice(F.flatten(turns), 1, most)
+
+
+def note_tags(entity: Column, field: Column, value: Column, disputed: Column) -> Column:
+    """(geo, stage, risk) of a fact's note: the first country that it names, the stage of its field, and whether it warns."""
+    low = F.lower(F.concat(F.lit(" "), _text(entity), F.lit(" "), _text(value), F.lit(" ")))
+    geo = F.coalesce(*(F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)), F.lit(c)) for c, words in fixed.NOTE_GEO.items()))
+    stage = F.when(F.startswith(field, F.lit("contact")), "contact").otherwise(lookup(field, fixed.NOTE_STAGES, "general"))
+    risk = reduce(lambda a, b: a | b, (F.contains(F.lower(_text(value)), F.lit(w)) for w in fixed.NOTE_RISKS))
+    return F.struct(geo.alias("geo"), stage.alias("stage"), (F.coalesce(disputed, F.lit(False)) | risk).alias("risk"))
+
+
+def _titled(label: Column) -> Column:
+    """Every run of letters with a capital first."""
+    runs = F.regexp_extract_all(F.lower(label), F.lit(r"([^\p{L}]*\p{L}*)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.regexp_extract(r, r"^([^\p{L}]*)", 1), F.initcap(F.regexp_replace(r, r"^[^\p{L}]*", "")))), "")
+
+
+def vendor(url: Column, title: Column) -> Column:
+    """(name, website) of a page: the title without what is after its mark, else the host's first label; https and the host."""
+    name = host(url)
+    noise = rf"(?i)\s*[{re.escape(fixed.TITLE_MARKS)}]\s*(?:{'|'.join(fixed.TITLE_ENDINGS)}).*$"
+    cleaned = F.regexp_replace(F.regexp_replace(_text(title), noise, ""), r"(?U)^\s+|\s+$", "")
+    label = _titled(F.replace(F.substring_index(name, ".", 1), F.lit("-"), F.lit(" ")))
+    called = F.when(cleaned != "", cleaned).when(name != "", label).otherwise(fixed.UNKNOWN_VENDOR)
+    return F.struct(called.alias("name"), F.when(name != "", F.concat(F.lit("https://"), name)).alias("website"))

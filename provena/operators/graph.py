@@ -127,6 +127,24 @@ def pageranks(edges: DataFrame, seeds: DataFrame, by: str, alpha: float = 0.15,
     return rank
 
 
+def named_parts(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id): the nodes of the parts that each of ``queries`` (query_id, text) names."""
+    named = queries.select("query_id", F.explode(F.array_distinct(T.mpns(F.col("text")))).alias("mpn")).select("query_id", T.entity_key("part", F.col("mpn")).alias("id")).distinct()
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return written(named.join(nodes, "id").select("query_id", "id"), "seeds")
+
+
+def nearest_substitutes(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id, depth, confidence, score): the substitutes of the parts that each query names, with their PageRank
+    over the substitute edges from these parts; the shallowest walk of each counts, then the surest."""
+    links = current(edges, fixed.SUBSTITUTE_RELS)
+    seeds = named_parts(edges, queries)
+    found = substitutes(edges, seeds.select("id").distinct()).withColumnRenamed("id", "sub").join(seeds.withColumnRenamed("id", "seed"), "seed")
+    found = found.groupBy("query_id", F.col("sub").alias("id")).agg(F.min(F.struct("depth", (-F.col("confidence")).alias("c"))).alias("x"))
+    ranks = pageranks(links.select("src", "dst", (F.col("confidence") * F.col("reliability")).alias("weight")), seeds, "query_id")
+    return found.join(ranks, ["query_id", "id"], "left").select("query_id", "id", F.col("x.depth").alias("depth"), (-F.col("x.c")).alias("confidence"), F.round(F.coalesce("rank", F.lit(0.0)), 9).alias("score"))
+
+
 def retrieve(edges: DataFrame, queries: DataFrame, top: int = 5, depth: int = 3) -> DataFrame:
     """(query_id, id, score, depth, path): for ``queries`` (query_id, text) the nodes nearest to the parts that each names.
 
@@ -134,9 +152,7 @@ def retrieve(edges: DataFrame, queries: DataFrame, top: int = 5, depth: int = 3)
     current edges from a seed, up to ``depth``; of equal ones the first in order. A query without known parts has no
     rows. All queries go through each round together.
     """
-    named = queries.select("query_id", F.explode(F.array_distinct(T.mpns(F.col("text")))).alias("mpn")).select("query_id", T.entity_key("part", F.col("mpn")).alias("id")).distinct()
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    seeds = written(named.join(nodes, "id").select("query_id", "id"), "seeds")
+    seeds = named_parts(edges, queries)
     ranked = pageranks(edges.select("src", "dst", (F.col("confidence") * F.col("reliability")).alias("weight")), seeds, "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "id")
     best = ranked.join(seeds, ["query_id", "id"], "left_anti").where("rank > 0").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.functions import fixed
+from provena.functions import fixed, scores
 from provena.operators import belief, temporal
 from provena.plans import query
 from provena.plans.inputs import duck, table, view
@@ -59,17 +59,26 @@ def invalidate_conflicts(spark, sf_dir):
     return temporal.conflicts(f, ["src", "rel"], "dst").select("src", "rel", "seq", "valid_to")
 
 
-@query(duck("candidates") + ", g AS (SELECT supp, min(confidence) AS low, max(completeness) AS done, bool_or(status = 'CONFLICTING') AS disputed, count(*) FILTER (WHERE refs > 0) AS backed FROM candidates GROUP BY supp) SELECT supp, backed, disputed, CASE WHEN backed = 0 THEN 'blocked' WHEN disputed THEN 'review' WHEN done < 0.65 THEN 'incomplete' ELSE 'draft' END AS verdict FROM g")
+@query(duck("candidates") + f""", g AS (SELECT supp, max(completeness) AS done, count(DISTINCT part) FILTER (WHERE status = 'CONFLICTING') AS bad, count(*) FILTER (WHERE refs > 0) AS backed, round(least({fixed.MAX_RELIABILITY}::double, max(confidence)::double), 6) AS r, count(channel) AS channels FROM candidates GROUP BY supp),
+v AS (SELECT *, CASE WHEN backed = 0 THEN 'blocked' WHEN bad > 0 THEN 'review' WHEN done < 0.65 THEN 'incomplete' ELSE 'draft' END AS verdict, CASE WHEN backed >= 20 THEN 'high' WHEN backed >= 5 THEN 'medium' END AS grade FROM g)
+SELECT supp, backed, bad > 0 AS disputed, verdict, concat(backed, ' verified claim(s), grade ', coalesce(grade, 'n/a'), ', decision ', verdict, '; ', CASE WHEN channels > 0 THEN concat('quote-channel belief [', CASE WHEN bad > 0 THEN 0.0::double ELSE r END, ', ', CASE WHEN bad > 0 THEN round(1 - r, 6) ELSE 1.0::double END, ']; ') ELSE '' END,
+  CASE WHEN backed >= 10 THEN 'conformal coverage >= 0.9' ELSE 'conformal guarantee unavailable (uncalibrated)' END, '; ', CASE WHEN bad > 0 THEN concat(bad, ' disputed fact(s) flagged') ELSE 'no disputed facts' END, '.') AS summary FROM v""")
 def trust_verdicts(spark, sf_dir):
-    """CTL6, CTL7: a vendor's verdict from its evidence, disputes and completeness."""
-    g = view(spark, sf_dir, "candidates").groupBy("supp").agg(F.max("completeness").alias("done"), F.bool_or(F.col("status") == "CONFLICTING").alias("disputed"), F.count_if(F.col("refs") > 0).alias("backed"))
-    return g.select("supp", "backed", "disputed", F.when(F.col("backed") == 0, "blocked").when(F.col("disputed"), "review").when(F.col("done") < 0.65, "incomplete").otherwise("draft").alias("verdict"))
+    """CTL6, CTL7: a vendor's verdict and the sentence that composes its grade, interval, guarantee and disputes."""
+    c = view(spark, sf_dir, "candidates")
+    g = c.groupBy("supp").agg(F.max("completeness").alias("done"), F.count_distinct(F.when(F.col("status") == "CONFLICTING", F.col("part"))).alias("bad"), F.count_if(F.col("refs") > 0).alias("backed"), F.max(F.col("confidence").cast("double")).alias("reliability"), F.count("channel").alias("channels"))
+    # One source on each vendor's channel, for it unless its prices conflict.
+    held = belief.fuse(g.where("channels > 0").select("supp", "reliability", (F.col("bad") == 0).alias("supports")), ["supp"])
+    g = g.join(held, "supp", "left").withColumn("verdict", F.when(F.col("backed") == 0, "blocked").when(F.col("bad") > 0, "review").when(F.col("done") < 0.65, "incomplete").otherwise("draft"))
+    grade = F.when(F.col("backed") >= 20, "high").when(F.col("backed") >= 5, "medium")
+    summary = scores.trust_summary(F.lit(True), F.col("backed"), grade, F.col("verdict"), F.col("belief"), F.col("plausibility"), F.col("backed") >= 10, F.lit(0.9), F.col("bad"))
+    return g.select("supp", "backed", (F.col("bad") > 0).alias("disputed"), "verdict", summary.alias("summary"))
 
 
-@query(duck("candidates") + "SELECT run_id, seq, coalesce(channel, CASE WHEN supp % 2 = 0 THEN 'contact_email' END) AS channel, CASE WHEN channel IS NULL AND supp % 2 = 0 THEN greatest(completeness, 0.75::double) ELSE completeness END AS completeness FROM candidates")
+@query(duck("candidates") + "SELECT run_id, seq, coalesce(channel, CASE WHEN s_acctbal >= 0 THEN 'contact_email' WHEN s_suppkey IS NOT NULL THEN 'phone' END) AS channel, CASE WHEN channel IS NULL AND s_suppkey IS NOT NULL THEN greatest(completeness, 0.75::double) ELSE completeness END AS completeness FROM candidates LEFT JOIN supplier ON s_suppkey = supp")
 def fill_from_memory(spark, sf_dir):
     """MEM14: a candidate without a channel takes the recalled one, and counts as three quarters complete."""
-    recalled = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("supp"), F.lit("contact_email").alias("recalled"))
+    recalled = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"), F.when(F.col("s_acctbal") >= 0, "contact_email").otherwise("phone").alias("recalled"))
     c = view(spark, sf_dir, "candidates").join(recalled, "supp", "left")
     filled = F.col("channel").isNull() & F.col("recalled").isNotNull()
     return c.select("run_id", "seq", F.coalesce("channel", "recalled").alias("channel"), F.when(filled, F.greatest(F.col("completeness"), F.lit(0.75))).otherwise(F.col("completeness")).alias("completeness"))

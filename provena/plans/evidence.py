@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from provena.functions import fixed
+from provena.functions import fixed, searches
 from provena.functions import text as T
 from provena.operators import graph, integrity, ranking, verification
 from provena.operators.iterate import written
@@ -137,13 +137,32 @@ def locate_spans(spark, sf_dir):
     return p.select("id", (at - 1).cast("long").alias("start"), F.when(at > 0, F.substring(F.col("text"), F.greatest(F.lit(1), at - 20), F.least(at - 1, F.lit(20)) + 25)).alias("snippet"), risky.alias("risky"))
 
 
-@query(duck("part_pages") + ", s AS (SELECT * FROM (VALUES (0, 'request quotation Singapore'), (1, 'RFQ Singapore'), (2, 'contact sales Malaysia')) t(pos, suffix)) SELECT p.id, s.pos, left(p.query || ' ' || s.suffix, 200) AS search, CASE WHEN contains(p.query, 'Singapore') THEN 'SG' END AS location FROM part_pages p, s")
+# A request of each page: its mode and region, and the country that its query names.
+_REQUESTS = "r AS (SELECT id, query AS q, CASE size % 4 WHEN 0 THEN 'product_exact_price' WHEN 1 THEN 'revalidation' WHEN 2 THEN 'contact_enrichment_only' ELSE 'service_quote_required' END AS mode, CASE WHEN size % 5 = 0 THEN 'global' ELSE 'SEA' END AS region, CASE WHEN contains(query, 'Singapore') THEN 'Singapore' END AS country FROM part_pages)"
+_LISTS = {"product_exact_price": ["price", "public pricing", "bulk price", "MOQ price"], "contact": ["official contact", "email", "phone", "contact page"], "other": ["request quotation", "for quotation", "RFQ", "contact sales"]}
+
+
+@query(duck("part_pages") + f""", {_REQUESTS}, k AS (SELECT *, CASE WHEN mode IN ('revalidation', 'contact_enrichment_only') THEN 'contact' WHEN mode = 'product_exact_price' THEN mode ELSE 'other' END AS kind FROM r),
+t AS (SELECT id, country, q, CASE WHEN region = 'global' THEN list_transform(CASE kind WHEN 'contact' THEN ['official contact', 'email', 'phone', 'contact page'] WHEN 'other' THEN ['vendor', 'request quotation', 'suppliers', 'pricing'] ELSE ['price', 'public pricing', 'supplier price', 'MOQ price'] END, lambda s: q || ' ' || s)
+  ELSE list_concat(flatten(list_transform(CASE WHEN country IS NULL THEN ['Singapore', 'Malaysia'] ELSE [country] END, lambda c: list_transform(CASE kind WHEN 'contact' THEN {_LISTS['contact']} WHEN 'other' THEN {_LISTS['other']} ELSE {_LISTS['product_exact_price']} END, lambda s: q || ' ' || c || ' ' || s))),
+    [q || ' Southeast Asia ' || CASE kind WHEN 'contact' THEN 'contact' WHEN 'other' THEN 'vendor' ELSE 'supplier price' END]) END AS l FROM k)
+SELECT id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS search, CASE WHEN country IS NOT NULL THEN 'SG' END AS location FROM t""")
 def expand_queries(spark, sf_dir):
-    """EX22, EX53: a query's templates with location code."""
-    suffixes = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(s).alias("suffix")) for i, s in enumerate(("request quotation Singapore", "RFQ Singapore", "contact sales Malaysia"))))
-    p = view(spark, sf_dir, "part_pages").select("id", "query", F.explode(suffixes).alias("s"))
-    country = F.coalesce(*(F.when(F.contains("query", F.lit(c)), F.lit(code)) for c, code in fixed.COUNTRY_CODE.items()))
-    return p.select("id", "s.pos", F.left(F.concat_ws(" ", "query", "s.suffix"), F.lit(200)).alias("search"), country.alias("location"))
+    """EX22, EX53: a query's templates by mode, region and country, with location code."""
+    r = spark.sql("WITH " + _REQUESTS.replace("part_pages", "{part_pages}") + " SELECT * FROM r", part_pages=view(spark, sf_dir, "part_pages"))
+    code = T.lookup(F.col("country"), fixed.COUNTRY_CODE)
+    made = searches.templates(*map(F.col, ("q", "mode", "region", "country")))
+    return r.select("id", F.posexplode(made).alias("pos", "search"), code.alias("location")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(duck("part_pages") + """, f AS (SELECT *, ['quote_channel', 'contact_email', 'price', 'moq', 'lifecycle_status', 'size'][1 + size % 6] AS field, ' ' || lower(vendor_name || ' ' || text) || ' ' AS low FROM part_pages)
+SELECT id, CASE WHEN regexp_matches(low, 'singapore|sg ') THEN 'Singapore' WHEN regexp_matches(low, 'malaysia|kuala lumpur|pembekal') THEN 'Malaysia' WHEN regexp_matches(low, 'indonesia|jakarta') THEN 'Indonesia' WHEN regexp_matches(low, 'thailand|bangkok') THEN 'Thailand' WHEN regexp_matches(low, 'vietnam|hanoi|ho chi minh') THEN 'Vietnam' WHEN regexp_matches(low, 'philippines|manila') THEN 'Philippines' END AS geo,
+  CASE field WHEN 'quote_channel' THEN 'sourcing' WHEN 'contact_email' THEN 'contact' WHEN 'lifecycle_status' THEN 'lifecycle' WHEN 'size' THEN 'general' ELSE 'pricing' END AS stage, price > 1500 OR regexp_matches(lower(text), 'nrnd|eol|obsolete|last-time-buy|ltb|nla|discontinued|counterfeit') AS risk FROM f""")
+def note_tags(spark, sf_dir):
+    """EX47, MEM12: the country, stage and risk that a fact's note is tagged with."""
+    field = F.get(F.array(*(F.lit(x) for x in ("quote_channel", "contact_email", "price", "moq", "lifecycle_status", "size"))), F.col("size") % 6)
+    tags = T.note_tags(F.col("vendor_name"), field, F.col("text"), F.col("price") > 1500)
+    return view(spark, sf_dir, "part_pages").select("id", tags.alias("t")).select("id", "t.*")
 
 
 @query(duck("part_pages") + ", v AS (SELECT id, CASE id % 3 WHEN 0 THEN 'a@b.sg' WHEN 1 THEN '+65 6123 4567' ELSE 'https://x.sg/c' END AS value FROM part_pages) SELECT id, CASE WHEN contains(value, '@') THEN 'contact_email' WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) >= 7 THEN 'phone' ELSE 'contact_page' END AS type, id % 3 = 0 OR id % 5 = 0 AS promoted FROM v")

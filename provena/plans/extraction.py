@@ -222,3 +222,15 @@ SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(query), {_lit
 def query_skeletons(spark, sf_dir):
     """EX46: queries with regions and numbers as placeholders."""
     return view(spark, sf_dir, "part_pages").select("id", T.skeleton(F.col("query")).alias("skeleton"))
+
+
+_TITLE = r"regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '(?i)\s*[|\-–—:]\s*(home|contact|contact us|about|about us|welcome|official site).*$', '')"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_HOST} AS host, trim({_TITLE}) AS title FROM pages)
+SELECT page_id, CASE WHEN host <> '' THEN 'https://' || host END AS website, CASE WHEN title <> '' THEN title WHEN host <> '' THEN array_to_string(list_transform(string_split(replace(string_split(host, '.')[1], '-', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' ') ELSE 'Unknown Vendor' END AS name FROM p""")
+def vendor_pages(spark, sf_dir):
+    """EX6: the vendor's name and website of each page."""
+    p = table(spark, sf_dir, "pages")
+    v = T.vendor(F.col("url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    return p.select("page_id", v.alias("v")).select("page_id", "v.website", "v.name")

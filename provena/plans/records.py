@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provena.functions import ed25519, fixed, similar
+from provena.functions import ed25519, fixed, grounding, similar
 from provena.functions import text as T
-from provena.operators import graph, integrity, ledger, limits, verification, walk
+from provena.operators import graph, integrity, ledger, limits, ranking, verification, walk
 from provena.operators.iterate import written
 from provena.plans import query
 from provena.plans.extraction import _lit
@@ -141,7 +141,7 @@ def retrieve_parts(spark, sf_dir):
     return graph.retrieve(_named_edges(spark, sf_dir), asked)
 
 
-@query(duck("edges") + "SELECT src, count(*) AS edges, count(*) FILTER (WHERE old OR valid_to IS NULL) AS open FROM (SELECT src, dst, rel, claim, max_by(valid_to, seq) AS valid_to, max(seq) % 2 = 0 AS old FROM (SELECT *, seq % 2 = 0 FROM edges) GROUP BY src, dst, rel, claim) GROUP BY src")
+@query(duck("edges") + "SELECT src, count(*) AS edges, count(*) FILTER (WHERE old OR valid_to IS NULL) AS open FROM (SELECT src, dst, rel, claim, arg_max_null(valid_to, seq) AS valid_to, max(seq) % 2 = 0 AS old FROM edges GROUP BY src, dst, rel, claim) GROUP BY src")
 def graph_store(spark, sf_dir):
     """SRC17: edges of files from before and after edges could be closed, read as one table; older ones are open."""
     e, path = view(spark, sf_dir, "edges").withColumn("reliability", F.lit(0.85)), f"{_folder(spark)}/edges"
@@ -171,6 +171,17 @@ def budgeted_walks(spark, sf_dir):
     return grown.join(leaves, "root").select("root", "edges", "depth", "last", "leaves", "verified", "disputed")
 
 
+@query()
+def discover_substitutes(spark, sf_dir):
+    """GR9: for each query the substitutes within two edges of its parts that are still made, the eight nearest by PageRank."""
+    e, nations = _named_edges(spark, sf_dir), table(spark, sf_dir, "nation")
+    asked = nations.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("substitute for BQ"), (F.col("n_nationkey") * 4 + 100).cast("string")).alias("text"))
+    state = T.lookup(F.col("p_size") % 6, {0: "EOL", 1: "nrnd", 2: "End of Life", 3: "active", 4: "Obsolete"})
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part:bq"), F.col("p_partkey").cast("string")).alias("id"), state.alias("lifecycle"))
+    found = graph.nearest_substitutes(e, asked).join(parts, "id", "left").where(grounding.alive(F.col("lifecycle"), F.lit(1)))
+    return ranking.top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], 8).select("query_id", "id", "depth", "confidence", F.col("rank").cast("long"))
+
+
 @query()
 def lexical_rank(spark, sf_dir):
     """RNK15: the five parts whose names are most like the query, without the graph; tests hold it against difflib."""
@@ -245,10 +256,10 @@ def supplier_graphs(spark, sf_dir):
     return logs.mermaid(p, ["run_id"]).join(n, "run_id").select("run_id", F.replace("diagram", F.lit("graph TD\n"), F.lit("")).alias("lines"), "vendors")
 
 
-@query("SELECT DISTINCT p_type AS source, 'skill ' || p_type AS name, 'First line of ' || p_type AS description, 'quote,' || lower(p_brand) AS keywords, 'search' AS tools, 'Ask for ' || p_brand || chr(10) || 'twice.' AS instructions FROM part WHERE p_partkey % 5 = 0")
+@query("SELECT DISTINCT p_type AS source, 'skill ' || p_type AS name, 'First line of ' || p_type AS description, 'quote,' || lower(p_brand) AS keywords, 'search' AS tools, 'Ask for ' || p_brand || chr(10) || 'twice.' AS instructions FROM part")
 def skill_cards(spark, sf_dir):
     """SRC19: settings and sections of skill cards."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_type", "p_brand").distinct()
+    p = table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
     text = F.concat(F.lit("---\nname: skill "), "p_type", F.lit("\nkeywords: [quote, '"), F.lower("p_brand"), F.lit("']\nallowedTools:\n  - search\n---\n# A card\nFirst line of "), "p_type", F.lit("\n\n## Instructions\n\nAsk for "), "p_brand", F.lit("\ntwice.\n\n## Examples\nnone\n"))
     c = cards.parsed(p.select(F.col("p_type").alias("source"), text.alias("text")))
     return c.select("source", "name", "description", F.array_join("keywords", ",").alias("keywords"), F.array_join("allowed_tools", ",").alias("tools"), "instructions").distinct()

@@ -87,11 +87,11 @@ def _memory(spark, sf_dir):
 _KEY = "array_to_string(list_filter(string_split_regex(trim(regexp_replace(lower({}), '[^a-z0-9 ]', ' ', 'g')), ' +'), lambda w: w NOT IN ('pte', 'ltd', 'sdn', 'bhd', 'llc', 'inc', 'co', 'company', 'team')), ' ')"
 
 
-@query(duck("facts", "part_pages") + f", {_MEMORY}, d AS (SELECT seq, {_KEY.format('vendor')} AS k FROM m WHERE status = 'disputed'), r AS (SELECT {_KEY.format('vendor_name')} AS k, min(id) AS id FROM part_pages WHERE id % 4 = 0 GROUP BY 1) SELECT d.seq, min(r.id) AS id FROM d JOIN r ON (contains(d.k, r.k) OR contains(r.k, d.k)) AND d.k <> '' AND r.k <> '' GROUP BY d.seq")
+@query(duck("facts", "part_pages") + f", {_MEMORY}, d AS (SELECT seq, {_KEY.format('vendor')} AS k FROM m WHERE status = 'disputed'), r AS (SELECT {_KEY.format('vendor_name')} AS k, min(id) AS id FROM part_pages GROUP BY 1) SELECT d.seq, min(r.id) AS id FROM d JOIN r ON (contains(d.k, r.k) OR contains(r.k, d.k)) AND d.k <> '' AND r.k <> '' GROUP BY d.seq")
 def disputed_vendor_facts(spark, sf_dir):
     """JN4: disputed facts on ranked vendors, by their names."""
     d = _memory(spark, sf_dir).where("status = 'disputed'").select(F.col("seq").alias("id"), "vendor")
-    r = view(spark, sf_dir, "part_pages").where("id % 4 = 0").select(F.col("id").alias("seq"), F.col("vendor_name").alias("vendor"))
+    r = view(spark, sf_dir, "part_pages").select(F.col("id").alias("seq"), F.col("vendor_name").alias("vendor"))
     return verification.same_vendor(d, r, []).select(F.col("id").alias("seq"), F.col("seq").alias("id"))
 
 
@@ -179,13 +179,13 @@ def route_tasks(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", searches.tier(task, F.col("event_id") % 7 == 0).alias("r")).select("event_id", "r.*")
 
 
-@query(duck("part_pages") + ", s AS (SELECT DISTINCT trim(regexp_replace(lower(query), '\\d+', '{number}', 'g')) AS template, length(query) AS support FROM part_pages UNION SELECT 'datasheet for lm{number} mosfet regulator', 3), q AS (SELECT id, regexp_replace(regexp_replace(lower(query), '\\bsingapore\\b', '{region}', 'g'), '\\d+', '{number}', 'g') AS k FROM part_pages WHERE id % 3 > 0), x AS (SELECT q.id, s.template, s.support, q.k = s.template AS exact, len(list_intersect(list_distinct(string_split(k, ' ')), list_distinct(string_split(template, ' ')))) / greatest(1, len(list_distinct(list_concat(string_split(k, ' '), string_split(template, ' ')))))::double AS sim FROM q, s), e AS (SELECT *, max(exact) OVER (PARTITION BY id) AS hit FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN hit THEN 0 ELSE sim END DESC, support DESC, template) AS rank FROM e WHERE CASE WHEN hit THEN exact ELSE sim >= 0.5 END) SELECT id, template, rank FROM r WHERE rank <= 5")
+@query(duck("part_pages") + ", s AS (SELECT DISTINCT trim(regexp_replace(lower(query), '\\d+', '{number}', 'g')) AS template, length(query) AS support FROM part_pages UNION SELECT 'datasheet for lm{number} mosfet regulator', 3), q AS (SELECT id, regexp_replace(regexp_replace(lower(query), '\\bsingapore\\b', '{region}', 'g'), '\\d+', '{number}', 'g') AS k FROM part_pages), x AS (SELECT q.id, s.template, s.support, q.k = s.template AS exact, len(list_intersect(list_distinct(string_split(k, ' ')), list_distinct(string_split(template, ' ')))) / greatest(1, len(list_distinct(list_concat(string_split(k, ' '), string_split(template, ' ')))))::double AS sim FROM q, s), e AS (SELECT *, max(exact) OVER (PARTITION BY id) AS hit FROM x), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN hit THEN 0 ELSE sim END DESC, support DESC, template) AS rank FROM e WHERE CASE WHEN hit THEN exact ELSE sim >= 0.5 END) SELECT id, template, rank FROM r WHERE rank <= 5")
 def retrieve_skills(spark, sf_dir):
     """MEM9: the skill of a query's very template, else those that share half of its tokens; they meet on a token."""
     p = view(spark, sf_dir, "part_pages")
     s = p.select(F.trim(F.regexp_replace(F.lower("query"), r"\d+", "{number}")).alias("template"), F.length("query").alias("support")).distinct()
     s = s.unionByName(spark.createDataFrame([("datasheet for lm{number} mosfet regulator", 3)], "template string, support int")).distinct()
-    q = p.where("id % 3 > 0").select("id", T.skeleton(F.col("query")).alias("k"))
+    q = p.select("id", T.skeleton(F.col("query")).alias("k"))
     words = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("w")
     kinds = q.select("k").distinct()
     met = kinds.select("k", words("k")).join(s.select("template", "support", words("template")), "w").select("k", "template", "support").distinct()
