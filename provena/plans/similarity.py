@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from provena.functions import similar
 from provena.functions import text as T
-from provena.operators import ranking
+from provena.operators import dedupe, ranking
 from provena.plans import query
-from provena.plans.inputs import duck, view
+from provena.plans.inputs import duck, table, view
 
 
 @query(duck("part_pages") + "SELECT id, cast(size * 10 AS bigint) AS moq FROM part_pages")
@@ -27,6 +27,14 @@ def near_duplicate_pages(spark, sf_dir):
     return p.select("run_id", "id", similar.ratio("text", "before").alias("ratio")).where("ratio >= 0.92")
 
 
+@query()
+def near_texts(spark, sf_dir):
+    """DD3: every pair of different first sentences of a conversation of which one is near the other; tests hold the pairs against difflib."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", F.regexp_extract("text", r"^[^.\n]*", 0).alias("sentence"))
+    t = t.where("sentence <> ''").distinct().withColumn("name", F.md5(F.col("sentence").cast("binary")))
+    return dedupe.like(t, ["conv_id"], "name", "sentence").select("conv_id", "name", F.col("kept").alias("near"))
+
+
 @query()
 def rank_novelty(spark, sf_dir):
     """RNK6: 1 less the greatest similarity to the run's first three; the same domain counts .7."""

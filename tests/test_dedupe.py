@@ -1,5 +1,6 @@
 """Items by hashes and near-equal snippets against the sequential rule."""
 
+import hashlib
 import random
 from difflib import SequenceMatcher
 
@@ -83,3 +84,13 @@ def test_turns_of_conversations(spark):
     rows = [(r["conv_id"], r["turn"], r["text"], (r["text"] or "").split("\n")[0].split(".")[0]) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
     got = {(r["conv_id"], r["turn"]) for r in plans.QUERIES["dedupe_turns"](spark, SF).collect()}
     assert got == _kept(rows, 1)
+
+
+def test_near_texts_of_conversations(spark):
+    plans.load()
+    texts = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        texts.setdefault(r["conv_id"], set()).add((r["text"] or "").split("\n")[0].split(".")[0])
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = {(c, md5(a), md5(b)) for c, ts in texts.items() for a in ts for b in ts if a and b and a != b and SequenceMatcher(None, a, b).ratio() >= 0.92}
+    assert {tuple(r) for r in plans.QUERIES["near_texts"](spark, SF).collect()} == want
