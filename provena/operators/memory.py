@@ -39,3 +39,41 @@ def recall(facts: DataFrame, queries: DataFrame, now: Column, top: int = TOP, bu
     start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("ended"), F.array().cast("array<int>").alias("out"))
     kept = listed.withColumn("_kept", F.aggregate("x", start, step, lambda a: a["out"])).select("query_id", "_kept", F.explode("x").alias("r"))
     return kept.where(F.array_contains("_kept", F.col("r.place").cast("int"))).select("query_id", "r.seq", "r.overlap", "r.score", F.col("r.place").cast("long").alias("place"))
+
+
+#: Names that an insight on stale facts lists.
+NAMED = 20
+
+
+def reflect(facts: DataFrame, runs: DataFrame, now: Column, cap: int = 10) -> DataFrame:
+    """(place, kind, insight): what memory says about itself, at most ``cap`` rows: disputes by ``seq`` first, then what is
+    stale, the best-corroborated fact, what is tracked, and how many runs succeeded.
+
+    ``facts``: seq, entity, kind, field, value, alternatives, status, confidence, event_ts, reinforced, disputes;
+    ``runs``: outcome. Each insight is an aggregate; only ``cap`` disputes and NAMED names come together in one row.
+    The best-corroborated is the active fact with the most observations, then the greatest decayed confidence, then the
+    earliest; one that was seen once says nothing.
+    """
+    row = lambda place, kind, text: (F.lit(place).alias("_a"), F.lit(0).cast("long").alias("_b"), F.lit(kind).alias("kind"), text.alias("insight"))
+    age = scores.age_days(F.col("event_ts"), now)
+    values = F.array_join(F.filter(F.concat(F.array("value"), F.coalesce("alternatives", F.array().cast("array<string>"))), lambda v: F.coalesce(v, F.lit("")) != ""), ", ")
+    disputed = facts.where("status = 'disputed'").orderBy("seq").limit(cap)
+    disputed = disputed.select(F.lit(1).alias("_a"), F.col("seq").cast("long").alias("_b"), F.lit("dispute").alias("kind"), F.concat(F.lit("Disputed: "), "entity", F.lit(" "), "field", F.lit(" has conflicting values ("), values, F.lit("); revalidate before use.")).alias("insight"))
+    old = facts.where((F.col("status") == "stale") | (age >= 180.0)).select("entity")
+    names = old.distinct().orderBy("entity").limit(NAMED + 1)
+    both = old.groupBy().agg(F.count("*").alias("n")).select("n", F.lit(None).cast("string").alias("entity")).unionByName(names.select(F.lit(0).cast("long").alias("n"), "entity"))
+    stale = both.agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("entity")).alias("e")).where("n > 0")
+    listed = F.concat(F.array_join(F.slice("e", 1, NAMED), ", "), F.when(F.size("e") > NAMED, " and others").otherwise(""))
+    stale = stale.select(*row(2, "staleness", F.concat(F.col("n").cast("string"), F.lit(" fact(s) are stale and need revalidation: "), listed, F.lit("."))))
+    faded = scores.decayed(F.col("confidence"), age, F.col("reinforced"), F.col("disputes"))
+    best = facts.where("status = 'active'").agg(F.max(F.struct("reinforced", faded.alias("d"), (-F.col("seq")).alias("s"), "entity", "field")).alias("b")).select("b.*").where("reinforced > 0")
+    best = best.select(*row(3, "corroboration", F.concat("entity", F.lit(" "), "field", F.lit(" corroborated across "), (F.col("reinforced") + 1).cast("string"), F.lit(" observations; safe to reuse."))))
+    kinds = facts.groupBy(F.col("kind").alias("k")).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("k", "n"))).alias("x")).where(F.size("x") > 0)
+    kinds = kinds.select(*row(4, "coverage", F.concat(F.lit("Tracking "), F.array_join(F.transform("x", lambda i: F.concat(i["n"].cast("string"), F.lit(" "), i["k"], F.lit("(s)"))), ", "), F.lit("."))))
+    ended = runs.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "success").alias("ok")).where("n > 0")
+    ended = ended.select(*row(5, "outcome", F.concat(F.col("ok").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" recent run(s) succeeded."))))
+    rows = disputed.unionByName(stale).unionByName(best).unionByName(kinds).unionByName(ended)
+    from pyspark.sql import Window
+
+    # At most ``cap`` and four rows.
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("_a", "_b"))).where(F.col("place") <= cap).select("place", "kind", "insight")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import fixed
 from provena.functions import text as T
-from provena.operators import verification
+from provena.operators import memory, verification
 from provena.plans import query
 from provena.plans.extraction import _HOST, _lit
 from provena.plans.inputs import duck, table, view
@@ -104,3 +104,23 @@ def reflections(spark, sf_dir):
     disputed = f.groupBy("entity", "field").agg(F.count_distinct("value").alias("v")).where("v > 1").agg(F.count("*").alias("n")).select(F.lit("disputed").alias("kind"), "n", none)
     stale = f.where(F.col("event_ts") < F.lit("2024-01-10").cast("timestamp")).agg(F.count("*").alias("n")).select(F.lit("stale").alias("kind"), "n", none)
     return disputed.union(stale).union(f.groupBy("field").agg(F.count("*").alias("n")).select(F.lit("field"), "n", "field"))
+
+
+_REFLECTED = "f AS (SELECT *, cast(entity AS varchar(20)) AS name, CASE WHEN disputes = 2 AND reinforced = 4 AND entity % 50 = 7 THEN 'disputed' ELSE 'active' END AS status FROM facts)"
+
+
+@query(duck("facts") + f""", {_REFLECTED}, a AS (SELECT *, greatest(0.0, (epoch_us(TIMESTAMP '2024-06-30') - epoch_us(event_ts)) / 86400000000) AS age FROM f), d AS (SELECT *, round(score * exp(-age / ((90.0 / ln(2.0)) * (1 + 0.5 * reinforced) / pow(2.0, disputes))), 4) AS faded FROM a),
+n AS (SELECT DISTINCT name FROM d WHERE age >= 180 ORDER BY name LIMIT 21), r AS (
+SELECT 1 AS a, seq AS b, 'dispute' AS kind, 'Disputed: ' || name || ' ' || field || ' has conflicting values (' || value || ', unknown); revalidate before use.' AS insight FROM d WHERE status = 'disputed'
+UNION ALL SELECT 2, 0, 'staleness', count(*) || ' fact(s) are stale and need revalidation: ' || (SELECT array_to_string(list_slice(list(name ORDER BY name), 1, 20), ', ') || CASE WHEN count(*) > 20 THEN ' and others' ELSE '' END FROM n) || '.' FROM d WHERE age >= 180 HAVING count(*) > 0
+UNION ALL SELECT * FROM (SELECT 3, 0, 'corroboration', name || ' ' || field || ' corroborated across ' || (reinforced + 1) || ' observations; safe to reuse.' FROM d WHERE status = 'active' ORDER BY reinforced DESC, faded DESC, seq LIMIT 1)
+UNION ALL SELECT 4, 0, 'coverage', 'Tracking ' || string_agg(c || ' ' || field || '(s)', ', ' ORDER BY field) || '.' FROM (SELECT field, count(*) AS c FROM d GROUP BY field)
+UNION ALL SELECT 5, 0, 'outcome', count(*) FILTER (WHERE o_orderstatus = 'F') || '/' || count(*) || ' recent run(s) succeeded.' FROM orders)
+SELECT place, kind, insight FROM (SELECT row_number() OVER (ORDER BY a, b) AS place, kind, insight FROM r) WHERE place <= 40""")
+def memory_insights(spark, sf_dir):
+    """AG10: what memory says about itself, in order and capped: disputes, staleness, corroboration, coverage, outcomes."""
+    f = view(spark, sf_dir, "facts")
+    status = F.when((F.col("disputes") == 2) & (F.col("reinforced") == 4) & (F.col("entity") % 50 == 7), "disputed").otherwise("active")
+    facts = f.select("seq", F.col("entity").cast("string").alias("entity"), F.col("field").alias("kind"), "field", "value", F.array(F.lit("unknown")).alias("alternatives"), status.alias("status"), F.col("score").alias("confidence"), "event_ts", "reinforced", "disputes")
+    runs = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "success").otherwise("failure").alias("outcome"))
+    return memory.reflect(facts, runs, F.lit("2024-06-30").cast("timestamp"), 40).withColumn("place", F.col("place").cast("long"))
