@@ -9,6 +9,7 @@ from provena.functions import fixed, searches
 from provena.functions import text as T
 from provena.operators import graph, integrity, ranking, verification
 from provena.operators.iterate import written
+from provena.operators.iterate import side
 from provena.plans import query
 from provena.plans.extraction import _HOST, _any, _lit
 from provena.plans.inputs import duck, table, view
@@ -112,11 +113,11 @@ def reference_clock(spark, sf_dir):
 
 @query(duck("part_pages") + ", q AS (SELECT id, list_distinct(string_split(query, ' ')) AS w FROM part_pages), s AS (SELECT DISTINCT type AS name, list_distinct(string_split(lower(type) || ' cleaning office quote price contact', ' ')) AS k FROM part_pages) SELECT id, name, len(list_intersect(w, k)) AS overlap, len(list_intersect(w, k)) / len(list_distinct(list_concat(w, k)))::double AS jaccard FROM q, s WHERE len(list_intersect(w, k)) >= 1")
 def match_skills(spark, sf_dir):
-    """RNK14, SET5: skills that share tokens with a query; the skills are a counted handful."""
+    """RNK14, SET5: skills that share tokens with a query; a counted few are given to every task, more are shuffled."""
     p = view(spark, sf_dir, "part_pages")
     s = p.select(F.col("type").alias("name")).distinct().withColumn("k", F.array_distinct(F.split(F.concat(F.lower("name"), F.lit(" cleaning office quote price contact")), " ")))
     q = p.select("id", F.array_distinct(F.split("query", " ")).alias("w"))
-    pairs = q.select("id", "w", F.explode("w").alias("t")).join(s.select("name", "k", F.explode("k").alias("t")), "t").groupBy("id", "name").agg(F.count("*").alias("overlap"), F.first("w").alias("w"), F.first("k").alias("k"))
+    pairs = q.select("id", "w", F.explode("w").alias("t")).join(side(s.select("name", "k", F.explode("k").alias("t"))), "t").groupBy("id", "name").agg(F.count("*").alias("overlap"), F.first("w").alias("w"), F.first("k").alias("k"))
     return pairs.select("id", "name", "overlap", (F.col("overlap") / F.size(F.array_union("w", "k"))).alias("jaccard"))
 
 

@@ -35,3 +35,15 @@ def test_equal_pages_count_each_but_the_cited(spark):
         assert got[str(i)]["corroborations"] == min(3, sum(x["supported"] for x in others)), said[i]
         if not (own and own[0]["supported"]):
             assert got[str(i)]["score"] == max(x["score"] for x in own + others), said[i]
+
+
+def test_sides_are_counted_before_they_are_broadcast(spark, monkeypatch):
+    from provena import plans
+    from provena.operators import iterate
+
+    plans.load()
+    few = {n: _plan(plans.QUERIES[n](spark, SF)) for n in ("match_skills",)}
+    monkeypatch.setattr(iterate, "FEW", 0)
+    for n, plan in few.items():
+        assert plan.count("BroadcastExchange") == 1 and "BuildRight" in plan
+        assert "Broadcast" not in _plan(plans.QUERIES[n](spark, SF)), n
