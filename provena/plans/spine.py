@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provena.functions import fixed, grounding, scores, searches
 from provena.functions import text as T
 from provena.operators import ranking, spine, verification
+from provena.operators.iterate import side
 from provena.plans import query
 from provena.plans.extraction import _lit
 from provena.plans.inputs import duck, table, view
@@ -205,4 +206,4 @@ def guidelines_for(spark, sf_dir):
     # A trigger is found by its first word, so that contexts and triggers are joined on a key.
     word = F.regexp_extract("context", r"[a-z0-9]+", 0)
     low = F.lower(F.concat_ws(" ", "query", "type"))
-    return p.select("id", low.alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).join(g.withColumn("w", word), "w").where(F.contains("low", F.col("context"))).select("id", "advice")
+    return p.select("id", low.alias("low"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).alias("w")).join(side(g.withColumn("w", word)), "w").where(F.contains("low", F.col("context"))).select("id", "advice")

@@ -42,7 +42,7 @@ def test_sides_are_counted_before_they_are_broadcast(spark, monkeypatch):
     from provena.operators import iterate
 
     plans.load()
-    few = {n: _plan(plans.QUERIES[n](spark, SF)) for n in ("match_skills",)}
+    few = {n: _plan(plans.QUERIES[n](spark, SF)) for n in ("match_skills", "guidelines_for")}
     monkeypatch.setattr(iterate, "FEW", 0)
     for n, plan in few.items():
         assert plan.count("BroadcastExchange") == 1 and "BuildRight" in plan
