@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from provena.functions import fixed, grounding, scores, searches
 from provena.functions import text as T
 from provena.operators import ranking, spine, verification
-from provena.operators.iterate import side
+from provena.operators.iterate import dealt, side
 from provena.plans import query
 from provena.plans.extraction import _lit
 from provena.plans.inputs import duck, table, view
@@ -161,7 +161,7 @@ def verify_substitutes(spark, sf_dir):
 @query(duck("part_pages") + ", c AS (SELECT id, query, CASE WHEN contains(lower(query), 'regulator') THEN 'voltage regulator equivalent replacement cross reference' ELSE query || ' alternative supplier' END AS back FROM part_pages) SELECT id, unnest(['broker_operator', 'step_back', 'obsolescence']) AS kind, unnest([query || ' obsolete stock rochester OR lansdale OR oemsecrets OR octopart OR avnet', back, query || ' obsolete EOL NRND NLA LTB superseded by NOS']) AS search FROM c")
 def corrective_searches(spark, sf_dir):
     """EX20, EX21: what is searched after an off-target retrieval."""
-    return view(spark, sf_dir, "part_pages").select("id", F.explode(searches.corrective(F.col("query"))).alias("x")).select("id", "x.kind", F.col("x.text").alias("search"))
+    return dealt(view(spark, sf_dir, "part_pages").select("id", "query")).select("id", F.explode(searches.corrective(F.col("query"))).alias("x")).select("id", "x.kind", F.col("x.text").alias("search"))
 
 
 @query(duck("candidates") + ", m AS (SELECT run_id, seq, CASE line % 4 WHEN 0 THEN 'service_quote_required' WHEN 1 THEN 'contact_enrichment_only' WHEN 2 THEN 'electronics_substitution' ELSE 'other' END AS mode, confidence FROM candidates) SELECT run_id, seq, CASE WHEN mode IN ('service_quote_required', 'contact_enrichment_only') THEN 'official_site_first' ELSE 'authorized_distributor_first' END AS first, CASE WHEN mode IN ('service_quote_required', 'contact_enrichment_only') THEN 'bolts official site' ELSE 'bolts authorized distributor,bolts Mouser Digi-Key' END AS searches, mode IN ('service_quote_required', 'electronics_substitution') AND confidence < 0.75 AS reasons FROM m")

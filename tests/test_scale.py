@@ -47,3 +47,14 @@ def test_sides_are_counted_before_they_are_broadcast(spark, monkeypatch):
     for n, plan in few.items():
         assert plan.count("BroadcastExchange") == 1 and "BuildRight" in plan
         assert "Broadcast" not in _plan(plans.QUERIES[n](spark, SF)), n
+
+
+def test_variants_are_worked_out_once(spark):
+    from provena.functions import searches
+    from provena.operators import walk
+
+    q = spark.createDataFrame([(1, "find TI op amp bq2057")], "root long, query string")
+    for made in (searches.corrective(F.col("query")), walk.trajectories(F.col("query"))):
+        assert _plan(q.select(made)).count("regexp_replace") < 50
+    edges, leaves = walk.walk(q)
+    assert "explode" not in _plan(edges) and "explode" not in _plan(leaves)
