@@ -346,12 +346,17 @@ def alnum(c: Column) -> Column:
     return F.regexp_replace(F.lower(_text(c)), "[^a-z0-9]+", "")
 
 
-def contacts(text: Column, links: Column) -> Column:
-    """Array of (type, value, confidence): distinct addresses, phones of seven digits or more, and links to contact pages."""
+def contacts(text: Column, links: Column, repeated: bool = False) -> Column:
+    """Array of (type, value, confidence): distinct addresses, phones of seven digits or more, and links to contact pages.
+
+    A phone counts once, or with ``repeated`` at each place where it stands.
+    """
     row = lambda kind, value, sure: F.struct(kind.alias("type"), value.alias("value"), sure.cast("double").alias("confidence"))
     digits = lambda p: F.regexp_replace(p, "[^0-9]", "")
     found = F.filter(F.transform(F.regexp_extract_all(_text(text), F.lit(fixed.PHONE), F.lit(0)), lambda p: F.trim(p)), lambda p: F.length(digits(p)) >= 7)
     phones = F.filter(F.transform(found, lambda p, i: F.struct(p.alias("p"), F.array_position(F.transform(found, digits), digits(p)).alias("first"), (i + 1).alias("i"))), lambda x: x["first"] == x["i"])
+    if repeated:
+        phones = F.transform(found, lambda p: F.struct(p.alias("p")))
     pages = F.array_distinct(F.filter(F.coalesce(links, F.array().cast("array<string>")), lambda x: x.rlike(ignoring_case(fixed.CONTACT_LINK))))
     kind = lambda x: F.when(F.contains(F.lower(x), F.lit("form")), "contact_form").otherwise("contact_page")
     return F.concat(F.transform(emails(text), lambda e: row(F.lit("email"), e, email_confidence(e))), F.transform(phones, lambda x: row(F.lit("phone"), x["p"], F.lit(0.5))), F.transform(pages, lambda x: row(kind(x), x, F.lit(0.4))))

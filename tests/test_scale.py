@@ -58,3 +58,10 @@ def test_variants_are_worked_out_once(spark):
         assert _plan(q.select(made)).count("regexp_replace") < 50
     edges, leaves = walk.walk(q)
     assert "explode" not in _plan(edges) and "explode" not in _plan(leaves)
+
+
+def test_repeated_phones(spark):
+    from provena.functions import text as T
+
+    d = spark.createDataFrame([("BQ1000007A is superseded by TX1000007B",)], "t string")
+    assert [len(r["x"]) for f in (False, True) for r in d.select(T.contacts(F.col("t"), F.lit(None).cast("array<string>"), repeated=f).alias("x")).collect()] == [1, 2]
