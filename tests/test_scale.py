@@ -65,3 +65,29 @@ def test_repeated_phones(spark):
 
     d = spark.createDataFrame([("BQ1000007A is superseded by TX1000007B",)], "t string")
     assert [len(r["x"]) for f in (False, True) for r in d.select(T.contacts(F.col("t"), F.lit(None).cast("array<string>"), repeated=f).alias("x")).collect()] == [1, 2]
+
+
+def test_proofs_over_blocks_are_those_of_a_plain_tree(spark):
+    import hashlib
+
+    from provena.operators import integrity
+
+    sizes = (1, 2, 3, 63, 64, 65, 127, 200, 4097)
+    rows = [(n, i, f"{n}:{i}") for n in sizes for i in range(n)]
+    d = spark.createDataFrame(rows, "run_id long, seq long, digest string")
+    blocks = integrity.merkle_blocks(d, ["run_id"], "digest")
+    assert len(blocks) == 3
+    roots = {r["run_id"]: r["root"] for r in integrity.merkle_root(d, ["run_id"], "digest", blocks).collect()}
+    paths = {(r["run_id"], r["idx"]): [(x["side"], x["hash"]) for x in r["path"]] for r in integrity.inclusion_proofs(d, ["run_id"], "digest", blocks).collect()}
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    for n in sizes:
+        level, want = [h(b"\0" + f"{n}:{i}".encode()) for i in range(n)], {i: [] for i in range(n)}
+        at = list(range(n))
+        while len(level) > 1:
+            for i in range(n):
+                beside = at[i] ^ 1
+                if beside < len(level):
+                    want[i].append(("right" if at[i] % 2 == 0 else "left", level[beside]))
+                at[i] //= 2
+            level = [h(b"\1" + bytes.fromhex(level[i]) + bytes.fromhex(level[i + 1])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert roots[n] == level[0] and all(paths[n, i] == want[i] for i in range(n)), n
