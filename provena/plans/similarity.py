@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provena.functions import similar
 from provena.functions import text as T
 from provena.operators import dedupe, ranking
+from provena.operators.iterate import dealt, written
 from provena.plans import query
 from provena.plans.inputs import duck, table, view
 
@@ -40,7 +41,10 @@ def rank_novelty(spark, sf_dir):
     """RNK6: 1 less the greatest similarity to the run's first three; the same domain counts .7."""
     p = view(spark, sf_dir, "part_pages").select("run_id", "id", F.lower(F.concat_ws(" ", "vendor_name", "url")).alias("me"), T.registrable(F.col("url")).alias("domain"))
     base = ranking.top_k(p, ["run_id"], [F.asc("id")], 3).select("run_id", F.col("id").alias("o"), F.col("me").alias("other"), F.col("domain").alias("theirs"))
-    pairs = p.join(base, "run_id").where("id <> o").withColumn("s", similar.ratio("me", "other"))
+    # Each text of a run is held against the other once, whatever the number of its pages, and over all cores.
+    texts = p.select("run_id", "me").distinct().join(base.select("run_id", "other").distinct(), "run_id")
+    told = written(dealt(texts).withColumn("s", similar.ratio("me", "other")), "told")
+    pairs = p.join(base, "run_id").where("id <> o").join(told.hint("merge"), ["run_id", "me", "other"])
     best = pairs.groupBy("run_id", "id").agg(F.max(F.greatest("s", F.when(F.col("domain") == F.col("theirs"), 0.7).otherwise(0.0))).alias("s"))
     return best.select("run_id", "id", F.round(1 - F.col("s"), 4).alias("novelty"))
 

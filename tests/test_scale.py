@@ -91,3 +91,10 @@ def test_proofs_over_blocks_are_those_of_a_plain_tree(spark):
                 at[i] //= 2
             level = [h(b"\1" + bytes.fromhex(level[i]) + bytes.fromhex(level[i + 1])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         assert roots[n] == level[0] and all(paths[n, i] == want[i] for i in range(n)), n
+
+
+def test_novelty_scores_are_worked_out_before_pages_are_joined(spark):
+    from provena import plans
+
+    plans.load()
+    assert "ArrowEvalPython" not in _plan(plans.QUERIES["rank_novelty"](spark, SF))
