@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from provena.functions import ed25519
 from provena.operators import integrity
-from provena.operators.iterate import written
+from provena.operators.iterate import dealt, written
 
 
 def sealed(items: DataFrame, by: list[str], start: DataFrame | None = None) -> DataFrame:
@@ -154,7 +154,7 @@ def signed(heads: DataFrame, by: list[str], key: bytes) -> DataFrame:
     def put(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: ed25519.sign(key, t.encode()).hex())
 
-    return heads.withColumn("signature", put(head_text(by)))
+    return dealt(heads).withColumn("signature", put(head_text(by)))
 
 
 def signatures_hold(heads: DataFrame, by: list[str], trusted: bytes) -> DataFrame:
@@ -170,4 +170,4 @@ def signatures_hold(heads: DataFrame, by: list[str], trusted: bytes) -> DataFram
 
         return pd.Series([one(t, s) for t, s in zip(texts, signatures, strict=True)], dtype="bool")
 
-    return heads.withColumn("valid", ask(head_text(by), F.col("signature")))
+    return dealt(heads).withColumn("valid", ask(head_text(by), F.col("signature")))

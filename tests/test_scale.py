@@ -93,6 +93,13 @@ def test_proofs_over_blocks_are_those_of_a_plain_tree(spark):
         assert roots[n] == level[0] and all(paths[n, i] == want[i] for i in range(n)), n
 
 
+def test_signing_is_dealt(spark):
+    from provena.operators import ledger
+
+    heads = spark.createDataFrame([(i, i, "r", "t") for i in range(20)], "run_id long, tree_size long, root string, published_at string").coalesce(1)
+    assert ledger.signed(heads, ["run_id"], bytes(32)).rdd.getNumPartitions() > 1
+
+
 def test_novelty_scores_are_worked_out_before_pages_are_joined(spark):
     from provena import plans
 
