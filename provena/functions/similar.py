@@ -27,3 +27,9 @@ def at_least(a: str | None, b: str | None, least: float) -> bool:
 def can_reach(a: Column, b: Column, least: float) -> Column:
     """Whether the lengths alone allow that ratio: twice the shorter over both."""
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+
+
+def within(a: Column, b: Column, least: float) -> Column:
+    """Whether lengths and edits allow that ratio: each unmatched character is one edit at most, so that few may be needed."""
+    few = F.floor((1 - least) * (F.length(a) + F.length(b)) + 1e-6).cast("int")
+    return can_reach(a, b, least - 1e-9) & (F.call_function("levenshtein", a, b, few) >= 0)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions import text as T
+from provena.functions.similar import within
 
 
 def best_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -29,6 +32,12 @@ def _without(rows: DataFrame, keys: DataFrame, by: list[str], key: str) -> DataF
     return rows.join(keys.select(*by, key).where(F.col(key).isNotNull()).distinct(), [*by, key], "left_anti")
 
 
+def _ordered(rows: DataFrame, seq: str) -> DataFrame:
+    if not rows.where(F.col(seq).isNull()).isEmpty():
+        raise ValueError(f"rows whose {seq} is null cannot be decided")
+    return rows
+
+
 def first_items(df: DataFrame, by: list[str], keys: list[str], seq: str, similar: DataFrame | None = None, snippet: str | None = None) -> DataFrame:
     """Greedy in the order of ``seq``: a row goes if a kept earlier row shares one of its ``keys`` or has a like ``snippet``.
 
@@ -41,9 +50,7 @@ def first_items(df: DataFrame, by: list[str], keys: list[str], seq: str, similar
     """
     from provena.operators.iterate import written
 
-    opened = written(df, "open")
-    if not opened.where(F.col(seq).isNull()).isEmpty():
-        raise ValueError(f"rows whose {seq} is null cannot be decided")
+    opened = _ordered(written(df, "open"), seq)
     kept = None
     while not opened.isEmpty():
         ready = opened
@@ -76,6 +83,20 @@ def exact_items(df: DataFrame, by: list[str], keys: list[str], seq: str) -> Data
 GRAM, RATIO = 3, 0.92
 
 
+def _near():
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("boolean")
+    def near(new, kept):
+        import pandas as pd
+
+        from provena.functions.similar import at_least
+
+        return pd.Series([at_least(x, y, RATIO) for x, y in zip(new, kept, strict=True)], dtype="bool")
+
+    return near
+
+
 def like(texts: DataFrame, by: list[str], name: str, text: str) -> DataFrame:
     """(by, name, kept): pairs of distinct ``texts`` (by, name, text) of which the first, new, is near the second: at least
     RATIO by the matching blocks of difflib.
@@ -86,8 +107,6 @@ def like(texts: DataFrame, by: list[str], name: str, text: str) -> DataFrame:
     lengths allow the ratio, are compared; texts without another of like length do not come so far. Empty texts are near
     none, and texts under six characters only their equals.
     """
-    from pyspark.sql.functions import pandas_udf
-
     from provena.operators.iterate import written
 
     fits = lambda a, b: 2 * F.least(a, b) >= RATIO * (a + b) - 1e-9
@@ -109,26 +128,92 @@ def like(texts: DataFrame, by: list[str], name: str, text: str) -> DataFrame:
     other = prefix.select(*by, F.col(name).alias("kept"), F.col("_l").alias("_l2"), "_t")
     pairs = prefix.join(other, [*by, "_t"]).where((F.col(name) < F.col("kept")) & fits(F.col("_l"), F.col("_l2"))).select(*by, name, "kept").distinct()
     both = pairs.join(sized.select(*by, name, F.col(text).alias("_a")), [*by, name]).join(sized.select(*by, F.col(name).alias("kept"), F.col(text).alias("_b")), [*by, "kept"])
+    both = both.where(within(F.col("_a"), F.col("_b"), RATIO))
+    near = _near()
+    told = written(both.select(*by, name, "kept", near("_a", "_b").alias("_x"), near("_b", "_a").alias("_y")), "told")
+    turned = told.where("_y").select(*by, F.col("kept").alias(name), F.col(name).alias("kept"))
+    return told.where("_x").select(*by, name, "kept").unionByName(turned)
 
-    @pandas_udf("boolean")
-    def near(new, kept):
-        import pandas as pd
 
-        from provena.functions.similar import at_least
+#: Rows of a run that are settled at once, and the share of all open rows that must go with such blocks for others to follow.
+BLOCK, SHARE = 128, 0.1
 
-        return pd.Series([at_least(x, y, RATIO) for x, y in zip(new, kept, strict=True)], dtype="bool")
 
-    told = written(both.select(*by, name, "kept", near("_a", "_b").alias("_x"), near("_b", "_a").alias("_y")), "told")
-    turned = told.where("_y").select(*by, F.col("kept").alias(name), F.col(name).alias("kept"))
-    return told.where("_x").select(*by, name, "kept").unionByName(turned)
+def _blocks(opened: DataFrame, by: list[str], keys: list[str], seq: str, snippet: str) -> DataFrame:
+    """The first rows of each run, BLOCK at most, with ``_stays``; rows that are equal in ``seq`` are never parted."""
+    import pyarrow as pa
+    from pyspark.sql import types
+
+    order = Window.partitionBy(*by).orderBy(seq)
+    head = opened.withColumns({"_n": F.row_number().over(order), "_r": F.rank().over(order)}).where(F.col("_n") <= BLOCK + 1)
+    names = opened.columns
+
+    def settle(table):
+        from provena.functions.similar import at_least
+
+        table = table.sort_by("_n")
+        ranks = table.column("_r").to_pylist()
+        n = len(ranks) if len(ranks) <= BLOCK else ranks.index(ranks[-1])
+        values = list(zip(*(table.column(k).to_pylist() for k in (*keys, snippet)), strict=True))
+        seen, texts, new, stays = [set() for _ in keys], [], [], []
+        for i in range(n):
+            if i and ranks[i] != ranks[i - 1]:
+                # What stays counts for later rows only.
+                for own in new:
+                    for s, k in zip(seen, own, strict=False):
+                        s.add(k)
+                    texts.append(own[-1])
+                new = []
+            *own, text = values[i]
+            free = not any(k is not None and k in s for s, k in zip(seen, own, strict=True)) and not any(at_least(text, t, RATIO) for t in texts)
+            stays.append(free)
+            if free:
+                new.append(values[i])
+        return table.select(names).slice(0, n).append_column("_stays", pa.array(stays, pa.bool_()))
+
+    return head.groupBy(*by).applyInArrow(settle, types.StructType([*opened.schema.fields, types.StructField("_stays", types.BooleanType())]))
+
+
+def _settled(opened: DataFrame, by: list[str], keys: list[str], seq: str, name: str, snippet: str) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of rows that stay, rows still open): the first rows of each run are settled in order, and what they exclude
+    goes at once, for as long as that is much. A row meets those that stay alone, so that the cost grows with the rows."""
+    from provena.operators.iterate import dealt, side, written
+
+    kept, near, n = [], _near(), opened.count()
+    while n:
+        block = written(_blocks(opened, by, keys, seq, snippet), "block")
+        stays = block.where("_stays").select(opened.columns)
+        kept.append(stays)
+        last = block.groupBy(*by).agg(F.max(seq).alias("_last"))
+        rest = opened.join(side(last), by, "left").where(F.col("_last").isNull() | (F.col(seq) > F.col("_last"))).drop("_last")
+        for k in keys:
+            rest = rest.join(side(stays.where(F.col(k).isNotNull()).select(*by, k).distinct()), [*by, k], "left_anti")
+        rest = written(rest.select(opened.columns), "rest")
+        texts = dealt(rest.where(F.length(snippet) > 0).select(*by, name, snippet).dropDuplicates([*by, name]))
+        held = side(stays.where(F.length(snippet) > 0).select(*by, F.col(snippet).alias("_kept")))
+        gone = texts.join(held, by).where(within(F.col(snippet), F.col("_kept"), RATIO)).where(near(snippet, "_kept"))
+        gone = written(gone.select(*by, name).distinct(), "gone")
+        opened = written(rest.join(side(gone), [*by, name], "left_anti").select(opened.columns), "open")
+        before, n = n, opened.count()
+        if before - n < SHARE * before:
+            break
+    return kept, opened
 
 
 def items(df: DataFrame, by: list[str], keys: list[str], seq: str, snippet: str) -> DataFrame:
-    """Greedy removal by ``keys`` and by near-duplicate snippets, the first row of each stays."""
+    """Greedy removal by ``keys`` and by near-duplicate snippets, the first row of each stays.
+
+    Runs whose rows are much alike are settled in blocks against the rows that stay; of what is then left, rows that are
+    little alike, pairs are found by ``like`` and settled in rounds.
+    """
     from provena.operators.iterate import written
 
     name = F.when(F.length(snippet) > 0, F.md5(F.col(snippet).cast("binary")))
-    rows = written(df.withColumn("_snippet", name), "items")
-    pairs = written(like(rows.where(F.col("_snippet").isNotNull()).select(*by, "_snippet", snippet).distinct(), by, "_snippet", snippet), "like")
+    rows = _ordered(written(df.withColumn("_snippet", name), "items"), seq)
     # Equal snippets are near each other, too.
-    return first_items(rows, by, [*keys, "_snippet"], seq, pairs, "_snippet").drop("_snippet")
+    keys = [*keys, "_snippet"]
+    kept, rest = _settled(rows, by, keys, seq, "_snippet", snippet)
+    if not rest.isEmpty():
+        pairs = written(like(rest.where(F.col("_snippet").isNotNull()).select(*by, "_snippet", snippet).distinct(), by, "_snippet", snippet), "like")
+        kept.append(first_items(rest, by, keys, seq, pairs, "_snippet"))
+    return reduce(DataFrame.unionByName, kept, rows.limit(0)).drop("_snippet")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provena.functions import scores
 from provena.functions import text as T
 from provena.operators import dedupe
+from provena.operators.iterate import dealt
 from provena.plans import query
 from provena.plans.inputs import duck, table, view
 from provena.sources import logs
@@ -37,7 +38,7 @@ def graph_diagrams(spark, sf_dir):
 @query()
 def dedupe_items(spark, sf_dir):
     """DD1: greedy duplicates by text, address and near-equal snippet; tests hold it against the sequential rule."""
-    p = view(spark, sf_dir, "part_pages").select("run_id", "id", F.md5(F.col("text").cast("binary")).alias("text_hash"), F.left("text", F.lit(500)).alias("snippet"), T.canonical_url(F.col("url")).alias("canonical"))
+    p = dealt(view(spark, sf_dir, "part_pages").select("run_id", "id", "text", "url")).select("run_id", "id", F.md5(F.col("text").cast("binary")).alias("text_hash"), F.left("text", F.lit(500)).alias("snippet"), T.canonical_url(F.col("url")).alias("canonical"))
     return dedupe.items(p, ["run_id"], ["text_hash", "canonical"], "id", "snippet").select("run_id", "id")
 
 

@@ -79,6 +79,38 @@ def test_chain_of_like_snippets(spark):
     assert {(r["run_id"], r["id"]) for r in got} == want
 
 
+def test_rows_much_alike_meet_those_that_stay_alone(spark, monkeypatch):
+    """Their pairs are never listed: 400 rows of one template leave a few."""
+
+    def listed(*_):
+        raise AssertionError("all pairs of rows much alike")
+
+    monkeypatch.setattr(dedupe, "like", listed)
+    rows = [(run, i, i // 3, f"Part BQ{i * 7654321 % 9999991}A is superseded by TX{i * 3333337 % 9999973}B. Delivery 14 days, 5% discount") for run in range(2) for i in range(400)]
+    got = {(r["run_id"], r["id"]) for r in dedupe.items(spark.createDataFrame(rows, "run_id long, id long, a long, snippet string"), ["run_id"], ["a"], "id", "snippet").collect()}
+    want = _kept(rows, 1)
+    assert got == want and 10 < len(want) < 400
+
+
+def test_blocks_settle_rows_in_their_order(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "BLOCK", 7)
+    rng = random.Random(5)
+    rows = []
+    for run in range(4):
+        texts = ["".join(rng.choice("abcdefgh      ") for _ in range(rng.choice([9, 30, 60, 220]))) for _ in range(3)]
+        for i in range(60):
+            texts.append(_changed(rng, rng.choice(texts)))
+            rows.append((run, i, None if rng.random() < 0.3 else rng.randrange(50), rng.choice([None, "", texts[-1], rng.choice(texts)])))
+    for share in (0.1, 1.1):  # blocks to the end, or pairs and rounds after the first block
+        monkeypatch.setattr(dedupe, "SHARE", share)
+        got = {(r["run_id"], r["id"]) for r in dedupe.items(spark.createDataFrame(rows, "run_id long, id long, a long, snippet string"), ["run_id"], ["a"], "id", "snippet").collect()}
+        assert got == _kept(rows, 1)
+    # Of rows equal in seq all are first at once, wherever a block ends.
+    same = [(1, i // 5, 1, f"row {i} " + "abcdefghij"[i] * 30) for i in range(10)]
+    got = dedupe.items(spark.createDataFrame(same, "run_id long, id long, a long, snippet string"), ["run_id"], ["a"], "id", "snippet").collect()
+    assert sorted(r["snippet"] for r in got) == [r[3] for r in same[:5]]
+
+
 def test_turns_of_conversations(spark):
     plans.load()
     rows = [(r["conv_id"], r["turn"], r["text"], (r["text"] or "").split("\n")[0].split(".")[0]) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
