@@ -21,12 +21,22 @@ from provena.operators.iterate import dealt, written
 
 def sealed(items: DataFrame, by: list[str], start: DataFrame | None = None) -> DataFrame:
     """Rows (by, seq, content) with the digest of their canonical content and their links."""
-    return integrity.chained(integrity.canonical_digests(items.select(*by, "seq", "content"), "content"), by, start)
+    return integrity.chained(_digests(items, by), by, start)
+
+
+def _digests(items: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (by, seq, content, digest), dealt first: digests are dear, and a table or a publication may be a few small files."""
+    return integrity.canonical_digests(dealt(items.select(*by, "seq", "content")), "content")
 
 
 def roots(items: DataFrame, by: list[str]) -> DataFrame:
     """(by, tree_size, last_seq, root) of rows (by, seq, content): from the content, whatever digest a row claims."""
-    rows = written(integrity.canonical_digests(items.select(*by, "seq", "content"), "content").select(*by, "seq", F.coalesce("digest", F.lit("")).alias("digest")), "digests")
+    return _rooted(written(_digests(items, by).select(*by, "seq", "digest"), "digests"), by)
+
+
+def _rooted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``roots`` of rows (by, seq, digest) whose digests are known to be those of their content."""
+    rows = rows.select(*by, "seq", F.coalesce("digest", F.lit("")).alias("digest"))
     return integrity.merkle_root(rows, by, "digest").join(rows.groupBy(*by).agg(F.count("*").alias("tree_size"), F.max("seq").alias("last_seq")), by).select(*by, "tree_size", "last_seq", "root")
 
 
@@ -68,7 +78,8 @@ def publish(items: DataFrame, store: str, by: list[str], at: Column) -> DataFram
     version = f"{len(before):08d}-{uuid.uuid4().hex}"
     sealed(items, by).write.parquet(f"{store}/items/{version}")
     rows = spark.read.parquet(f"{store}/items/{version}")
-    heads = roots(rows, by).withColumns({"published_at": at, "version": F.lit(version)})
+    # These digests were worked out from the content just now.
+    heads = _rooted(rows, by).withColumns({"published_at": at, "version": F.lit(version)})
     if (last := published(spark, store, by)) is not None:
         old = last.select(*by, F.col("root").alias("_root"), F.col("tree_size").alias("_size"), F.col("published_at").alias("_at"))
         same = (F.col("_root") == F.col("root")) & (F.col("_size") == F.col("tree_size"))

@@ -108,3 +108,11 @@ def test_a_long_run_is_folded_in_batches(spark):
     got = {r["run_id"]: (r["chars"], r["digest"]) for r in integrity.joined_digest(texts, BY, "seq", "text").collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == {1: (4, sha("a b\u00e9")), 2: (0, sha("")), None: (1, sha("x"))}
+
+
+def test_digests_of_one_small_file_are_dealt(spark):
+    """A table in one partition is not digested by one task."""
+    d = spark.createDataFrame([(i % 9, i, f'{{"n": {i}}}') for i in range(90)], "run_id long, seq long, content string").coalesce(1)
+    assert ledger._digests(d, ["run_id"]).rdd.getNumPartitions() > 1 and ledger.sealed(d, ["run_id"]).rdd.getNumPartitions() > 1
+    want = {r["run_id"]: r["root"] for r in integrity.merkle_root(integrity.canonical_digests(d, "content"), ["run_id"], "digest").collect()}
+    assert {r["run_id"]: r["root"] for r in ledger.roots(d, ["run_id"]).collect()} == want
